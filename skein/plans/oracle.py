@@ -187,3 +187,54 @@ picked AS (
   SELECT *, row_number() OVER w AS srank, sum(tok) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
   FROM scored
   WINDOW w AS (PARTITION BY msg_id ORDER BY (score_n IS NOT NULL) ASC, score_n DESC, i ASC))"""
+
+
+def thread_render_sql(ft_max_tok: int, gen_max_tok: int, caps_sql: str, columns: str) -> str:
+    """Full job A in SQL: caps -> summaries of cut messages -> rendered views.
+
+    ``caps_sql`` is the text up to and including the ``caps`` CTE.
+    """
+    msgs = "SELECT msg_id, body FROM recs WHERE msg_id IN (SELECT msg_id FROM need)"
+    j = js
+
+    def agg_anc(body):
+        return (f"COALESCE(string_agg(CASE WHEN kind = 'ancestor' THEN head || {j(body)} || ', \"comments\": [' END,"
+                f" '' ORDER BY pos), '')")
+
+    def agg_rep(body):
+        return f"string_agg(CASE WHEN kind = 'reply' THEN head || {j(body)} || '}}' END, ', ' ORDER BY pos)"
+
+    return caps_sql + f""",
+need AS (SELECT * FROM caps WHERE cap <> tok),
+{summary_ctes(msgs)},
+sums AS (
+  SELECT c.msg_id, c.cap, COALESCE(string_agg(p.sent, ' ' ORDER BY p.i), '') AS summary
+  FROM (SELECT DISTINCT msg_id, cap FROM need) c
+  LEFT JOIN picked p ON p.msg_id = c.msg_id AND p.run <= c.cap GROUP BY c.msg_id, c.cap),
+cut AS (SELECT n.focus_id, n.view, n.msg_id, s.summary FROM need n JOIN sums s ON n.msg_id = s.msg_id AND n.cap = s.cap),
+rl AS (
+  SELECT l.focus_id, l.post_id, l.kind, l.pos, l.head,
+         COALESCE(cf.summary, l.body) AS body_ft, COALESCE(cg.summary, l.body) AS body_gen
+  FROM tlong l
+  LEFT JOIN cut cf ON cf.focus_id = l.focus_id AND cf.msg_id = l.msg_id AND cf.view = 'ft'
+  LEFT JOIN cut cg ON cg.focus_id = l.focus_id AND cg.msg_id = l.msg_id AND cg.view = 'gen'),
+parts AS (
+  SELECT focus_id, post_id,
+         {agg_anc('body_ft')} AS anc_ft, {agg_anc('body_gen')} AS anc_gen,
+         max(CASE WHEN kind = 'focus' THEN head END) AS fhead,
+         max(CASE WHEN kind = 'focus' THEN body_ft END) AS fbody_ft,
+         max(CASE WHEN kind = 'focus' THEN body_gen END) AS fbody_gen,
+         {agg_rep('body_ft')} AS rep_ft, {agg_rep('body_gen')} AS rep_gen,
+         CAST(sum(CASE WHEN kind = 'ancestor' THEN 1 ELSE 0 END) AS BIGINT) AS n_anc
+  FROM rl GROUP BY focus_id, post_id),
+rendered AS (
+  SELECT focus_id AS id, post_id,
+         '{{"post": ' || anc_ft || fhead || {j('fbody_ft')} || ', "comments": [' || rep_ft || ']}}'
+           || repeat(']}}', n_anc) || '}}' AS full_thread,
+         CASE WHEN n_anc = 0 THEN
+           '{{"post": ' || anc_gen || fhead || {j('fbody_gen')} || ', "comments": [' || rep_gen || ']}}' || '}}'
+         ELSE fhead || {j('fbody_gen')} || ', "comments": [' || rep_gen || ']}}' END AS subthread,
+         CASE WHEN n_anc = 0 THEN NULL ELSE
+           '{{"post": ' || anc_gen || fhead || '"..."}}' || repeat(']}}', n_anc) || '}}' END AS subthread_context
+  FROM parts)
+SELECT {columns} FROM rendered"""

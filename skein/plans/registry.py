@@ -303,3 +303,36 @@ def _doc_caps(msgs):
 def q_summaries(spark, sf):
     msgs = _doc_msgs(spark, sf)
     return summarize.summaries(summarize.ranked_sentences(msgs), _doc_caps(msgs))
+
+
+# ---------------------------------------------------------------------------
+# rendered thread views (job A output)
+# ---------------------------------------------------------------------------
+
+THREAD_COLS = "id, post_id, full_thread, subthread, subthread_context"
+
+
+def _threads(spark, sf, p):
+    posts, replies = bt.filtered_forest(spark, sf, p.min_score)
+    return bt.build_threads(posts, replies, p)
+
+
+@register("thread_json", O.thread_render_sql(P.ft_max_tok, P.gen_max_tok, _caps_sql(P), THREAD_COLS))
+def q_thread_json(spark, sf):
+    return _threads(spark, sf, P)
+
+
+@register("budgeted_threads", O.thread_render_sql(SMALL.ft_max_tok, SMALL.gen_max_tok, _caps_sql(SMALL), THREAD_COLS))
+def q_budgeted_threads(spark, sf):
+    return _threads(spark, sf, SMALL)
+
+
+@register("subthread", O.thread_render_sql(SMALL.ft_max_tok, SMALL.gen_max_tok, _caps_sql(SMALL), "id, subthread"))
+def q_subthread(spark, sf):
+    return _threads(spark, sf, SMALL).select("id", "subthread")
+
+
+@register("subthread_context", O.thread_render_sql(SMALL.ft_max_tok, SMALL.gen_max_tok, _caps_sql(SMALL),
+                                                  "id, subthread_context"))
+def q_subthread_context(spark, sf):
+    return _threads(spark, sf, SMALL).select("id", "subthread_context")
