@@ -236,5 +236,4 @@ rendered AS (
          ELSE fhead || {j('fbody_gen')} || ', "comments": [' || rep_gen || ']}}' END AS subthread,
          CASE WHEN n_anc = 0 THEN NULL ELSE
            '{{"post": ' || anc_gen || fhead || '"..."}}' || repeat(']}}', n_anc) || '}}' END AS subthread_context
-  FROM parts)
-SELECT {columns} FROM rendered"""
+  FROM parts)""" + (f"\nSELECT {columns} FROM rendered" if columns else "")

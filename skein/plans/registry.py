@@ -336,3 +336,342 @@ def q_subthread(spark, sf):
                                                   "id, subthread_context"))
 def q_subthread_context(spark, sf):
     return _threads(spark, sf, SMALL).select("id", "subthread_context")
+
+
+# ---------------------------------------------------------------------------
+# sampling and data set assembly (job B) on the job A thread table
+# ---------------------------------------------------------------------------
+
+from skein.functions import prompts as PR  # noqa: E402
+from skein.operators import chat, dataset, retrieve, sampling  # noqa: E402
+from skein.plans import generate as gen  # noqa: E402
+
+G = gen.GenParams(p=0.5, num_distractors=2, num_questions=2)
+_Q = O._q
+_TH = O.thread_render_sql(P.ft_max_tok, P.gen_max_tok, _caps_sql(P), None)
+
+
+def _md5int(*parts: str) -> str:
+    return "('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 12))::BIGINT"
+
+
+def _idx_sql(src: str, id_expr: str, seed: str, cols: str = "*") -> str:
+    return (f"SELECT {cols}, CAST(row_number() OVER (ORDER BY md5({_Q(seed + '|')} || CAST({id_expr} AS VARCHAR)), "
+            f"{id_expr}) - 1 AS BIGINT) AS idx, count(*) OVER () AS n_total FROM {src}")
+
+
+_NUM = int(round(G.p * 1_000_000))
+SAMPLED_SQL = _TH + f""",
+idx0 AS ({_idx_sql('rendered', 'id', '42')}),
+flag AS (SELECT id, post_id, full_thread, subthread, subthread_context,
+                idx < (n_total * {_NUM}) // 1000000 AS include_oracle FROM idx0),
+sampled AS ({_idx_sql('flag', 'id', '42|again')})"""
+
+
+def _sampled(spark, sf):
+    return gen.sampled_threads(gen.thread_table(spark, sf), G)
+
+
+@register("dense_index", _TH + f",\nix AS ({_idx_sql('rendered', 'id', '42')})\nSELECT id, idx FROM ix")
+def q_dense_index(spark, sf):
+    return sampling.dense_index(gen.thread_table(spark, sf), "id", 42).select("id", "idx")
+
+
+@register("oracle_flag", SAMPLED_SQL + "\nSELECT id, include_oracle, idx FROM sampled")
+def q_oracle_flag(spark, sf):
+    return _sampled(spark, sf).select("id", "include_oracle", "idx")
+
+
+DOC_IDX = _idx_sql("documents", "doc_id", "42", "doc_id")
+
+
+@register("shuffled", f"SELECT doc_id, idx FROM ({DOC_IDX})")
+def q_shuffled(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    return sampling.dense_index(d, "doc_id", 42).select("doc_id", "idx")
+
+
+@register("sample_n", f"SELECT doc_id, idx FROM ({DOC_IDX}) WHERE idx < 100")
+def q_sample_n(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    return sampling.sample_n(sampling.dense_index(d, "doc_id", 42), 100).select("doc_id", "idx")
+
+
+SPLIT_SQL = (f"SELECT doc_id, CASE WHEN idx < (n_total * 200000 + 999999) // 1000000 THEN 'test' ELSE 'train' END "
+             f"AS split FROM ({DOC_IDX})")
+
+
+def _split(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    return sampling.split_labels(sampling.dense_index(d, "doc_id", 42), 0.2).select("doc_id", "split")
+
+
+@register("split", SPLIT_SQL)
+def q_split(spark, sf):
+    return _split(spark, sf)
+
+
+@register("split_counts", f"SELECT split, count(*) AS n FROM ({SPLIT_SQL}) GROUP BY split")
+def q_split_counts(spark, sf):
+    return _split(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+DIST_SQL = SAMPLED_SQL + f""",
+dreq AS (SELECT id, j, idx, n_total FROM sampled, (SELECT unnest(range(0, {G.num_questions})) AS j)),
+dr AS (SELECT *, {_md5int("'42'", 'id', 'CAST(j AS VARCHAR)', "'0'")} % (n_total - 1) + 1 AS o0,
+              {_md5int("'42'", 'id', 'CAST(j AS VARCHAR)', "'1'")} % (n_total - 2) + 1 AS v1 FROM dreq),
+dd AS (
+  SELECT d.id, d.j, s.slot, t.id AS distractor_id
+  FROM dr d CROSS JOIN (SELECT unnest([0, 1]) AS slot) s
+  JOIN sampled t ON t.idx = (d.idx + CASE WHEN s.slot = 0 THEN d.o0
+                                          ELSE d.v1 + CASE WHEN d.v1 >= d.o0 THEN 1 ELSE 0 END END) % d.n_total)"""
+
+
+@register("distractors", DIST_SQL + "\nSELECT id, CAST(j AS INTEGER) AS j, CAST(slot AS INTEGER) AS slot, distractor_id FROM dd")
+def q_distractors(spark, sf):
+    s = _sampled(spark, sf)
+    reqs = gen.requests(s, G).withColumnRenamed("thread_id", "id")
+    d = sampling.distractors(s, reqs, G.num_distractors, G.seed)
+    return d.select("id", F.col("j").cast("int"), F.col("slot").cast("int"), "distractor_id")
+
+
+def _user_prompt_sql(thread: str, ctx: str) -> str:
+    return (f"CASE WHEN {ctx} IS NOT NULL AND {ctx} <> '' THEN {_Q(PR.CONTEXT_FRAME_HEAD)} || {ctx} || "
+            f"{_Q(PR.CONTEXT_FRAME_MID)} || {thread} || {_Q(PR.FRAME_TAIL)} "
+            f"ELSE {_Q(PR.PLAIN_FRAME_HEAD)} || {thread} || {_Q(PR.FRAME_TAIL)} END")
+
+
+REQS_SQL = DIST_SQL + f""",
+reqs AS (SELECT id AS thread_id, CAST(j AS INTEGER) AS j FROM sampled, (SELECT unnest(range(0, {G.num_questions})) AS j)),
+rdocs AS (SELECT doc_id, regexp_extract(text, {O.SENT_RE}, 0) AS s1, substr(text, 1, 200) AS head FROM documents),
+rr AS (SELECT q.thread_id, q.j, CAST(q.j AS BIGINT) AS jj, rd.doc_id AS d, rd.s1, rd.head
+       FROM reqs q JOIN rdocs rd ON rd.doc_id = CAST(substr(q.thread_id, 4) AS BIGINT)),
+resp AS (
+  SELECT thread_id, j, 'question' AS stage, CAST(a AS INTEGER) AS attempt,
+         CASE (d + 2 * jj + a) % 6
+           WHEN 0 THEN '<question>' || chr(10) || s1 || chr(10) || '</question>'
+           WHEN 1 THEN 'Sorry, I can''t help with that.'
+           WHEN 2 THEN '```xml' || chr(10) || '<question>' || chr(10) || '</question>' || chr(10) || '```'
+           WHEN 3 THEN '<question>' || chr(10) || s1
+           WHEN 4 THEN '```xml' || chr(10) || '<question>' || chr(10) || s1 || chr(10) || '```'
+           ELSE '<question>' || s1 || '</question>' || chr(10) END AS text
+  FROM rr, range(0, 3) t(a) WHERE a <= (d + jj) % 3
+  UNION ALL
+  SELECT thread_id, j, 'answer' AS stage, CAST(a AS INTEGER) AS attempt,
+         CASE (d + jj + a) % 4
+           WHEN 0 THEN '<analysis>' || chr(10) || head || chr(10) || '</analysis>' || chr(10) || '<answer>' || chr(10)
+                       || s1 || chr(10) || '</answer>'
+           WHEN 1 THEN 'no analysis here'
+           WHEN 2 THEN '<analysis>' || chr(10) || head || chr(10) || '</analysis>' || chr(10) || s1
+           ELSE '<analysis>' || chr(10) || chr(10) || '</analysis>' || chr(10) || '<answer>' || chr(10) || s1
+                || chr(10) || '</answer>' END AS text
+  FROM rr, range(0, 3) t(a) WHERE a <= (d + jj + 1) % 3),
+pq AS (
+  SELECT thread_id, j, attempt, contains(text, '<question>') AS matched,
+         regexp_replace(regexp_extract(text, {_Q(PR.QUESTION_RE)}, 1), {_Q(dataset.WS_STRIP)}, '', 'g') AS question
+  FROM resp WHERE stage = 'question'),
+pa AS (
+  SELECT thread_id, j, attempt, regexp_matches(text, {_Q(PR.ANSWER_MATCH_RE)}) AS matched,
+         regexp_replace(regexp_extract(text, {_Q(PR.ANSWER_RE)}, 1), {_Q(dataset.WS_STRIP)}, '', 'g') AS reasoning,
+         regexp_replace(regexp_extract(text, {_Q(PR.ANSWER_RE)}, 2), {_Q(dataset.WS_STRIP)}, '', 'g') AS answer
+  FROM resp WHERE stage = 'answer'),
+fq AS (SELECT thread_id, j, min(attempt) FILTER (WHERE matched AND attempt < 5) AS first_ok,
+              arg_min(question, attempt) FILTER (WHERE matched AND attempt < 5) AS question
+       FROM pq GROUP BY thread_id, j),
+fa AS (SELECT thread_id, j, min(attempt) FILTER (WHERE matched AND attempt < 5) AS first_ok,
+              arg_min(reasoning, attempt) FILTER (WHERE matched AND attempt < 5) AS reasoning,
+              arg_min(answer, attempt) FILTER (WHERE matched AND attempt < 5) AS answer
+       FROM pa GROUP BY thread_id, j),
+emb AS (SELECT q.thread_id, q.j, [CAST(x AS DOUBLE) FOR x IN e.embedding] AS embeddings
+        FROM reqs q JOIN embeddings e ON e.vec_id = CAST(substr(q.thread_id, 4) AS BIGINT) + q.j),
+st0 AS (
+  SELECT q.thread_id, q.j, fq.question, fa.reasoning, fa.answer, emb.embeddings,
+         CASE WHEN fq.first_ok IS NULL THEN 'failed'
+              WHEN fq.question = '' THEN 'skipped'
+              WHEN fa.first_ok IS NULL THEN 'failed'
+              WHEN fa.reasoning = '' OR fa.answer = '' THEN 'skipped'
+              WHEN emb.thread_id IS NULL THEN 'failed'
+              ELSE 'ok' END AS status
+  FROM reqs q LEFT JOIN fq USING (thread_id, j) LEFT JOIN fa USING (thread_id, j)
+  LEFT JOIN emb USING (thread_id, j)),
+st AS (
+  SELECT * FROM (
+    SELECT *, max(CASE WHEN status = 'skipped' THEN 1 ELSE 0 END) OVER (
+             PARTITION BY thread_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_skip
+    FROM st0) WHERE COALESCE(prev_skip, 0) = 0)"""
+
+
+def _gen(spark, sf):
+    return gen.generate(spark, sf, gen.thread_table(spark, sf), G)
+
+
+def _reqs_resp(spark, sf):
+    s = _sampled(spark, sf)
+    reqs = gen.requests(s, G)
+    return s, reqs, gen.derived_responses(spark, sf, reqs)
+
+
+@register("question_requests", REQS_SQL + f"""
+SELECT id AS thread_id, CAST(j AS INTEGER) AS j,
+       {_Q(PR.QUESTION_PROMPT + chr(10) + chr(10))} || {_user_prompt_sql('subthread', 'subthread_context')} AS request
+FROM sampled, (SELECT unnest(range(0, {G.num_questions})) AS j)""")
+def q_question_requests(spark, sf):
+    return dataset.question_requests(_sampled(spark, sf), G.num_questions)
+
+
+@register("parse_questions", REQS_SQL + "\nSELECT thread_id, j, attempt, matched, question FROM pq")
+def q_parse_questions(spark, sf):
+    _, _, resp = _reqs_resp(spark, sf)
+    m, q = dataset.parse_question(F.col("text"))
+    return resp.where("stage = 'question'").select("thread_id", "j", "attempt", m.alias("matched"),
+                                                    q.alias("question"))
+
+
+@register("parse_answers", REQS_SQL + "\nSELECT thread_id, j, attempt, matched, reasoning, answer FROM pa")
+def q_parse_answers(spark, sf):
+    _, _, resp = _reqs_resp(spark, sf)
+    m, r, a = dataset.parse_answer(F.col("text"))
+    return resp.where("stage = 'answer'").select("thread_id", "j", "attempt", m.alias("matched"),
+                                                  r.alias("reasoning"), a.alias("answer"))
+
+
+@register("first_valid_response", REQS_SQL + """
+SELECT thread_id, j, 'question' AS stage, first_ok FROM fq
+UNION ALL SELECT thread_id, j, 'answer' AS stage, first_ok FROM fa""")
+def q_first_valid_response(spark, sf):
+    _, _, resp = _reqs_resp(spark, sf)
+    q = dataset.first_valid(resp, "question").select("thread_id", "j", F.lit("question").alias("stage"), "first_ok")
+    a = dataset.first_valid(resp, "answer").select("thread_id", "j", F.lit("answer").alias("stage"), "first_ok")
+    return q.unionByName(a)
+
+
+@register("answer_requests", REQS_SQL + f""",
+aq AS (SELECT f.thread_id, f.j, f.question, s.subthread, s.subthread_context
+       FROM fq f JOIN sampled s ON s.id = f.thread_id WHERE f.first_ok IS NOT NULL AND f.question <> '')
+SELECT thread_id, j, {_Q(PR.ANSWER_PROMPT + chr(10) + chr(10))} || {_user_prompt_sql('subthread', 'subthread_context')}
+       || {_Q(chr(10) + chr(10) + 'Here is the question:' + chr(10) + '```xml' + chr(10) + '<question>' + chr(10))}
+       || question || {_Q(chr(10) + '</question>' + chr(10) + '```')} AS request
+FROM aq""")
+def q_answer_requests(spark, sf):
+    s, _, resp = _reqs_resp(spark, sf)
+    fq = dataset.first_valid(resp, "question").where("matched").select("thread_id", "j", "question")
+    return dataset.answer_requests(s, fq)
+
+
+@register("response_status", REQS_SQL + "\nSELECT thread_id, j, status FROM st")
+def q_response_status(spark, sf):
+    return _gen(spark, sf).status.select("thread_id", "j", "status")
+
+
+@register("response_status_counts", REQS_SQL + "\nSELECT status, count(*) AS n FROM st GROUP BY status")
+def q_response_status_counts(spark, sf):
+    return _gen(spark, sf).status.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+PROMPTS_SQL = REQS_SQL + """,
+okr AS (SELECT st.*, s.include_oracle, s.full_thread FROM st JOIN sampled s ON s.id = st.thread_id WHERE status = 'ok'),
+items AS (
+  SELECT o.thread_id, o.j, d.distractor_id AS src, t.full_thread AS t
+  FROM okr o JOIN dd d ON d.id = o.thread_id AND d.j = o.j JOIN sampled t ON t.id = d.distractor_id
+  UNION ALL
+  SELECT thread_id, j, thread_id AS src, full_thread AS t FROM okr WHERE include_oracle),
+numbered AS (
+  SELECT thread_id, j, t, row_number() OVER (PARTITION BY thread_id, j
+           ORDER BY md5(concat_ws('|', '42', thread_id, CAST(j AS VARCHAR), src))) AS n FROM items),
+ctx AS (
+  SELECT thread_id, j, string_agg('<thread' || n || '>' || chr(10) || t || chr(10) || '</thread' || n || '>'
+                                  || chr(10) || chr(10), '' ORDER BY n) AS ctx
+  FROM numbered GROUP BY thread_id, j),
+prompts AS (SELECT o.*, COALESCE(c.ctx, '') || 'Question: ' || o.question AS prompt
+            FROM okr o LEFT JOIN ctx c USING (thread_id, j))"""
+
+
+@register("assembled_prompts", PROMPTS_SQL + "\nSELECT thread_id, j, prompt FROM prompts")
+def q_assembled_prompts(spark, sf):
+    return _gen(spark, sf).prompts.select("thread_id", "j", "prompt")
+
+
+@register("examples", PROMPTS_SQL + "\nSELECT prompt AS question, reasoning, answer FROM prompts")
+def q_examples(spark, sf):
+    return _gen(spark, sf).examples
+
+
+@register("corpus", PROMPTS_SQL + "\nSELECT thread_id AS id, question AS query, full_thread AS thread, embeddings FROM prompts")
+def q_corpus(spark, sf):
+    return _gen(spark, sf).corpus
+
+
+@register("sft_rows", PROMPTS_SQL + f"""
+SELECT {_Q(PR.SYSTEM_PROMPT)} AS system, prompt AS "user",
+       '<think>' || reasoning || '</think>' || chr(10) || '<answer>' || answer || '</answer>' AS assistant,
+       {_Q(PR.SYSTEM_PROMPT + PR.EOS_TOKEN)} || prompt || '<think>' || reasoning || '</think>' || chr(10)
+       || '<answer>' || answer || '</answer>' || {_Q(PR.EOS_TOKEN)} AS text
+FROM prompts""")
+def q_sft_rows(spark, sf):
+    rows = chat.sft_messages(_gen(spark, sf).examples)
+    return rows.withColumn("text", chat.render_sft(rows))
+
+
+# ---------------------------------------------------------------------------
+# retrieval and chat rendering
+# ---------------------------------------------------------------------------
+
+QUERY_IDS = [0, 1, 2]
+TOP_K = 5
+_COS = """CASE WHEN sqrt(list_sum([x * x FOR x IN qv])) * sqrt(list_sum([x * x FOR x IN cv])) = 0 THEN 0.0
+          ELSE list_sum([qv[i] * cv[i] FOR i IN range(1, len(cv) + 1)])
+               / (sqrt(list_sum([x * x FOR x IN qv])) * sqrt(list_sum([x * x FOR x IN cv]))) END"""
+TOPK_SQL = f"""WITH ev AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS cv FROM embeddings),
+qs AS (SELECT vec_id AS qid, cv AS qv FROM ev WHERE vec_id IN ({', '.join(map(str, QUERY_IDS))})),
+sc AS (SELECT qid, vec_id, {_COS} AS score FROM qs, ev),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id ASC) AS rank FROM sc)"""
+
+
+def _topk(spark, sf, qids):
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    q = e.where(F.col("vec_id").isin(qids)).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    return retrieve.top_k(e, q, TOP_K)
+
+
+@register("cosine_topk", TOPK_SQL + f"""
+SELECT vec_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM rk WHERE qid = 0 AND rank <= {TOP_K}""")
+def q_cosine_topk(spark, sf):
+    return _topk(spark, sf, [0]).select("vec_id", F.col("rank").cast("long"), F.round("score", 6).alias("score"))
+
+
+@register("cosine_topk_batch", TOPK_SQL + f"""
+SELECT qid, vec_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM rk WHERE rank <= {TOP_K}""")
+def q_cosine_topk_batch(spark, sf):
+    return _topk(spark, sf, QUERY_IDS).select("qid", "vec_id", F.col("rank").cast("long"),
+                                              F.round("score", 6).alias("score"))
+
+
+@register("context_prompts", TOPK_SQL + f""",
+hits AS (SELECT r.qid, r.rank, d.text AS thread FROM rk r JOIN documents d ON d.doc_id = r.vec_id WHERE r.rank <= {TOP_K}),
+blocks AS (SELECT qid, string_agg('<thread' || rank || '>' || chr(10) || thread || chr(10) || '</thread' || rank || '>',
+                                  chr(10) || chr(10) ORDER BY rank) AS b FROM hits GROUP BY qid)
+SELECT q.qid, CASE WHEN b.b IS NULL THEN '' ELSE b.b || chr(10) || chr(10) END || 'Question: ' || d.text AS prompt
+FROM qs q JOIN documents d ON d.doc_id = q.qid LEFT JOIN blocks b ON b.qid = q.qid""")
+def q_context_prompts(spark, sf):
+    hits = _topk(spark, sf, QUERY_IDS)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("thread"))
+    questions = (table(spark, sf, "embeddings").where(F.col("vec_id").isin(QUERY_IDS)).select(F.col("vec_id").alias("qid"))
+                 .join(table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("question")),
+                       "qid"))
+    return retrieve.context_prompts(hits, docs, questions)
+
+
+@register("render_chat", f"""
+WITH c AS (SELECT * FROM conversations),
+firsts AS (SELECT conv_id, arg_min(role, (turn, role, text)) AS frole, arg_min(text, (turn, role, text)) AS ftext
+           FROM c GROUP BY conv_id),
+pieces AS (
+  SELECT c.conv_id, c.turn, c.role, c.text,
+         CASE WHEN c.role = 'user' THEN c.text WHEN c.role = 'assistant' THEN c.text || {_Q(PR.EOS_TOKEN)}
+              ELSE '' END AS piece FROM c)
+SELECT p.conv_id,
+       CASE WHEN f.frole = 'system' THEN f.ftext || {_Q(PR.EOS_TOKEN)} ELSE {_Q(PR.SYSTEM_PROMPT + PR.EOS_TOKEN)} END
+       || string_agg(p.piece, '' ORDER BY p.turn, p.role, p.text) AS text
+FROM pieces p JOIN firsts f USING (conv_id) GROUP BY p.conv_id, f.frole, f.ftext""")
+def q_render_chat(spark, sf):
+    return chat.render_chat(table(spark, sf, "conversations"))
