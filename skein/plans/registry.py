@@ -675,3 +675,137 @@ SELECT p.conv_id,
 FROM pieces p JOIN firsts f USING (conv_id) GROUP BY p.conv_id, f.frole, f.ftext""")
 def q_render_chat(spark, sf):
     return chat.render_chat(table(spark, sf, "conversations"))
+
+
+# ---------------------------------------------------------------------------
+# dump export, CSV interchange, JSON-lines scan
+# ---------------------------------------------------------------------------
+
+from skein.session import stage_path  # noqa: E402
+from skein.sources import dumps, forest  # noqa: E402
+
+
+def _lines(spark, sf, kind):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return forest.dump_with_defects(docs, kind)
+
+
+def _parsed(spark, sf, kind):
+    return dumps.parse_lines(_lines(spark, sf, kind), kind)
+
+
+_LINK = "'https://www.reddit.com/r/forum/comments/'"
+EXPORT_POSTS_SQL = f"""WITH {O.FOREST}
+SELECT 'u/user' || CAST(doc_id % 50 AS VARCHAR) AS author, substr(text, 1, 60) AS title,
+       CAST(score AS VARCHAR) AS score, strftime(created, {O.TS_FMT}) AS created,
+       COALESCE(body0, '') AS text, 't3_' || CAST(doc_id AS VARCHAR) AS id,
+       CASE WHEN doc_id % 80 = 0 THEN source ELSE '' END AS link_flair_text, distinguished,
+       'forum' AS subreddit, {_LINK} || CAST(doc_id AS VARCHAR) || '/_/' AS link
+FROM fbase WHERE doc_id % 40 = 0 AND doc_id % 50 NOT IN (7, 9) AND doc_id % 3 <> 0"""
+
+EXPORT_REPLIES_SQL = f"""WITH {O.FOREST}
+SELECT 'u/user' || CAST(doc_id % 50 AS VARCHAR) AS author, CAST(score AS VARCHAR) AS score,
+       strftime(created, {O.TS_FMT}) AS created, body0 AS body, 't1_' || CAST(doc_id AS VARCHAR) AS name,
+       CASE WHEN pdoc % 40 = 0 THEN 't3_' ELSE 't1_' END || CAST(pdoc AS VARCHAR) AS parent_id, distinguished,
+       'forum' AS subreddit,
+       CASE WHEN doc_id % 3 <> 0 THEN {_LINK} || CAST(doc_id AS VARCHAR) || '/_/'
+            ELSE {_LINK} || CAST(doc_id - doc_id % 40 AS VARCHAR) || '/_/' || CAST(doc_id AS VARCHAR) || '/' END AS link
+FROM fparent WHERE doc_id % 50 NOT IN (7, 9)"""
+
+
+@register("project_posts", EXPORT_POSTS_SQL)
+def q_project_posts(spark, sf):
+    return dumps.export_records(_parsed(spark, sf, "posts"), "posts")
+
+
+@register("project_replies", EXPORT_REPLIES_SQL)
+def q_project_replies(spark, sf):
+    return dumps.export_records(_parsed(spark, sf, "replies"), "replies")
+
+
+@register("quarantine", """
+SELECT doc_id AS line_no, 'posts' AS kind, CASE WHEN doc_id % 50 IN (7, 9) THEN 'bad_json' ELSE 'missing_key' END AS status,
+       CASE WHEN doc_id % 50 IN (7, 9) THEN 'undecodable JSON' ELSE 'no key link_id' END AS reason
+FROM documents WHERE doc_id % 40 = 0 AND (doc_id % 50 IN (7, 9) OR doc_id % 3 = 0)
+UNION ALL
+SELECT doc_id AS line_no, 'replies' AS kind, 'bad_json' AS status, 'undecodable JSON' AS reason
+FROM documents WHERE doc_id % 40 <> 0 AND doc_id % 50 IN (7, 9)""")
+def q_quarantine(spark, sf):
+    out = []
+    for kind in ("posts", "replies"):
+        out.append(dumps.quarantine(_parsed(spark, sf, kind)).select("line_no", F.lit(kind).alias("kind"),
+                                                                     "status", "reason"))
+    return out[0].unionByName(out[1])
+
+
+@register("ingest_metrics", f"""WITH {O.FOREST}
+SELECT 'posts' AS kind, count(*) AS n_lines, count(*) FILTER (WHERE doc_id % 50 IN (7, 9)) AS n_bad,
+       count(*) FILTER (WHERE doc_id % 50 NOT IN (7, 9) AND doc_id % 3 = 0) AS n_missing,
+       strftime(max(created) FILTER (WHERE doc_id % 50 NOT IN (7, 9) AND doc_id % 3 <> 0), {O.TS_FMT}) AS last_created
+FROM fbase WHERE doc_id % 40 = 0
+UNION ALL
+SELECT 'replies' AS kind, count(*) AS n_lines, count(*) FILTER (WHERE doc_id % 50 IN (7, 9)) AS n_bad, 0 AS n_missing,
+       strftime(max(created) FILTER (WHERE doc_id % 50 NOT IN (7, 9)), {O.TS_FMT}) AS last_created
+FROM fbase WHERE doc_id % 40 <> 0""")
+def q_ingest_metrics(spark, sf):
+    out = []
+    for kind in ("posts", "replies"):
+        out.append(_parsed(spark, sf, kind).agg(*dumps.metrics_columns()).select(F.lit(kind).alias("kind"), "*"))
+    return out[0].unionByName(out[1])
+
+
+def _csv_roundtrip(spark, sf, kind):
+    path = stage_path(spark, f"{kind}_csv")
+    dumps.write_csv(dumps.export_records(_parsed(spark, sf, kind), kind), path)
+    return dumps.read_posts_csv(spark, path) if kind == "posts" else dumps.read_replies_csv(spark, path)
+
+
+@register("scan_posts", f"""WITH e AS ({EXPORT_POSTS_SQL})
+SELECT id, author, title, CAST(score AS BIGINT) AS score, created,
+       {O.nt('text')} AS body, {O.nt('link_flair_text')} AS link_flair_text, {O.nt('distinguished')} AS distinguished
+FROM e""")
+def q_scan_posts(spark, sf):
+    p = _csv_roundtrip(spark, sf, "posts")
+    return p.select("id", "author", "title", "score", _ts(), "body", "link_flair_text", "distinguished")
+
+
+@register("scan_replies", f"""WITH e AS ({EXPORT_REPLIES_SQL})
+SELECT name AS id, parent_id, author, CAST(score AS BIGINT) AS score, created, {O.nt('body')} AS body,
+       {O.nt('distinguished')} AS distinguished
+FROM e""")
+def q_scan_replies(spark, sf):
+    r = _csv_roundtrip(spark, sf, "replies")
+    return r.select("id", "parent_id", "author", "score", _ts(), "body", "distinguished")
+
+
+@register("ingest_lines")
+def q_ingest_lines(spark, sf):
+    """Dump lines written as compressed text files and scanned back (rows-only
+    check). gzip here: Spark's text writer has no zstd codec in this build."""
+    path = stage_path(spark, "dump_gz")
+    lines = _lines(spark, sf, "posts").unionByName(_lines(spark, sf, "replies")).select("value")
+    lines.write.mode("overwrite").option("compression", "gzip").text(path)
+    return dumps.read_lines(spark, path)
+
+
+@register("jsonl_scan")
+def q_jsonl_scan(spark, sf):
+    """Corpus JSON lines (with undecodable and blank lines) scanned with an
+    explicit schema; bad lines land in ``_corrupt_record`` (rows-only check)."""
+    from pyspark.sql import types as T
+    path = stage_path(spark, "corpus_jsonl")
+    e = table(spark, sf, "embeddings")
+    good = e.select(F.to_json(F.struct(F.col("vec_id").cast("string").alias("id"),
+                                       F.col("vec_id").cast("string").alias("query"),
+                                       F.lit("").alias("thread"),
+                                       F.transform("embedding", lambda x: x.cast("double")).alias("embeddings")))
+                    .alias("value"), "vec_id")
+    lines = good.select(F.when(F.col("vec_id") % 97 == 3, F.lit("{not json")).otherwise(F.col("value")).alias("value"))
+    lines.write.mode("overwrite").text(path)
+    schema = T.StructType(list(schemas_corpus().fields) + [T.StructField("_corrupt_record", T.StringType())])
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+
+
+def schemas_corpus():
+    from skein import schemas
+    return schemas.CORPUS

@@ -27,8 +27,10 @@ def is_post() -> Column:
 def parent_doc() -> Column:
     d = _d()
     m = d % ROOT_EVERY
-    r = d % m  # only evaluated for replies (m > 0)
-    return d - m + ((r * r * 7 + r * 3) % m)
+    # the planner may evaluate this before the is-post filter: keep it total
+    safe = F.when(m == 0, F.lit(1)).otherwise(m)
+    r = d % safe
+    return d - m + ((r * r * 7 + r * 3) % safe)
 
 
 def msg_id(doc: Column) -> Column:
@@ -120,3 +122,13 @@ def dump_lines(docs: DataFrame, kind: str) -> DataFrame:
             F.concat(F.lit("t3_"), post_doc.cast("string")).alias("link_id"),
         )
     return base.select(F.to_json(obj).alias("value"), d.alias("line_no"))
+
+
+def dump_with_defects(docs: DataFrame, kind: str) -> DataFrame:
+    """``dump_lines`` with seeded defects: a truncated (undecodable) line when
+    doc_id % 50 = 7 and a blank line when doc_id % 50 = 9."""
+    lines = dump_lines(docs, kind)
+    d = F.col("line_no")
+    value = (F.when(d % 50 == 7, F.substring("value", 1, 20))
+             .when(d % 50 == 9, F.lit("")).otherwise(F.col("value")))
+    return lines.select(value.alias("value"), "line_no")
