@@ -93,16 +93,24 @@ def sentences(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(SENTENCE_PATTERN), 0)
 
 
+# Words of the letters-only text: runs of ASCII letters (replacing every other
+# character by a space and splitting on spaces gives exactly these).
+LETTER_RUN = r"[a-zA-Z]+"
+
+# Words of a lower-cased sentence: each whitespace-separated piece with its
+# leading and trailing non-alphanumeric characters stripped (pieces without
+# any alphanumeric character vanish). One match per piece.
+SENTENCE_WORD = r"[a-z0-9](?:[^" + WS + r"]*[a-z0-9])?"
+
+
 def letter_words(c: Column) -> Column:
     """Words of the letters-only form of a text (case kept)."""
-    letters = F.trim(F.regexp_replace(c, NON_LETTERS, " "))
-    return F.when(letters == "", F.array().cast("array<string>")).otherwise(F.split(letters, " +"))
+    return F.regexp_extract_all(c, F.lit(LETTER_RUN), 0)
 
 
 def sentence_words(c: Column) -> Column:
     """Lower-cased words of a sentence: whitespace split, outer punctuation stripped."""
-    parts = F.split(F.lower(c), "[" + WS + "]+")
-    return F.transform(parts, lambda w: F.regexp_replace(w, r"^[^a-z0-9]+|[^a-z0-9]+$", ""))
+    return F.regexp_extract_all(F.lower(c), F.lit(SENTENCE_WORD), 0)
 
 
 def null_if_token(c: Column) -> Column:

@@ -97,7 +97,7 @@ def cut_bodies(st: ThreadStages, p: ThreadParams) -> DataFrame:
     caps = budget.waterfill_caps(over_budget_messages(st, p), ["focus_id", "view"])
     caps = caps.where(F.col("cap") != F.col("tok")).select("focus_id", "view", "msg_id", "cap")
     need = st.records.select("msg_id", "body").join(caps.select("msg_id").distinct(), "msg_id", "left_semi")
-    ranked = summarize.ranked_sentences(need)
+    ranked = materialize(summarize.ranked_sentences(need), "ranked_sentences")
     sums = summarize.summaries(ranked, caps.select("msg_id", "cap"))
     cut = caps.join(sums, ["msg_id", "cap"])
     return cut.groupBy("focus_id", "msg_id").agg(
