@@ -50,11 +50,16 @@ def _roots(posts: DataFrame) -> DataFrame:
 
 
 def _level(replies: DataFrame, frontier: DataFrame, depth: int) -> DataFrame:
-    return (replies.join(frontier, replies["parent_id"] == frontier["_pid"], "inner")
-            .select(*[replies[c] for c in replies.columns],
-                    frontier["post_id"],
+    # name-based columns with fresh aliases: a checkpointed frontier keeps the
+    # attribute ids of the plan it came from, which would make the self-join
+    # with ``replies`` ambiguous
+    f = frontier.select(F.col("_pid").alias("_fid"), F.col("post_id").alias("_fpost"),
+                        F.col("_ppath").alias("_fpath"))
+    return (replies.join(f, F.col("parent_id") == F.col("_fid"), "inner")
+            .select(*[F.col(c) for c in replies.columns],
+                    F.col("_fpost").alias("post_id"),
                     F.lit(depth).alias("depth"),
-                    F.concat(frontier["_ppath"], F.array(replies["id"])).alias("path")))
+                    F.concat(F.col("_fpath"), F.array(F.col("id"))).alias("path")))
 
 
 def attach_levels(posts: DataFrame, replies: DataFrame, max_level: int) -> DataFrame:
