@@ -95,7 +95,8 @@ def cut_bodies(st: ThreadStages, p: ThreadParams) -> DataFrame:
     """focus_id, msg_id, body_ft_cut, body_gen_cut: summaries replacing bodies
     that must shrink (only for over-budget views)."""
     caps = budget.waterfill_caps(over_budget_messages(st, p), ["focus_id", "view"])
-    caps = caps.where(F.col("cap") != F.col("tok")).select("focus_id", "view", "msg_id", "cap")
+    # small (over-budget messages only) and read three times below
+    caps = materialize(caps.where(F.col("cap") != F.col("tok")).select("focus_id", "view", "msg_id", "cap"), "caps")
     need = st.records.select("msg_id", "body").join(caps.select("msg_id").distinct(), "msg_id", "left_semi")
     ranked = materialize(summarize.ranked_sentences(need), "ranked_sentences")
     sums = summarize.summaries(ranked, caps.select("msg_id", "cap"))
