@@ -133,6 +133,14 @@ def rank_replies(replies_with_counts: DataFrame) -> DataFrame:
     return replies_with_counts.withColumn("rank", F.row_number().over(w))
 
 
+def rank_replies_spread(replies_with_counts: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Same ranks as ``rank_replies`` for every reply, without putting a hot
+    parent's replies into one window task (range-partitioned ranking)."""
+    from skein.operators.ordering import rank_within_groups
+
+    return rank_within_groups(replies_with_counts, "parent_id", sibling_order(), "rank", partitions)
+
+
 def top_replies(replies_with_counts: DataFrame, k: int) -> DataFrame:
     """The ``k`` best replies per parent. ``rank <= k`` right above the window
     lets the planner add a partial WindowGroupLimit before the shuffle, so a

@@ -115,9 +115,9 @@ SELECT (SELECT count(*) FROM kposts) AS n_posts, (SELECT count(*) FROM att) AS n
 def q_kept_counts(spark, sf):
     posts, replies = bt.filtered_forest(spark, sf)
     att = tree.attach_all(posts, replies)
-    a = posts.agg(F.count(F.lit(1)).alias("n_posts"))
-    b = att.agg(F.count(F.lit(1)).alias("n_replies"))
-    return a.crossJoin(b)  # two one-row aggregates
+    flags = (posts.select(F.lit(1).alias("p"), F.lit(0).alias("r"))
+             .unionByName(att.select(F.lit(0).alias("p"), F.lit(1).alias("r"))))
+    return flags.agg(F.sum("p").cast("long").alias("n_posts"), F.sum("r").cast("long").alias("n_replies"))
 
 
 def _nodes(spark, sf, p=P):
@@ -148,7 +148,7 @@ def q_reply_counts(spark, sf):
 @register("rank_replies", O.tree_ctes() + "\nSELECT id, parent_id, CAST(rank AS BIGINT) AS rank FROM ranked")
 def q_rank_replies(spark, sf):
     n = _nodes(spark, sf).where("depth >= 1")
-    return tree.rank_replies(n).select("id", "parent_id", F.col("rank").cast("long"))
+    return tree.rank_replies_spread(n).select("id", "parent_id", F.col("rank").cast("long"))
 
 
 @register("top_replies", O.tree_ctes() + "\nSELECT id, parent_id, CAST(rank AS BIGINT) AS rank FROM ranked WHERE rank <= 3")
@@ -179,7 +179,7 @@ GROUP BY s.id, p.ord""")
 def q_preorder(spark, sf):
     posts, replies = bt.filtered_forest(spark, sf)
     nodes = bt.threads.forest_nodes(posts, replies, P.max_depth)
-    ranks = tree.rank_replies(nodes.where("depth >= 1")).select(F.col("id").alias("step"), "rank")
+    ranks = tree.rank_replies_spread(nodes.where("depth >= 1")).select(F.col("id").alias("step"), "rank")
     focus = nodes.where((F.col("depth") <= P.max_depth) & (F.col("num_replies") > 0))
     steps = (focus.select("id", "post_id", F.posexplode("path").alias("i", "step"))
              .join(ranks, "step", "left")

@@ -116,3 +116,18 @@ def test_limits_checked():
 
     with pytest.raises(ValueError):
         bt.ThreadParams(ft_max_tok=999).validate()
+
+
+def test_spread_rank_equals_window_rank_on_hot_parent(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for i in range(600):   # one hot parent with most replies, a few small ones
+        parent = "t3_hot" if i % 5 else f"t3_p{i % 7}"
+        rows.append((f"t1_{i}", parent, "u", rnd.randint(0, 4), T0 + dt.timedelta(minutes=rnd.randint(0, 9)),
+                     "b", None, i))
+    df = spark.createDataFrame(rows, schemas.REPLIES).withColumn("num_replies", (F.col("ord") % 3).cast("long"))
+    a = {x.id: x.rank for x in tree.rank_replies(df).collect()}
+    b = {x.id: x.rank for x in tree.rank_replies_spread(df, partitions=6).collect()}
+    assert a == b
