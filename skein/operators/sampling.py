@@ -26,7 +26,7 @@ def order_key(id_col: Column, seed: int | str = DEFAULT_SEED) -> Column:
 
 
 def dense_index(df: DataFrame, id_col: str = "id", seed: int | str = DEFAULT_SEED,
-                out: str = "idx", bucket_digits: int = 3) -> DataFrame:
+                out: str = "idx", bucket_digits: int = 4) -> DataFrame:
     """Adds ``out`` = 0-based rank of each row in seeded-shuffle order and
     ``n_total`` = number of rows. ``id_col`` must be unique."""
     if not 1 <= bucket_digits <= 5:
