@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat_format, hilbert, secrets, topk
+from skein.llm import chat_format, hilbert, packing, secrets, topk
 from skein.llm.common import read
 from skein.llm.oracle import ORACLE  # noqa: F401
 
@@ -20,6 +20,11 @@ def register(fn):
     return fn
 
 
+@register
+def op4_packing(spark, sf):
+    return packing.pack(read(spark, sf, "documents"))
+
+
 @register
 def op6_chat_format(spark, sf):
     mark = "</s>[INST] ok [/INST]"  # the fixed conversation of control strings
