@@ -59,3 +59,74 @@ def global_rank(df: DataFrame, order: list[str], name: str, out: str = "rank") -
               .withColumn(out, F.col("_off") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
               .drop("_part", "_off", "_mid"))
     return ranked, total
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node reachable) of every node of the undirected
+    ``edges`` (two long columns u, v).
+
+    Alternates large-star and small-star steps: every node links its larger
+    neighbours, then its smaller ones, to the smallest node it knows, until the
+    edges are stars. Each step is a minimum (partially aggregated) and an
+    equi-join; a hot centre's edges are split by the skew join. Each round is
+    written to the shared folder, which cuts the lineage.
+    """
+    greater = F.greatest("u", "v").alias("u")
+    e = materialize(edges.where("u <> v").select(greater, F.least("u", "v").alias("v")).distinct(), "cc")
+    state = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = (large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                 .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        e = materialize(small, "cc")
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state:
+            break
+        state = now
+    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def whole_groups(batches, keys: list[str]):
+    """From Arrow batches sorted by ``keys`` (longs), tables that hold only whole
+    groups, with the positions where groups start (and the end)."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table]).combine_chunks()
+        cols = [table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.nonzero(new)[0]
+        last = int(starts[-1])
+        held = table.slice(last)
+        if last:
+            yield table.slice(0, last).combine_chunks(), starts
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), np.array([0, held.num_rows])
+
+
+def binary_parts(column):
+    """The bytes of a binary column as one array, and the offsets of its rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(c, pa.ChunkedArray):
+        c = c.chunk(0) if c.num_chunks else pa.array([], pa.binary())
+    kind = np.int64 if pa.types.is_large_binary(c.type) else np.int32
+    _, offsets, data = c.buffers()
+    at = np.frombuffer(offsets, kind)[c.offset:c.offset + len(c) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None and len(c) else np.zeros(0, np.uint8)
+    return raw, at - at[0]

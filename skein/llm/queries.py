@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat_format, hilbert, packing, secrets, topk, toxicity
+from skein.llm import chat_format, hilbert, near_dedup, packing, secrets, topk, toxicity
 from skein.llm.common import read
 from skein.llm.oracle import ORACLE  # noqa: F401
 
@@ -55,3 +55,8 @@ def op8_secrets(spark, sf):
 @register
 def op9_hilbert_shards(spark, sf):
     return hilbert.shard_documents(read(spark, sf, "documents"))
+
+
+@register
+def op10_near_dedup(spark, sf):
+    return near_dedup.near_duplicates(read(spark, sf, "documents"))
