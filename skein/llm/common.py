@@ -130,3 +130,22 @@ def binary_parts(column):
     at = np.frombuffer(offsets, kind)[c.offset:c.offset + len(c) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None and len(c) else np.zeros(0, np.uint8)
     return raw, at - at[0]
+
+
+FILTER_BITS = 1 << 24
+
+
+def only_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``df`` without most rows whose ``on`` columns are not in ``keys``.
+
+    A bitmap of ``FILTER_BITS`` bits (at most FILTER_BITS / 64 rows of two
+    longs: 4 MB, whatever the data) is broadcast, so rows that no join can use
+    are not shuffled. It keeps every matching row and some others; with far
+    more keys than bits it just filters less."""
+    bit = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS))
+    mask = F.expr("shiftleft(1L, cast(_bit % 64 as int))")
+    words = (keys.select(bit.alias("_bit")).groupBy(F.expr("_bit div 64").alias("_word"))
+             .agg(F.bit_or(mask).alias("_mask")))
+    marked = df.withColumn("_bit", bit).withColumn("_word", F.expr("_bit div 64"))
+    return (marked.join(F.broadcast(words), "_word").where(F.col("_mask").bitwiseAND(mask) != 0)
+            .drop("_bit", "_word", "_mask"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat_format, hilbert, near_dedup, packing, secrets, topk, toxicity
+from skein.llm import chat_format, hilbert, near_dedup, packing, secrets, suffix_dedup, topk, toxicity
 from skein.llm.common import read
 from skein.llm.oracle import ORACLE  # noqa: F401
 
@@ -20,6 +20,11 @@ def register(fn):
     return fn
 
 
+@register
+def op1_suffix_dedup(spark, sf):
+    return suffix_dedup.remove_repeats(read(spark, sf, "documents"))
+
+
 @register
 def op2_toxicity(spark, sf):
     return toxicity.score_documents(read(spark, sf, "documents"), read(spark, sf, "labels"))
