@@ -45,3 +45,42 @@ two_way AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN two_way b ON b.x = r.y)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)"""
+
+ORACLE["op3_warc_fixity"] = """
+WITH damaged AS (
+  SELECT page_id, url, CASE WHEN page_id % 97 = 13 THEN '~' || substr(html, 2)
+    WHEN page_id % 89 = 5 THEN substr(html, 1, length(html) // 2) ELSE html END AS html
+  FROM pages WHERE NOT coalesce(page_id, 0) % 101 = 7
+  UNION ALL SELECT page_id, url || '#copy', html FROM pages WHERE page_id % 211 = 17),
+both AS (SELECT 'a' AS side, page_id, url, html FROM pages UNION ALL SELECT 'b', page_id, url, html FROM damaged),
+rec AS (
+  SELECT side, page_id, concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Record-ID: <urn:page:',
+    page_id, '>', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
+    'Content-Length: ', strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)) AS r FROM "both"),
+m AS (SELECT side, page_id, sha256(r) AS hash, CAST(strlen(r) AS BIGINT) AS size FROM rec),
+k AS (SELECT page_id, CAST(coalesce(sum(sum(size)) OVER (ORDER BY page_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM m WHERE side = 'a' GROUP BY page_id),
+d AS (SELECT page_id, hash, size, count(*) FILTER (side = 'a') - count(*) FILTER (side = 'b') AS more FROM m GROUP BY ALL HAVING more <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id, more > 0 ORDER BY hash) AS i FROM d),
+a AS (SELECT * FROM n WHERE more > 0), b AS (SELECT * FROM n WHERE more < 0)
+SELECT page_id, CASE WHEN b.hash IS NULL THEN 'missing' WHEN a.hash IS NULL THEN 'extra' ELSE 'corrupt' END AS status,
+  k."offset", a.hash AS hash_a, a.size AS size_a, b.hash AS hash_b, b.size AS size_b, CAST(greatest(a.more, -b.more) AS BIGINT) AS copies
+FROM a FULL JOIN b USING (page_id, i) LEFT JOIN k USING (page_id)"""
+
+ORACLE["op5_decontaminate"] = f"""
+WITH w AS (SELECT doc_id, {WORD_LIST} AS ws FROM documents),
+b AS (SELECT item_id, {WORD_LIST} AS ws FROM benchmark),
+bs AS (SELECT item_id, len(ws) AS n, unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: list_aggregate(ws[i:i + 4], 'string_agg', ' '))) AS s,
+  unnest(range(0, greatest(len(ws) - 4, 1))) AS q FROM b WHERE len(ws) > 0),
+ds AS (SELECT doc_id, len(ws) AS n, unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: list_aggregate(ws[i:i + 4], 'string_agg', ' '))) AS s,
+  unnest(range(0, greatest(len(ws) - 4, 1))) AS p FROM w WHERE len(ws) > 0),
+at AS (SELECT DISTINCT d.doc_id, bs.item_id, bs.n AS size, greatest(0, least(d.p - bs.q + o.o, d.n - bs.n)) AS start
+  FROM ds d JOIN bs ON bs.s = d.s CROSS JOIN (SELECT unnest(range(-2, 3)) AS o) o),
+have AS (SELECT at.doc_id, at.item_id, at.start, at.size, d.s, count(*) AS c FROM at JOIN ds d ON d.doc_id = at.doc_id
+  AND d.p >= at.start AND d.p < at.start + greatest(at.size - 4, 1) GROUP BY ALL),
+want AS (SELECT item_id, s, count(*) AS c FROM bs GROUP BY ALL),
+total AS (SELECT item_id, sum(c) AS t FROM want GROUP BY ALL),
+sim AS (SELECT h.doc_id, h.item_id, h.start, h.size, sum(h.c) AS hc, sum(least(h.c, coalesce(wt.c, 0))) AS common
+  FROM have h LEFT JOIN want wt ON wt.item_id = h.item_id AND wt.s = h.s GROUP BY ALL)
+SELECT doc_id, item_id, max(common / (hc + t - common)) AS similarity FROM sim JOIN total USING (item_id)
+WHERE common / (hc + t - common) >= 0.8 GROUP BY doc_id, item_id"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat_format, hilbert, near_dedup, packing, secrets, suffix_dedup, topk, toxicity
+from skein.llm import chat_format, decontaminate, hilbert, near_dedup, packing, secrets, suffix_dedup, topk, toxicity, warc_merkle
 from skein.llm.common import read
 from skein.llm.oracle import ORACLE  # noqa: F401
 
@@ -30,11 +30,25 @@ def op2_toxicity(spark, sf):
     return toxicity.score_documents(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
+@register
+def op3_warc_fixity(spark, sf):
+    pages = read(spark, sf, "pages").select("page_id", "url", "html")
+    original = warc_merkle.manifest(warc_merkle.archive(pages))
+    replica = warc_merkle.manifest(warc_merkle.archive(warc_merkle.damaged(pages)))
+    found, _ = warc_merkle.audit(original, replica)
+    return found.withColumnRenamed("key", "page_id")
+
+
 @register
 def op4_packing(spark, sf):
     return packing.pack(read(spark, sf, "documents"))
 
 
+@register
+def op5_decontaminate(spark, sf):
+    return decontaminate.contaminated(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 @register
 def op6_chat_format(spark, sf):
     mark = "</s>[INST] ok [/INST]"  # the fixed conversation of control strings
