@@ -73,23 +73,26 @@ def components(edges: DataFrame) -> DataFrame:
     """
     greater = F.greatest("u", "v").alias("u")
     e = materialize(edges.where("u <> v").select(greater, F.least("u", "v").alias("v")).distinct(), "cc")
-    state = None
-    while True:
+    while not _all_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         e = materialize(small, "cc")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _all_stars(e: DataFrame) -> bool:
+    """Whether each u has one v and no v is a u."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not seen.where("up > 1 or (up = 1 and down = 1)").take(1)
+
+
 def whole_groups(batches, keys: list[str]):
     """From Arrow batches sorted by ``keys`` (longs), tables that hold only whole
     groups, with the positions where groups start (and the end)."""
@@ -149,3 +152,17 @@ def only_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     marked = df.withColumn("_bit", bit).withColumn("_word", F.expr("_bit div 64"))
     return (marked.join(F.broadcast(words), "_word").where(F.col("_mask").bitwiseAND(mask) != 0)
             .drop("_bit", "_word", "_mask"))
+
+
+def split_by_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` (which has the columns ``on``) in two: rows whose key may be in
+    ``keys``, and rows whose key is surely not, told by the bitmap of
+    ``only_keys``. The second part needs no join, so it is not shuffled."""
+    bit = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS))
+    mask = F.expr("shiftleft(1L, cast(_bit % 64 as int))")
+    words = (keys.select(bit.alias("_bit")).groupBy(F.expr("_bit div 64").alias("_word"))
+             .agg(F.bit_or(mask).alias("_mask")))
+    marked = (df.withColumn("_bit", bit).withColumn("_word", F.expr("_bit div 64"))
+              .join(F.broadcast(words), "_word", "left")
+              .withColumn("_maybe", F.coalesce(F.col("_mask").bitwiseAND(mask) != 0, F.lit(False))).drop("_bit", "_word", "_mask"))
+    return marked.where("_maybe").drop("_maybe"), marked.where("not _maybe").drop("_maybe")

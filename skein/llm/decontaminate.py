@@ -35,7 +35,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import NO_ID, back_to_id, doc_key, materialize, only_keys
+from skein.llm.common import NO_ID, back_to_id, doc_key, materialize, only_keys, split_by_keys
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -151,6 +151,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` (all columns) without the rows whose text leaks an item."""
-    found = leaks(docs, benchmark, similarity).select(F.col("_id").alias("_leak_id"), F.col("_th").alias("_leak_th")).distinct()
-    return docs.join(found, (doc_key() == F.col("_leak_id"))
-                     & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_leak_th")), "left_anti").select(*docs.columns)
+    found = materialize(leaks(docs, benchmark, similarity).select(
+        F.col("_id").alias("_leak_id"), F.col("_th").alias("_leak_th")).distinct(), "leaks")
+    keyed = docs.withColumn("_leak_id", doc_key()).withColumn("_leak_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    maybe, clean = split_by_keys(keyed, found, ["_leak_id", "_leak_th"])
+    return clean.unionByName(maybe.join(found, ["_leak_id", "_leak_th"], "left_anti")).select(*docs.columns)

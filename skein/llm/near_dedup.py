@@ -1,11 +1,11 @@
 """Near-duplicates by chosen-path set similarity join.
 
 Documents are word-shingle sets. Equal sets are one class from the start.
-``TREES`` independent trees branch the classes: at a node two minwise
+``TREES`` trees branch the classes: at a node two minwise
 positions are chosen (by a hash of the node's path), and a class goes to the
 child of its minwise token at each of them. Nodes of at most ``LEAF`` classes
 are compared exhaustively on sketches; larger ones branch again; those still
-large after ``DEPTH`` levels (near copies that agree everywhere) are cut into
+large after ``DEPTH`` more levels (near copies that agree everywhere) are cut into
 blocks and all pairs of blocks are compared, so nothing is dropped. Two sets
 of similarity 0.85 share one of two tokens with probability 0.978, and
 survive to any depth of a tree with 0.969 or more: five trees miss one such
@@ -35,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import shingles
-from skein.llm.common import binary_parts, components, materialize, partitions, whole_groups
+from skein.llm.common import binary_parts, components, materialize, partitions, split_by_keys, whole_groups
 
 TREES, BRANCHES = 5, 2
 LEAF = 2048
 DEPTH = 4
-POSITIONS = TREES * BRANCHES + 16
+DEEPER = 16  # minwise positions for the levels below the first
+POSITIONS = TREES * BRANCHES + DEEPER
 BINS = 512
 MARGIN = 0.07
 CLUSTER_ITEMS, CLUSTER_SETS = 2_000_000, 4096  # of one task's share of a cluster
@@ -101,16 +102,18 @@ def _sketches(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def _reach(n: int, near) -> Iterator[tuple[int, int]]:
-    """Breadth-first spanning edges; ``near(i, rest)`` gives the members of ``rest`` linked with i."""
+    """(first member, other member) of each connected group of two or more,
+    searched breadth first; ``near(i, rest)`` gives the members of ``rest`` linked with i."""
     left = np.arange(n)
     while len(left):
-        queue, left = [int(left[0])], left[1:]
+        root, left = int(left[0]), left[1:]
+        queue = [root]
         while queue and len(left):
             i = queue.pop()
             hit = near(i, left)
             if len(hit):
                 for j in hit.tolist():
-                    yield i, j
+                    yield root, j
                 queue.extend(hit.tolist())
                 left = np.setdiff1d(left, hit, assume_unique=True)
 
@@ -131,15 +134,16 @@ def _shortlist(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return (rows.select(*keys, "sid", "sketch").repartition(n, *keys).sortWithinPartitions(*keys)
+    return (rows.select(*keys, "sid", "sketch").repartition(n, *keys).sortWithinPartitions(*keys, "sid")
             .mapInArrow(run, "u long, v long"))
 
 
 def candidate_edges(sets: DataFrame, similarity: float, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """Shortlisted links between classes: u, v. ``sets`` has a row (sid, mins, sketch) for each class."""
     least = similarity - MARGIN
-    top = sets.select("sid", F.posexplode(F.slice("mins", 1, TREES * BRANCHES)).alias("i", "m"))
-    members = materialize(top.select(F.xxhash64("i", "m").alias("node"), "sid"), "paths")
+    # two levels at once: nodes of a single token mostly gather strangers that share a common phrase
+    top = sets.select("sid", "mins", F.posexplode(F.slice("mins", 1, TREES * BRANCHES)).alias("i", "m"))
+    members = _children(top.select(F.xxhash64("i", "m").alias("node"), "sid", "mins"))
     found = None
     for level in range(depth + 1):
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -154,19 +158,22 @@ def candidate_edges(sets: DataFrame, similarity: float, leaf: int = LEAF, depth:
                 F.sequence(F.lit(0).cast("long"), F.col("k") - 1),
                 lambda o: F.least("b", o) * F.col("k") + F.greatest("b", o))).alias("part"), "sid"))
         edges = _shortlist(small.join(sets.select("sid", "sketch"), "sid"), ["node", "part"], least)
-        edges = materialize(edges.distinct(), "shortlist")
+        edges = materialize(edges, "shortlist")
         found = edges if found is None else found.unionByName(edges)
         if level == depth or not large.take(1):
             break
-        # two positions of the next level, chosen by the node's path
-        pick = [F.pmod(F.xxhash64("node", F.lit(r)), F.lit(16)).cast("int") for r in range(BRANCHES)]
-        second = F.when(pick[0] == pick[1], (pick[1] + 1) % 16).otherwise(pick[1])
-        child = large.join(sets.select("sid", "mins"), "sid").select("sid", F.explode(F.array(*[
-            F.xxhash64("node", p, F.get("mins", p + TREES * BRANCHES)) for p in (pick[0], second)])).alias("node"))
-        members = materialize(child.select("node", "sid"), "paths")
+        members = materialize(_children(large.select("node", "sid").join(sets.select("sid", "mins"), "sid")), "paths")
     return found
 
 
+def _children(members: DataFrame) -> DataFrame:
+    """node, sid one level down: two positions chosen by a hash of the node's path."""
+    pick = [F.pmod(F.xxhash64("node", F.lit(r)), F.lit(DEEPER)).cast("int") for r in range(BRANCHES)]
+    second = F.when(pick[0] == pick[1], (pick[1] + 1) % DEEPER).otherwise(pick[1])
+    return members.select(F.explode(F.array(*[
+        F.xxhash64("node", p, F.get("mins", p + TREES * BRANCHES)) for p in (pick[0], second)])).alias("node"), "sid")
+
+
 def _confirm(rows: DataFrame, num: int, den: int, margin: float) -> DataFrame:
     """u, v: spanning links, on whole sets, of each group of rows (cluster, part, sid, items)."""
     n = partitions(rows)
@@ -198,7 +205,7 @@ def _confirm(rows: DataFrame, num: int, den: int, margin: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return (rows.select("cluster", "part", "sid", "items").repartition(n, "cluster", "part")
-            .sortWithinPartitions("cluster", "part").mapInArrow(run, "u long, v long"))
+            .sortWithinPartitions("cluster", "part", "sid").mapInArrow(run, "u long, v long"))
 
 
 def _with_items(docs: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
@@ -257,6 +264,8 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id
 def keep_first(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id") -> DataFrame:
     """``docs`` (all columns) without the rows that a smaller id represents (all
     rows of an id, if one of them is represented)."""
-    dropped = link(docs, similarity, id_col).where("_id <> component").select(F.col("_id").alias("_drop_id")).distinct()
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    return docs.join(dropped, key == F.col("_drop_id"), "left_anti").select(*docs.columns)
+    dropped = materialize(link(docs, similarity, id_col).where("_id <> component")
+                          .select(F.col("_id").alias("_drop_id")).distinct(), "near_copies")
+    keyed = docs.withColumn("_drop_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
+    maybe, kept = split_by_keys(keyed, dropped, ["_drop_id"])
+    return kept.unionByName(maybe.join(dropped, "_drop_id", "left_anti")).select(*docs.columns)

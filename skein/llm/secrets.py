@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialize
+from skein.llm.common import NO_ID, doc_key, materialize, split_by_keys
 
 # fixed values: the base patterns of the contract (Java and SQL syntax)
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -148,9 +148,12 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "source", m
     merged = (starts.withColumn("_run", F.sum("_new").over(order))
               .groupBy("_id", "_th", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
               .groupBy("_id", "_th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts")))
-    keyed = docs.withColumn("_key_id", F.col("doc_id").cast("long")).withColumn("_key_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    joined = keyed.join(merged, F.col("_key_id").eqNullSafe(F.col("_id")) & (F.col("_key_th") == F.col("_th")), "left")
+    merged = materialize(merged.select(F.coalesce("_id", F.lit(NO_ID)).alias("_key_id"), F.col("_th").alias("_key_th"), "_cuts"), "secret_cuts")
+    keyed = docs.withColumn("_key_id", doc_key()).withColumn("_key_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    maybe, clean = split_by_keys(keyed, merged, ["_key_id", "_key_th"])
+    joined = maybe.join(merged, ["_key_id", "_key_th"], "left")
     keep_from = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cuts", lambda c: c["end"]))
     keep_to = F.concat(F.transform("_cuts", lambda c: c["start"]), F.array(F.length("text").cast("long")))
     kept = F.zip_with(keep_from, keep_to, lambda a, b: F.substr(F.col("text"), (a + 1).cast("int"), (b - a).cast("int")))
-    return joined.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, mark))).select(*docs.columns)
+    cleaned = joined.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, mark)))
+    return clean.select(*docs.columns).unionByName(cleaned.select(*docs.columns))

@@ -9,14 +9,16 @@ and each window belongs to exactly one anchor.
 
 1. Anchors are hashed; only those whose leading bytes occur again go on.
 2. Their suffixes, with the bytes to the left that their windows reach, are
-   range-partitioned by leading bytes at sampled splitters (a hot string
-   spreads over several buckets).
+   range-partitioned by leading bytes at sampled splitters. Leading bytes that
+   occur more than ``HEAVY`` times are salted, so they spread over several
+   buckets; all others stay together.
 3. A bucket sorts its suffixes and its reversed left parts by multikey
    quicksort, eight bytes at a time, which also gives the longest common
    prefixes. Two windows that take t bytes from the suffix are equal when
    the suffixes share t bytes and the left parts the other ``LENGTH - t``.
-4. Strings that lie on a bucket's boundary are compared across buckets by a
-   digest of each window, counted within the bucket before it is sent.
+4. Strings that lie across buckets' boundaries (the salted ones) are compared
+   by a digest of each window, counted within the bucket before it is sent; a
+   bucket's digests travel packed, one message for each range of digests.
 
 Equal windows of one document are found where the anchors are made, so a
 document that repeats one word sends one suffix and not thousands.
@@ -42,7 +44,9 @@ from skein.llm.shingles import mix
 
 LENGTH = 400
 GRAM = 64
+HEAVY = 1024
 _SEGMENT = 1 << 18
+_DIGEST = np.dtype([("w1", "<i8"), ("w2", "<i8"), ("n", "<i4"), ("id", "<i8"), ("th", "<i8"), ("lo", "<i8")])
 _LOW = (1 << 20) - 1
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -142,17 +146,18 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _suffixes(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """_id, _th, pos, gram, right (the suffix as far as its windows reach), left (reversed)."""
+    """_id, _th, pos, gram, salt, right (the suffix as far as its windows reach), left (reversed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_id", "_th", "pos", "gram", "right", "left"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        names = ["_id", "_th", "pos", "gram", "salt", "right", "left"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
         for batch in batches:
             rows: list[tuple] = []
             for i, t, raw, found in zip(*(batch.column(c).to_pylist() for c in ("_id", "_th", "raw", "found"))):
                 for x in found:
                     p, lo, hi = x["pos"], x["lo"], x["hi"]
-                    rows.append((i, t, p, raw[p:p + gram], raw[p:hi + length], raw[lo:p][::-1]))
+                    salt = 1 + (i * 31 + t + p * 17) % 2 ** 61 % -(-x["n"] // HEAVY) if x["n"] > HEAVY else 0
+                    rows.append((i, t, p, raw[p:p + gram], salt, raw[p:hi + length], raw[lo:p][::-1]))
                     if len(rows) >= 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                         rows = []
@@ -160,7 +165,7 @@ def _suffixes(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return (only_keys(docs, wanted, ["_id", "_th"]).join(wanted, ["_id", "_th"])
-            .mapInArrow(run, "_id long, _th long, pos long, gram binary, right binary, left binary"))
+            .mapInArrow(run, "_id long, _th long, pos long, gram binary, salt long, right binary, left binary"))
 
 
 def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,8 +212,7 @@ def _matrix(column, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_windows(right: np.ndarray, right_len: np.ndarray, left: np.ndarray, left_len: np.ndarray, length: int, gram: int):
     """For each suffix the smallest and largest t at which its window occurs
-    again (0 if none does), and whether its leading bytes are the first or the
-    last of the bucket. A window of t takes t bytes of the suffix."""
+    again (0 if none does). A window of t takes t bytes of the suffix."""
     n = len(right)
     by_right, common_right = multikey_sort(right)
     by_left, common_left = multikey_sort(left)
@@ -235,47 +239,75 @@ def repeated_windows(right: np.ndarray, right_len: np.ndarray, left: np.ndarray,
             hit = own[twice]
             low[hit] = np.where(low[hit] == 0, t, low[hit])
             high[hit] = t
-    edge = (group == group[by_right[0]]) | (group == group[by_right[-1]]) if n else np.zeros(0, bool)
-    return low, high, edge
+    return low, high
 
 
 def _compare(suffixes: DataFrame, length: int, gram: int) -> DataFrame:
-    """Spans (lo, hi) of repeated windows, and digests of windows on bucket
-    boundaries: w1, w2, n (occurrences in this bucket), lo of the only one."""
+    """Spans (lo, hi) of repeated windows, and messages (part, digests) of the
+    windows of salted strings: how often each occurs in this bucket, and where
+    the first one is."""
     n = partitions(suffixes)
     wide = -(-length // 8) * 8
+    names = ["_id", "_th", "lo", "hi", "part", "digests"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        ids, ths, pos = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("_id", "_th", "pos"))
+        ids, ths, pos, salt = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("_id", "_th", "pos", "salt"))
         right, right_len = _matrix(table.column("right"), wide)
         left, left_len = _matrix(table.column("left"), wide)
-        low, high, edge = repeated_windows(right, right_len, left, left_len, length, gram)
+        low, high = repeated_windows(right, right_len, left, left_len, length, gram)
         hit = np.nonzero(high)[0]
-        names = ["_id", "_th", "lo", "hi", "w1", "w2", "n"]
         none = pa.nulls(len(hit), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(ths[hit]), pa.array(pos[hit] + low[hit] - length),
-                                          pa.array(pos[hit] + high[hit]), none, none, none], names)
+                                          pa.array(pos[hit] + high[hit]), none, pa.nulls(len(hit), pa.binary())], names)
         windows: dict[bytes, list] = {}
-        for i in np.nonzero(edge)[0].tolist():
+        for i in np.nonzero(salt)[0].tolist():
             reach = int(left_len[i])
             whole = left[i, :reach][::-1].tobytes() + right[i, :right_len[i]].tobytes()
             for s in range(len(whole) - length + 1):
                 digest = hashlib.blake2b(whole[s:s + length], digest_size=16).digest()
-                seen = windows.setdefault(digest, [0, int(ids[i]), int(ths[i]), int(pos[i]) - reach + s])
-                seen[0] += 1
+                seen = windows.get(digest)
+                if seen is None:
+                    windows[digest] = [1, int(ids[i]), int(ths[i]), int(pos[i]) - reach + s]
+                else:
+                    seen[0] += 1
         if windows:
+            packed = np.empty(len(windows), _DIGEST)
             parts = np.frombuffer(b"".join(windows), "<i8").reshape(-1, 2)
-            count, i, t, s = (np.array(c, np.int64) for c in zip(*windows.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(t), pa.array(s), pa.array(s + length),
-                                              pa.array(parts[:, 0].copy()), pa.array(parts[:, 1].copy()), pa.array(count)], names)
+            packed["w1"], packed["w2"] = parts[:, 0], parts[:, 1]
+            for name, column in zip(("n", "id", "th", "lo"), zip(*windows.values())):
+                packed[name] = column
+            to = packed["w1"] % n
+            packed = packed[np.argsort(to, kind="stable")]
+            which, first = np.unique(np.sort(to), return_index=True)
+            messages = [m.tobytes() for m in np.split(packed, first[1:])]
+            none = pa.nulls(len(which), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(which.astype(np.int64)), pa.array(messages, pa.binary())], names)
 
-    salt = F.xxhash64("_id", "_th", "pos")
-    return (suffixes.repartitionByRange(n, "gram", salt)
-            .mapInArrow(run, "_id long, _th long, lo long, hi long, w1 long, w2 long, n long"))
+    return (suffixes.repartitionByRange(n, "gram", "salt")
+            .mapInArrow(run, "_id long, _th long, lo long, hi long, part long, digests binary"))
+
+
+def _crossing(messages: DataFrame, length: int) -> DataFrame:
+    """Spans of windows that occur once in their bucket and again in another one."""
+    n = partitions(messages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [m for b in batches for m in b.column("digests").to_pylist()]
+        if not held:
+            return
+        x = np.frombuffer(b"".join(held), _DIGEST)
+        x = x[np.lexsort((x["w2"], x["w1"]))]
+        new = np.append(True, (x["w1"][1:] != x["w1"][:-1]) | (x["w2"][1:] != x["w2"][:-1]))
+        total = np.add.reduceat(x["n"].astype(np.int64), np.nonzero(new)[0])[np.cumsum(new) - 1]
+        x = x[(total > 1) & (x["n"] == 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (x["id"], x["th"], x["lo"], x["lo"] + length)],
+                                         ["_id", "_th", "lo", "hi"])
+
+    return messages.select("part", "digests").repartition(n, "part").mapInArrow(run, "_id long, _th long, lo long, hi long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -283,15 +315,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     document with a repeated string. ``docs`` has _id, _th, raw."""
     every = materialize(_anchor_rows(docs, length, gram), "anchors")
     found = every.where("hash is not null")
-    again = found.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("hash")
+    again = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     wanted = materialize(found.join(again, "hash").groupBy("_id", "_th").agg(
-        F.collect_set(F.struct("pos", "lo", "hi")).alias("found")), "suffix_places")
+        F.collect_set(F.struct("pos", "lo", "hi", "n")).alias("found")), "suffix_places")
     compared = materialize(_compare(_suffixes(docs, wanted, length, gram), length, gram), "suffix_spans")
-    # a window is listed once for each bucket that its string touches
-    crossing = (compared.where("w1 is not null").groupBy("w1", "w2")
-                .agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") == 1, F.struct("_id", "_th", "lo", "hi"))).alias("x"))
-                .where("n > 1").select(F.explode("x").alias("x")).select("x.*"))
-    spans = (compared.where("w1 is null").select("_id", "_th", "lo", "hi").unionByName(crossing)
+    crossing = _crossing(compared.where("part is not null"), length)
+    spans = (compared.where("part is null").select("_id", "_th", "lo", "hi").unionByName(crossing)
              .unionByName(every.where("hash is null").select("_id", "_th", "lo", "hi")))
     return spans.groupBy("_id", "_th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 

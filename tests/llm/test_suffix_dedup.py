@@ -75,8 +75,10 @@ def test_removal(spark, corpus):
     check(spark, corpus)
 
 
-def test_many_buckets_and_short_strings(spark, corpus):
+def test_many_buckets_and_short_strings(spark, corpus, monkeypatch):
     check(spark, corpus[:60], 48, 8)
+    monkeypatch.setattr(sd, "HEAVY", 3)  # salted strings: compared across buckets
+    check(spark, corpus, 48, 8)
     hot = [(i, f"{i} " * 30 + "the very same long line of text " * 2 + f" {i * 7}" * 20) for i in range(150)]
     check(spark, hot, 48, 8)
 
