@@ -84,8 +84,10 @@ def count_tokens(c: Column) -> Column:
 
 
 def string_tokens(c: Column) -> Column:
-    """Tokens of a string as a JSON value: its tokens plus two quotes; ``null`` is one."""
-    return F.when(c.isNull(), F.lit(1).cast("long")).otherwise(count_tokens(c) + F.lit(2))
+    """Tokens of a string as a JSON value: of its literal, escapes and quotes
+    included (``null`` is one). Quotes end a token, so the counts of values add
+    up to the count of a document that holds them."""
+    return count_tokens(json_string(c))
 
 
 def sentences(c: Column) -> Column:

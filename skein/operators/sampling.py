@@ -11,8 +11,6 @@ its bucket.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +29,8 @@ def dense_index(df: DataFrame, id_col: str = "id", seed: int | str = DEFAULT_SEE
     ``n_total`` = number of rows. ``id_col`` must be unique."""
     if not 1 <= bucket_digits <= 5:
         raise ValueError("bucket_digits must be in 1..5 (at most 16^5 buckets are broadcast)")
-    keyed = df.withColumn("_key", order_key(F.col(id_col), seed)) \
+    # only ids are numbered; all other columns are joined to the numbers once
+    keyed = df.select(id_col).withColumn("_key", order_key(F.col(id_col), seed)) \
               .withColumn("_bucket", F.substring("_key", 1, bucket_digits))
     sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w_all = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -39,9 +38,10 @@ def dense_index(df: DataFrame, id_col: str = "id", seed: int | str = DEFAULT_SEE
     offsets = (sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w_all), F.lit(0)))
                .withColumn("n_total", F.sum("_n").over(Window.partitionBy())))
     w_in = Window.partitionBy("_bucket").orderBy("_key", id_col)
-    return (keyed.join(F.broadcast(offsets.select("_bucket", "_off", "n_total")), "_bucket")
-            .withColumn(out, (F.col("_off") + F.row_number().over(w_in) - 1).cast("long"))
-            .drop("_key", "_bucket", "_off"))
+    numbered = (keyed.join(F.broadcast(offsets.select("_bucket", "_off", "n_total")), "_bucket")
+                .withColumn(out, (F.col("_off") + F.row_number().over(w_in) - 1).cast("long"))
+                .drop("_key", "_bucket", "_off"))
+    return numbered if df.columns == [id_col] else df.join(numbered, id_col)
 
 
 def sample_n(indexed: DataFrame, n: int | None, idx: str = "idx") -> DataFrame:
@@ -56,10 +56,7 @@ def oracle_flags(indexed: DataFrame, p: float, idx: str = "idx", seed2: int | st
     second key)."""
     if not 0 <= p <= 1:
         raise ValueError("p must be in between 0 and 1")
-    # floor(N * p) in exact integer arithmetic for decimal p (p = num / 10^6)
-    num = int(round(p * 1_000_000))
-    flagged = indexed.withColumn(
-        "include_oracle", F.col(idx) < F.expr(f"(n_total * {num}) div 1000000"))
+    flagged = indexed.withColumn("include_oracle", F.col(idx) < F.floor(F.col("n_total") * F.lit(float(p))))
     if p < 1:
         flagged = dense_index(flagged.drop(idx, "n_total"), id_col, f"{seed2}|again", idx)
     return flagged
@@ -108,10 +105,5 @@ def split_labels(indexed: DataFrame, test_fraction: float, idx: str = "idx") ->
     'train'; f = 0 means no test set."""
     if not 0 <= test_fraction < 1:
         raise ValueError("test fraction must be in [0, 1)")
-    num = int(round(test_fraction * 1_000_000))
-    n_test = F.expr(f"(n_total * {num} + 999999) div 1000000")
+    n_test = F.ceil(F.col("n_total") * F.lit(float(test_fraction)))
     return indexed.withColumn("split", F.when(F.col(idx) < n_test, F.lit("test")).otherwise(F.lit("train")))
-
-
-def ceil_frac(n: int, f: float) -> int:
-    return math.ceil(n * f)

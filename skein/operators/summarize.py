@@ -1,4 +1,4 @@
-"""Extractive summaries as distributed jobs over a message table.
+"""Extractive summaries, one pass per message.
 
 Word weights: word counts of the letters-only text (stop words removed,
 case kept) divided by the message's largest count. Sentence score: sum of
@@ -6,84 +6,118 @@ the weights of its lower-cased words, summed over every occurrence of the
 same sentence text. Picking order: unscored sentences first, then score
 descending, then position; sentences are taken while the running token total
 stays within the cap (token counts are positive, so "stop at the first that
-does not fit" is the same as a filter on the running total). The summary is
+does not fit" is the same as a search in the running totals). The summary is
 the picked sentences in original order joined by one space.
 
-Every group here is one message (its words or sentences), so group sizes are
-bounded by the length of a single text, never by the number of messages.
+A message is one row and everything here depends on that row alone, so
+nothing is shuffled: sentences and their token counts come from native
+expressions, counting and ranking is a small function over Arrow batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import STOP_WORDS, letter_words, sentence_words, sentences, string_tokens
+from skein.functions.text import LETTER_RUN, SENTENCE_WORD, STOP_WORDS, sentences, string_tokens
+
+_LETTERS = re.compile(LETTER_RUN)
+_WORDS = re.compile(SENTENCE_WORD)
+_STOP = frozenset(STOP_WORDS)
+
+
+def word_counts(text: str) -> Counter:
+    return Counter(w for w in _LETTERS.findall(text) if w not in _STOP)
+
+
+def rank_sentences(text: str, sents: list[str], toks: list[int]) -> list[tuple[int, int | None, int, int]]:
+    """(position, score numerator, largest word count, running total), best first.
+
+    All weights of a message share the denominator, so the order by the sum of
+    counts is the order by the score without rounding noise."""
+    counts = word_counts(text)
+    top = max(counts.values(), default=0)
+    total: dict[str, int | None] = {}
+    for s, times in Counter(sents).items():
+        hits = [counts[w] for w in _WORDS.findall(s.lower()) if w in counts]
+        total[s] = times * sum(hits) if hits else None
+    order = sorted(range(len(sents)), key=lambda i: (total[sents[i]] is not None, -(total[sents[i]] or 0), i))
+    out, run = [], 0
+    for i in order:
+        run += toks[i]
+        out.append((i, total[sents[i]], top, run))
+    return out
+
+
+def _with_sentences(msgs: DataFrame, counter: Callable[[Column], Column], *more: str) -> DataFrame:
+    listed = msgs.select("msg_id", F.coalesce("body", F.lit("")).alias("body"), *more, sentences(F.coalesce("body", F.lit(""))).alias("sents"))
+    return listed.withColumn("toks", F.transform("sents", counter))
+
+
+def _rows(batch: pa.RecordBatch, *names: str):
+    return zip(*(batch.column(n).to_pylist() for n in names))
 
 
-def sentence_table(msgs: DataFrame) -> DataFrame:
-    """msg_id, i (0-based position), sent, tok (tokens of the sentence as a JSON string)."""
-    return (msgs.select("msg_id", F.posexplode(sentences(F.col("body"))).alias("i", "sent"))
-            .withColumn("tok", string_tokens(F.col("sent"))))
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema.names)
 
 
 def word_weights(msgs: DataFrame) -> DataFrame:
     """msg_id, word, n, max_n, weight = n / max_n (max_n: largest count of the message)."""
-    words = (msgs.select("msg_id", F.explode(letter_words(F.col("body"))).alias("word"))
-             .where(~F.col("word").isin(STOP_WORDS)))
-    counts = words.groupBy("msg_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("msg_id")
-    return (counts.withColumn("max_n", F.max("n").over(w))
-            .withColumn("weight", F.col("n") / F.col("max_n")))
-
-
-def sentence_scores(sents: DataFrame, weights: DataFrame) -> DataFrame:
-    """sents + ``score_n`` (sum of word counts; exact, used for ordering) and
-    ``score`` = score_n / max_n. Both null when no word of the sentence has a
-    weight. All weights of a message share the denominator, so ordering by
-    the integer ``score_n`` is ordering by the score without rounding noise."""
-    sw = (sents.select("msg_id", "i", "sent", F.explode(sentence_words(F.col("sent"))).alias("word"))
-          .join(weights.select("msg_id", "word", "n", "max_n"), ["msg_id", "word"], "inner"))
-    per_text = sw.groupBy("msg_id", "sent").agg(F.sum("n").alias("score_n"), F.max("max_n").alias("max_n"))
-    return (sents.join(per_text, ["msg_id", "sent"], "left")
-            .withColumn("score", F.col("score_n") / F.col("max_n")).drop("max_n"))
-
-
-def pick_order(scored: DataFrame) -> DataFrame:
-    """Adds ``srank`` (1-based picking order) and ``run`` (running token total)."""
-    order = [F.col("score_n").isNotNull().asc(), F.col("score_n").desc(), F.col("i").asc()]
-    w = Window.partitionBy("msg_id").orderBy(*order)
-    return (scored.withColumn("srank", F.row_number().over(w))
-            .withColumn("run", F.sum("tok").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-
-
-def ranked_sentences(msgs: DataFrame) -> DataFrame:
-    """Sentences of ``msgs`` (msg_id, body) with score, srank and run."""
-    sents = sentence_table(msgs)
-    return pick_order(sentence_scores(sents, word_weights(msgs)))
-
-
-def picks_per_cap(ranked: DataFrame, caps: DataFrame) -> DataFrame:
-    """For each (msg_id, cap): ``k`` = number of sentences whose running total
-    fits the cap. A merge of both sorted lists per message (one window over
-    sentences + caps), so no (cap, sentence) pairs are ever formed."""
-    s = ranked.select("msg_id", F.col("run").alias("v"), F.lit(0).alias("is_cap"))
-    c = caps.select("msg_id", F.col("cap").cast("long").alias("v"), F.lit(1).alias("is_cap"))
-    w = (Window.partitionBy("msg_id").orderBy("v", "is_cap")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    merged = s.unionByName(c).withColumn("k", F.sum(1 - F.col("is_cap")).over(w))
-    return merged.where("is_cap = 1").select("msg_id", F.col("v").alias("cap"), F.col("k").cast("long"))
-
-
-def summaries(ranked: DataFrame, caps: DataFrame) -> DataFrame:
-    """msg_id, cap, summary for each distinct (msg_id, cap)."""
-    caps = caps.select("msg_id", F.col("cap").cast("long")).distinct()
-    k = picks_per_cap(ranked, caps)
-    picked = (k.where("k > 0")
-              .select("msg_id", "cap", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("srank"))
-              .join(ranked.select("msg_id", F.col("srank").cast("long"), "i", "sent"), ["msg_id", "srank"]))
-    text = picked.groupBy("msg_id", "cap").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "sent"))), lambda x: x["sent"]),
-                     " ").alias("summary"))
-    return (caps.join(text, ["msg_id", "cap"], "left")
-            .select("msg_id", "cap", F.coalesce("summary", F.lit("")).alias("summary")))
+    schema = pa.schema([("msg_id", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("max_n", pa.int64()), ("weight", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for m, body in _rows(batch, "msg_id", "body"):
+                counts = word_counts(body or "")
+                top = max(counts.values(), default=0)
+                rows += [(m, w, n, top, n / top) for w, n in counts.items()]
+            if rows:
+                yield _batch(rows, schema)
+
+    return msgs.select("msg_id", "body").mapInArrow(run, "msg_id string, word string, n long, max_n long, weight double")
+
+
+def ranked_sentences(msgs: DataFrame, counter: Callable[[Column], Column] = string_tokens) -> DataFrame:
+    """msg_id, i (position from 0), sent, tok, score_n, score, srank (picking
+    order from 1), run (running token total) of the messages (msg_id, body)."""
+    schema = pa.schema([("msg_id", pa.string()), ("i", pa.int32()), ("sent", pa.string()), ("tok", pa.int64()),
+                        ("score_n", pa.int64()), ("score", pa.float64()), ("srank", pa.int32()), ("run", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for m, body, sents, toks in _rows(batch, "msg_id", "body", "sents", "toks"):
+                for k, (i, n, top, total) in enumerate(rank_sentences(body, sents, toks), 1):
+                    rows.append((m, i, sents[i], toks[i], n, None if n is None else n / top, k, total))
+            if rows:
+                yield _batch(rows, schema)
+
+    return _with_sentences(msgs, counter).mapInArrow(
+        run, "msg_id string, i int, sent string, tok long, score_n long, score double, srank int, run long")
+
+
+def summaries(capped: DataFrame, counter: Callable[[Column], Column] = string_tokens) -> DataFrame:
+    """msg_id, cap, k (sentences that fit), summary for each cap of the messages (msg_id, body, caps)."""
+    schema = pa.schema([("msg_id", pa.string()), ("cap", pa.int64()), ("k", pa.int64()), ("summary", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for m, body, caps, sents, toks in _rows(batch, "msg_id", "body", "caps", "sents", "toks"):
+                ranked = rank_sentences(body, sents, toks)
+                runs = [r[3] for r in ranked]
+                for cap in sorted(set(caps)):
+                    k = bisect_right(runs, cap)
+                    rows.append((m, cap, k, " ".join(sents[i] for i in sorted(r[0] for r in ranked[:k]))))
+            if rows:
+                yield _batch(rows, schema)
+
+    return _with_sentences(capped, counter, "caps").mapInArrow(run, "msg_id string, cap long, k long, summary string")

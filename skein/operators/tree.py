@@ -76,28 +76,35 @@ def attach_levels(posts: DataFrame, replies: DataFrame, max_level: int) -> DataF
     return reduce(DataFrame.unionByName, levels)
 
 
-def attach_all(posts: DataFrame, replies: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """All attached replies at every depth (no depth cut).
-
-    The number of rounds is only known at run time, so the driver loops until
-    the frontier is empty. Each level is checkpointed to the shared checkpoint
-    folder (reliable, survives executor loss) so the lineage stays one join
-    deep; rows never pass through the driver.
+def attach_all(posts: DataFrame, replies: DataFrame) -> DataFrame:
+    """All attached replies at every depth, with ``post_id`` and ``depth``.
+
+    Pointer doubling on two narrow columns: every reply points at its parent
+    with distance 1; in each round a reply whose pointer is a reply takes over
+    that reply's pointer and adds its distance, so a chain of depth d is done
+    after log2(d) rounds. A pointer that reaches a kept post is final; one that
+    reaches nothing is detached and goes. What is left when distances could
+    exceed the number of replies are cycles, which no post reaches. Each round
+    is written to the shared folder; other columns are joined once, at the end.
     """
-    from skein.session import shared_dir
-
-    shared_dir(posts.sparkSession)
-    frontier = _roots(posts)
-    levels = []
-    for depth in range(1, max_rounds + 1):
-        lvl = _level(replies, frontier, depth).checkpoint(eager=True)
-        if lvl.isEmpty():
-            break
-        levels.append(lvl)
-        frontier = lvl.select(F.col("id").alias("_pid"), "post_id", F.col("path").alias("_ppath"))
-    if not levels:
-        return _level(replies, frontier, 1).limit(0)
-    return reduce(DataFrame.unionByName, levels)
+    from skein.session import materialize
+
+    roots = posts.select(F.col("id").alias("_root")).distinct()
+    start = (replies.select("id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("dist"))
+             .join(roots, F.col("up") == F.col("_root"), "left")
+             .select("id", "up", "dist", F.col("_root").isNotNull().alias("done")))
+    state = materialize(start, "pointers")
+    n, reach = state.count(), 1
+    while reach <= n and state.where("not done").take(1):
+        at = state.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("dist").alias("_dist"),
+                          F.col("done").alias("_done"))
+        moved = (state.where("not done").join(at, F.col("up") == F.col("_id"))
+                 .select("id", F.col("_up").alias("up"), (F.col("dist") + F.col("_dist")).alias("dist"),
+                         F.col("_done").alias("done")))
+        state = materialize(state.where("done").unionByName(moved), "pointers")
+        reach *= 2
+    found = state.where("done").select("id", F.col("up").alias("post_id"), F.col("dist").cast("int").alias("depth"))
+    return replies.join(found, "id").select(*replies.columns, "post_id", "depth")
 
 
 def with_posts_as_nodes(posts: DataFrame, attached: DataFrame) -> DataFrame:

@@ -95,11 +95,11 @@ def cut_bodies(st: ThreadStages, p: ThreadParams) -> DataFrame:
     """focus_id, msg_id, body_ft_cut, body_gen_cut: summaries replacing bodies
     that must shrink (only for over-budget views)."""
     caps = budget.waterfill_caps(over_budget_messages(st, p), ["focus_id", "view"])
-    # small (over-budget messages only) and read three times below
+    # small (over-budget messages only) and read twice below
     caps = materialize(caps.where(F.col("cap") != F.col("tok")).select("focus_id", "view", "msg_id", "cap"), "caps")
-    need = st.records.select("msg_id", "body").join(caps.select("msg_id").distinct(), "msg_id", "left_semi")
-    ranked = materialize(summarize.ranked_sentences(need), "ranked_sentences")
-    sums = summarize.summaries(ranked, caps.select("msg_id", "cap"))
+    # a message's caps (one for each thread and view that cuts it) are met in one pass over its text
+    wanted = caps.groupBy("msg_id").agg(F.collect_set("cap").alias("caps"))
+    sums = summarize.summaries(st.records.select("msg_id", "body").join(wanted, "msg_id"))
     cut = caps.join(sums, ["msg_id", "cap"])
     return cut.groupBy("focus_id", "msg_id").agg(
         F.max(F.when(F.col("view") == "ft", F.col("summary"))).alias("body_ft_cut"),

@@ -55,7 +55,7 @@ def requests(sampled: DataFrame, g: GenParams) -> DataFrame:
 
 
 def _doc_of(thread_id: Column) -> Column:
-    return F.substring(thread_id, 4, 1 << 20).cast("long")
+    return F.substr(thread_id, F.lit(4)).cast("long")
 
 
 def derived_responses(spark: SparkSession, sf_dir: str, reqs: DataFrame) -> DataFrame:
@@ -63,9 +63,12 @@ def derived_responses(spark: SparkSession, sf_dir: str, reqs: DataFrame) -> Data
     request keys and the document text of the thread's focus message."""
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id"),
-        F.regexp_extract("text", SENTENCE_PATTERN, 0).alias("s1"),
-        F.substring("text", 1, 200).alias("head"))
+        F.regexp_extract_all("text", F.lit(SENTENCE_PATTERN), 0).alias("ss"),
+        F.col("text").alias("head"))
+    # the question is the j-th sentence (around the end), the reasoning the whole text
+    docs = docs.withColumn("n_s", F.size("ss"))
     r = reqs.withColumn("doc_id", _doc_of(F.col("thread_id"))).join(docs, "doc_id")
+    r = r.withColumn("s1", F.when(F.col("n_s") > 0, F.get("ss", (F.col("j") % F.col("n_s")).cast("int"))).otherwise(F.lit(""))).drop("ss")
     d, j = F.col("doc_id"), F.col("j").cast("long")
     q_att = r.select("thread_id", "j", "s1", "head", d.alias("d"), j.alias("jj"),
                      F.explode(F.sequence(F.lit(0).cast("long"), (d + j) % 3)).alias("a"))

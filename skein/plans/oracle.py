@@ -35,8 +35,8 @@ def tok(col: str) -> str:
 
 
 def stok(col: str) -> str:
-    """Tokens of a string as a JSON value."""
-    return f"CASE WHEN {col} IS NULL THEN 1 ELSE {tok(col)} + 2 END"
+    """Tokens of a string's JSON literal."""
+    return tok(js(col))
 
 
 def js(col: str) -> str:
@@ -58,7 +58,7 @@ fbase AS (
   FROM documents),
 fposts AS (
   SELECT 't3_' || CAST(doc_id AS VARCHAR) AS id, {nt('author0')} AS author,
-         {nt('substr(text, 1, 60)')} AS title, score, created, {nt('body0')} AS body,
+         {nt('split_part(text, chr(10), 1)')} AS title, score, created, {nt('body0')} AS body,
          {nt("CASE WHEN doc_id % 80 = 0 THEN source END")} AS link_flair_text,
          {nt('distinguished')} AS distinguished, doc_id AS ord
   FROM fbase WHERE doc_id % 40 = 0),

@@ -173,7 +173,7 @@ steps AS (
   SELECT n.id, u.i, COALESCE(r.rank, 0) AS rank
   FROM nodes n, unnest(n.path) WITH ORDINALITY AS u(step, i) LEFT JOIN rk r ON r.id = u.step
   WHERE n.depth <= 3 AND n.num_replies > 0)
-SELECT s.id, p.ord AS post_ord, string_agg(lpad(CAST(s.rank AS VARCHAR), 6, '0'), '.' ORDER BY s.i) AS rank_path
+SELECT s.id, p.ord AS post_ord, string_agg(lpad(CAST(s.rank AS VARCHAR), 19, '0'), '.' ORDER BY s.i) AS rank_path
 FROM steps s JOIN nodes n ON s.id = n.id JOIN kposts p ON p.id = n.post_id
 GROUP BY s.id, p.ord""")
 def q_preorder(spark, sf):
@@ -186,7 +186,7 @@ def q_preorder(spark, sf):
              .withColumn("rank", F.coalesce("rank", F.lit(0))))
     keyed = steps.groupBy("id", "post_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "rank"))),
-                                 lambda x: F.lpad(x["rank"].cast("string"), 6, "0")), ".").alias("rank_path"))
+                                 lambda x: F.lpad(x["rank"].cast("string"), 19, "0")), ".").alias("rank_path"))
     return (keyed.join(posts.select(F.col("id").alias("post_id"), F.col("ord").alias("post_ord")), "post_id")
             .select("id", "post_ord", "rank_path"))
 
@@ -200,8 +200,15 @@ def _stages(spark, sf, p=P):
     return bt.stages(posts, replies, p)
 
 
-@register("thread_tokens", O.tree_ctes() + ",\n" + O.records_cte() + """
-SELECT focus_id AS id, ft_total, gen_total, text_total FROM totals""")
+# the totals are those of the rendered, uncut texts
+_UNCUT = (O.tree_ctes() + ",\n" + O.records_cte()
+          + ",\ncaps AS (SELECT focus_id, 'ft' AS view, msg_id, tok_body AS tok, tok_body AS cap FROM tlong)")
+
+
+@register("thread_tokens", O.thread_render_sql(0, 0, _UNCUT, "") + f"""
+SELECT r.id, {O.tok('r.full_thread')} AS ft_total,
+       {O.tok("coalesce(r.subthread_context, '')")} + {O.tok('r.subthread')} AS gen_total, t.text_total
+FROM rendered r JOIN totals t ON t.focus_id = r.id""")
 def q_thread_tokens(spark, sf):
     t = _stages(spark, sf).totals
     return t.select(F.col("focus_id").alias("id"), "ft_total", "gen_total", "text_total")
@@ -285,15 +292,12 @@ DOC_CAPS = ("SELECT DISTINCT msg_id, CAST(greatest(1, (tok_all * f) // 4) AS BIG
           "SELECT c.msg_id, c.cap, CAST(count(p.srank) AS BIGINT) AS k FROM dcaps c "
           "LEFT JOIN picked p ON p.msg_id = c.msg_id AND p.run <= c.cap GROUP BY c.msg_id, c.cap")
 def q_summary_pick(spark, sf):
-    msgs = _doc_msgs(spark, sf)
-    return summarize.picks_per_cap(summarize.ranked_sentences(msgs), _doc_caps(msgs))
+    return summarize.summaries(_capped_docs(spark, sf)).select("msg_id", "cap", "k")
 
 
-def _doc_caps(msgs):
-    tok_all = string_tokens(F.col("body"))
-    return (msgs.select("msg_id", tok_all.alias("tok_all"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("f"))
-            .select("msg_id", F.greatest(F.lit(1).cast("long"), F.expr("(tok_all * f) div 4")).alias("cap"))
-            .distinct())
+def _capped_docs(spark, sf):
+    msgs = _doc_msgs(spark, sf).withColumn("tok_all", string_tokens(F.col("body")))
+    return msgs.withColumn("caps", F.expr("array_distinct(transform(array(1, 2, 4), f -> greatest(1L, (tok_all * f) div 4)))")).drop("tok_all")
 
 
 @register("summaries", f"WITH {O.summary_ctes(DOC_MSGS)},\n"
@@ -301,8 +305,7 @@ def _doc_caps(msgs):
           "SELECT c.msg_id, c.cap, COALESCE(string_agg(p.sent, ' ' ORDER BY p.i), '') AS summary FROM dcaps c "
           "LEFT JOIN picked p ON p.msg_id = c.msg_id AND p.run <= c.cap GROUP BY c.msg_id, c.cap")
 def q_summaries(spark, sf):
-    msgs = _doc_msgs(spark, sf)
-    return summarize.summaries(summarize.ranked_sentences(msgs), _doc_caps(msgs))
+    return summarize.summaries(_capped_docs(spark, sf)).select("msg_id", "cap", "summary")
 
 
 # ---------------------------------------------------------------------------
@@ -346,7 +349,7 @@ from skein.functions import prompts as PR  # noqa: E402
 from skein.operators import chat, dataset, retrieve, sampling  # noqa: E402
 from skein.plans import generate as gen  # noqa: E402
 
-G = gen.GenParams(p=0.5, num_distractors=2, num_questions=2)
+G = gen.GenParams(p=1 / 3, num_distractors=2, num_questions=2)
 _Q = O._q
 _TH = O.thread_render_sql(P.ft_max_tok, P.gen_max_tok, _caps_sql(P), None)
 
@@ -360,11 +363,10 @@ def _idx_sql(src: str, id_expr: str, seed: str, cols: str = "*") -> str:
             f"{id_expr}) - 1 AS BIGINT) AS idx, count(*) OVER () AS n_total FROM {src}")
 
 
-_NUM = int(round(G.p * 1_000_000))
 SAMPLED_SQL = _TH + f""",
 idx0 AS ({_idx_sql('rendered', 'id', '42')}),
 flag AS (SELECT id, post_id, full_thread, subthread, subthread_context,
-                idx < (n_total * {_NUM}) // 1000000 AS include_oracle FROM idx0),
+                idx < floor(n_total * CAST({G.p!r} AS DOUBLE)) AS include_oracle FROM idx0),
 sampled AS ({_idx_sql('flag', 'id', '42|again')})"""
 
 
@@ -397,7 +399,7 @@ def q_sample_n(spark, sf):
     return sampling.sample_n(sampling.dense_index(d, "doc_id", 42), 100).select("doc_id", "idx")
 
 
-SPLIT_SQL = (f"SELECT doc_id, CASE WHEN idx < (n_total * 200000 + 999999) // 1000000 THEN 'test' ELSE 'train' END "
+SPLIT_SQL = (f"SELECT doc_id, CASE WHEN idx < ceil(n_total * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END "
              f"AS split FROM ({DOC_IDX})")
 
 
@@ -443,8 +445,9 @@ def _user_prompt_sql(thread: str, ctx: str) -> str:
 
 REQS_SQL = DIST_SQL + f""",
 reqs AS (SELECT id AS thread_id, CAST(j AS INTEGER) AS j FROM sampled, (SELECT unnest(range(0, {G.num_questions})) AS j)),
-rdocs AS (SELECT doc_id, regexp_extract(text, {O.SENT_RE}, 0) AS s1, substr(text, 1, 200) AS head FROM documents),
-rr AS (SELECT q.thread_id, q.j, CAST(q.j AS BIGINT) AS jj, rd.doc_id AS d, rd.s1, rd.head
+rdocs AS (SELECT doc_id, regexp_extract_all(text, {O.SENT_RE}) AS ss, text AS head FROM documents),
+rr AS (SELECT q.thread_id, q.j, CAST(q.j AS BIGINT) AS jj, rd.doc_id AS d,
+              CASE WHEN len(rd.ss) > 0 THEN rd.ss[q.j % len(rd.ss) + 1] ELSE '' END AS s1, rd.head
        FROM reqs q JOIN rdocs rd ON rd.doc_id = CAST(substr(q.thread_id, 4) AS BIGINT)),
 resp AS (
   SELECT thread_id, j, 'question' AS stage, CAST(a AS INTEGER) AS attempt,
@@ -696,7 +699,7 @@ def _parsed(spark, sf, kind):
 
 _LINK = "'https://www.reddit.com/r/forum/comments/'"
 EXPORT_POSTS_SQL = f"""WITH {O.FOREST}
-SELECT 'u/user' || CAST(doc_id % 50 AS VARCHAR) AS author, substr(text, 1, 60) AS title,
+SELECT 'u/user' || CAST(doc_id % 50 AS VARCHAR) AS author, split_part(text, chr(10), 1) AS title,
        CAST(score AS VARCHAR) AS score, strftime(created, {O.TS_FMT}) AS created,
        COALESCE(body0, '') AS text, 't3_' || CAST(doc_id AS VARCHAR) AS id,
        CASE WHEN doc_id % 80 = 0 THEN source ELSE '' END AS link_flair_text, distinguished,

@@ -9,16 +9,19 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "skein",
+def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "skein",
                   driver_memory: str = "8g") -> SparkSession:
     """A session configured the way every job in this package expects.
 
     AQE re-plans joins at runtime (broadcast by measured size, skew-join
     splitting of hot parent / post keys), timestamps are UTC, the UI is off.
+    Without ``shuffle_partitions`` a local session takes 8 and a cluster keeps
+    its own setting.
     """
+    if shuffle_partitions is None and (master or "").startswith("local"):
+        shuffle_partitions = 8
     builder = (
         SparkSession.builder.appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -28,6 +31,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if master:
         builder = builder.master(master)
     spark = builder.getOrCreate()
@@ -39,12 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for lineage cuts and stage tables.
 
     Read from the session (``spark.checkpoint.dir`` / the context's checkpoint
-    dir). Only when nothing is configured (local tests) is a folder created.
+    dir). A folder is only made when nothing is configured and the master is
+    local (tests): on a cluster a machine-local folder would lose data, so
+    there it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if not current:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not configured:
             configured = tempfile.mkdtemp(prefix="skein-ckpt-")
         sc.setCheckpointDir(configured)

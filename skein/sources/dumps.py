@@ -69,7 +69,7 @@ def parse_lines(lines: DataFrame, kind: str) -> DataFrame:
     created_sec = F.get_json_object(F.col("value"), "$.created_utc").cast("double").cast("long")
     link = F.when(_has(k, "permalink"), F.concat(F.lit(SITE), _str(o["permalink"]))).otherwise(
         F.concat(F.lit(SITE + "/r/"), _str(o["subreddit"]), F.lit("/comments/"),
-                 F.substring(o["link_id"], 4, 1 << 20), F.lit("/_/"), _str(o["id"]), F.lit("/")))
+                 F.substr(o["link_id"], F.lit(4)), F.lit("/_/"), _str(o["id"]), F.lit("/")))
     common = {
         "author": F.concat(F.lit("u/"), _str(o["author"])),
         "score": _str(F.get_json_object(F.col("value"), "$.score")),

@@ -20,6 +20,10 @@ def _d() -> Column:
     return F.col("doc_id")
 
 
+def first_line() -> Column:
+    return F.substring_index("text", "\n", 1)
+
+
 def is_post() -> Column:
     return (_d() % ROOT_EVERY) == 0
 
@@ -57,7 +61,7 @@ def forest_posts(docs: DataFrame) -> DataFrame:
     return base.select(
         msg_id(F.col("doc_id")).alias("id"),
         "author",
-        F.substring("text", 1, 60).alias("title"),
+        first_line().alias("title"),
         "score", "created", "body",
         F.when(F.col("doc_id") % 80 == 0, F.col("source")).alias("link_flair_text"),
         "distinguished",
@@ -93,7 +97,7 @@ def dump_lines(docs: DataFrame, kind: str) -> DataFrame:
     if kind == "posts":
         obj = F.struct(
             raw_author.alias("author"),
-            F.substring("text", 1, 60).alias("title"),
+            first_line().alias("title"),
             F.col("score"),
             created_utc.alias("created_utc"),
             F.col("body").alias("selftext"),
