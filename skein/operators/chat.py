@@ -21,21 +21,14 @@ def render_chat(messages: DataFrame, eos: str = PR.EOS_TOKEN, system_prompt: str
                 add_generation_prompt: bool = False, conv: str = "conv_id", turn: str = "turn",
                 role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, text (rendered conversation)."""
-    first = messages.groupBy(conv).agg(F.min_by(F.struct(role, text), F.struct(turn, role, text)).alias("_first"),
-                                       F.min(turn).alias("_t0"))
-    m = messages.join(first, conv)
-    is_first = F.col(turn) == F.col("_t0")
-    first_is_system = F.col("_first")[role] == "system"
-    piece = (F.when(is_first & first_is_system & (F.col(role) == "system"), F.lit(""))
-             .when(F.col(role) == "user", F.col(text))
+    # a system message renders to nothing wherever it stands; the first one is the head
+    piece = (F.when(F.col(role) == "user", F.col(text))
              .when(F.col(role) == "assistant", F.concat(F.col(text), F.lit(eos)))
              .otherwise(F.lit("")))
-    pieces = m.select(conv, turn, role, text, piece.alias("_piece"), "_first")
-    g = pieces.groupBy(conv).agg(
-        F.first("_first").alias("_first"),
+    g = messages.select(conv, turn, role, text, piece.alias("_piece")).groupBy(conv).agg(
         F.array_sort(F.collect_list(F.struct(turn, role, text, "_piece"))).alias("_xs"))
-    head = F.when(F.col("_first")[role] == "system", F.concat(F.col("_first")[text], F.lit(eos))) \
-            .otherwise(F.lit(system_prompt + eos))
+    first = F.col("_xs")[0]
+    head = F.when(first[role] == "system", F.concat(first[text], F.lit(eos))).otherwise(F.lit(system_prompt + eos))
     tail = F.lit(PR.REASONING_START if add_generation_prompt else "")
     return g.select(conv, F.concat(head, F.array_join(F.transform("_xs", lambda x: x["_piece"]), ""),
                                    tail).alias("text"))

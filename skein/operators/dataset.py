@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from skein.functions import prompts as PR
 from skein.operators import sampling
 
-WS_STRIP = r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$"
+# all blanks of Unicode, as a class that Java and RE2 read alike
+_BLANK = r"[\t-\r\x1C- \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WS_STRIP = rf"^{_BLANK}+|{_BLANK}+\z"
 
 
 def strip(c: Column) -> Column:
@@ -43,6 +45,11 @@ def question_requests(threads: DataFrame, num_questions: int = 1,
         F.concat(F.lit(qp + "\n\n"), user_prompt(F.col("subthread"), F.col("subthread_context"))).alias("request"))
 
 
+def with_system(requests: DataFrame, system: str = PR.DEFAULT_GEN_SYSTEM) -> DataFrame:
+    """Requests with the system message that goes before the user's."""
+    return requests.withColumn("system", F.lit(system))
+
+
 def answer_requests(threads: DataFrame, questions: DataFrame, instructions: list[str] | None = None) -> DataFrame:
     """thread_id, j, request (user message of the answer stage) for parsed,
     non-blank questions (``questions``: thread_id, j, question)."""
@@ -149,7 +156,3 @@ def assemble_prompts(ok: DataFrame, threads_indexed: DataFrame, m: int,
             .withColumn("prompt", F.concat(F.coalesce("ctx", F.lit("")), F.lit("Question: "), F.col("question")))
             .drop("ctx"))
 
-
-def format_answer(reasoning: Column, answer: Column) -> Column:
-    return F.concat(F.lit(PR.REASONING_START), reasoning, F.lit(PR.REASONING_END + "\n" + PR.SOLUTION_START),
-                    answer, F.lit(PR.SOLUTION_END))

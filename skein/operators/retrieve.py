@@ -1,60 +1,101 @@
-"""Cosine top-k retrieval over an embedding corpus and context prompts.
-
-Brute force like the reference: every corpus vector is scored against every
-query vector. The query batch is a small, size-checked table that is
-broadcast; each corpus row yields one score per query, computed with native
-higher-order functions (no Python). Top-k per query uses ``row_number <= k``
-directly above the window, which the planner turns into a partial
-WindowGroupLimit before the shuffle, so only k rows per query and map task
-cross the network.
+"""Cosine top-k retrieval over an embedding corpus, and what is made of the hits.
+
+Brute force, as every corpus vector must be scored against every query. The
+query table is taken in blocks of ``BLOCK`` rows, whatever its size; a block
+(at most a few MB) goes to the tasks, which score it against batches of the
+corpus with one matrix product, norms included once per vector, and keep the
+k best of each batch. Only those cross the network.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_QUERIES = 100_000
+from skein.session import materialize
 
+BLOCK = 1024
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-                       F.lit(0.0), lambda acc, v: acc + v)
 
+def _unit(vectors: list) -> np.ndarray:
+    m = np.array(vectors, float)
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
-def _norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
 
+def _score_block(corpus: DataFrame, ids: list, vectors: list, k: int, vec: str, corpus_id: str, query_id: str,
+                 id_type: str, kind: pa.DataType) -> DataFrame:
+    units = _unit(vectors)
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; 0 when either vector has zero norm."""
-    den = _norm(a) * _norm(b)
-    return F.when(den == 0, F.lit(0.0)).otherwise(_dot(a, b) / den)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, v) for i, v in zip(batch.column(corpus_id).to_pylist(), batch.column(vec).to_pylist())
+                    if v is not None and len(v) == units.shape[1]]
+            if not rows:
+                continue
+            # ids ascend, so that a stable sort breaks ties by id; rounding makes equal vectors score alike
+            rows.sort(key=lambda r: r[0])
+            score = np.round(units @ _unit([v for _, v in rows]).T, 12) + 0.0
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            q = np.repeat(np.arange(len(ids)), best.shape[1])
+            c = best.ravel()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[i] for i in q], kind), pa.array([rows[j][0] for j in c], batch.column(corpus_id).type),
+                 pa.array(score[q, c])], [query_id, corpus_id, "score"])
+
+    given = corpus.select(corpus_id, vec)
+    return given.mapInArrow(run, f"`{query_id}` {id_type}, `{corpus_id}` {given.schema[corpus_id].dataType.simpleString()}, score double")
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, vec: str = "embedding",
           corpus_id: str = "vec_id", query_id: str = "qid", query_vec: str = "qvec") -> DataFrame:
-    """query_id, rank (1..k), corpus_id, score for each query.
-
-    Ties keep corpus order (stable descending sort, as the reference).
-    Raises when the query batch is too large to broadcast.
-    """
-    n_q = queries.count()
-    if n_q > MAX_BROADCAST_QUERIES:
-        raise ValueError(f"{n_q} queries exceed the broadcast bound {MAX_BROADCAST_QUERIES}; batch them")
-    q = F.broadcast(queries.select(query_id, query_vec))
-    scored = corpus.select(corpus_id, vec).join(q, how="cross").select(
-        query_id, corpus_id, cosine(F.col(query_vec), F.col(vec)).alias("score"))
+    """query_id, corpus_id, score, rank (1..k) for each query; score 0 when
+    either vector has zero norm, ties by smaller corpus id. Null vectors and
+    vectors of another length take no part."""
+    id_type = queries.schema[query_id].dataType.simpleString()
+    kind = pa.string() if id_type == "string" else pa.int32() if id_type == "int" else pa.int64()
     w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(corpus_id).asc())
-    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(k)))
+    parts: list[DataFrame] = []
+
+    def flush(block: list) -> None:
+        scored = _score_block(corpus, [r[0] for r in block], [r[1] for r in block], k, vec, corpus_id, query_id, id_type, kind)
+        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(k))
+        parts.append(best)
+
+    block: list = []
+    for r in queries.where(F.col(query_vec).isNotNull()).select(query_id, query_vec).toLocalIterator():
+        if block and (len(block) >= BLOCK or len(block[0][1]) != len(r[1])):
+            flush(block)
+            parts[-1] = materialize(parts[-1], "topk")  # many blocks: each is one job
+            block = []
+        block.append((r[0], r[1]))
+    if block:
+        flush(block)
+    if not parts:
+        return corpus.select(F.lit(None).cast(id_type).alias(query_id), corpus_id, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def hits(corpus: DataFrame, queries: DataFrame, k: int, query_id: str = "qid", query_vec: str = "qvec") -> DataFrame:
+    """query_id, rank, query, thread, score over a corpus (id, query, thread, embeddings)."""
+    best = top_k(corpus, queries, k, "embeddings", "id", query_id, query_vec)
+    return best.join(corpus.select("id", "query", "thread"), "id").select(query_id, "rank", "query", "thread", "score")
 
 
 def context_prompts(hits: DataFrame, texts: DataFrame, questions: DataFrame,
                     query_id: str = "qid", corpus_id: str = "vec_id") -> DataFrame:
     """Prompt per query: retrieved threads in rank order as
-    ``<threadN>\\n...\\n</threadN>`` blocks, then ``Question: ...``, joined by
-    blank lines. ``texts``: corpus_id, thread. ``questions``: query_id, question."""
-    h = hits.join(texts, corpus_id)
+    ``<threadN>\\n...\\n</threadN>`` blocks (empty for a hit without a text), then
+    ``Question: ...``, joined by blank lines. ``texts``: corpus_id, thread.
+    ``questions``: query_id, question."""
+    h = hits.join(texts, corpus_id, "left").withColumn("thread", F.coalesce("thread", F.lit("")))
     g = h.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("rank", "thread"))).alias("xs"))
     blocks = F.transform("xs", lambda x: F.concat(F.lit("<thread"), x["rank"].cast("string"), F.lit(">\n"),
                                                  x["thread"], F.lit("\n</thread"), x["rank"].cast("string"),

@@ -23,8 +23,18 @@ from pyspark.sql import functions as F
 REPLY_COLS = ["id", "parent_id", "author", "score", "created", "body", "distinguished", "ord"]
 
 
+def duplicate_count(df: DataFrame, kind: str) -> DataFrame:
+    """kind, n_dropped: rows that ``dedupe_by_id`` leaves out (ids only are shuffled)."""
+    per_id = df.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return per_id.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("n_dropped")).select(
+        F.lit(kind).alias("kind"), "n_dropped")
+
+
 def dedupe_by_id(df: DataFrame) -> DataFrame:
-    """Keep one row per id: the earliest ``(created, ord)``. Use when ids may repeat."""
+    """One row per id: the earliest ``(created, ord)``. Ids are counted first;
+    rows with bodies are only shuffled when some id repeats."""
+    if not duplicate_count(df, "").first()["n_dropped"]:
+        return df
     w = Window.partitionBy("id").orderBy(F.col("created").asc_nulls_last(), F.col("ord").asc())
     return df.withColumn("_dup_rn", F.row_number().over(w)).where("_dup_rn = 1").drop("_dup_rn")
 

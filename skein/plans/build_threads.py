@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import budget, clean, summarize, threads
-from skein.sources import forest
+from skein.operators import budget, clean, summarize, threads, tree
 from skein.session import materialize
+from skein.sources import dumps, files, forest
 from skein.sources.tables import table
 
 
@@ -107,11 +107,20 @@ def cut_bodies(st: ThreadStages, p: ThreadParams) -> DataFrame:
 
 
 def build_threads(posts: DataFrame, replies: DataFrame, p: ThreadParams = ThreadParams()) -> DataFrame:
+    """Threads of the filtered posts and replies; of an id that repeats the earliest message counts."""
     p.validate()
-    st = stages(posts, replies, p)
+    st = stages(tree.dedupe_by_id(posts), tree.dedupe_by_id(replies), p)
     cut = cut_bodies(st, p)
     rows = (st.long.join(cut, ["focus_id", "msg_id"], "left")
             .select("focus_id", "post_id", "kind", "pos", "head",
                     F.coalesce("body_ft_cut", "body").alias("body_ft"),
                     F.coalesce("body_gen_cut", "body").alias("body_gen")))
     return threads.render_threads(rows)
+
+
+def write_threads(spark: SparkSession, posts_csv: str, replies_csv: str, out_path: str, p: ThreadParams = ThreadParams()) -> None:
+    """Job A on paths: exported CSV of posts and replies -> a thread table."""
+    posts = clean.quality_filter(dumps.read_posts_csv(spark, posts_csv), p.min_score)
+    replies = clean.quality_filter(dumps.read_replies_csv(spark, replies_csv), p.min_score)
+    # read once: several steps use them
+    files.write_threads(build_threads(materialize(posts, "posts"), materialize(replies, "replies"), p), out_path)

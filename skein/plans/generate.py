@@ -18,10 +18,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein import schemas
 from skein.functions.text import SENTENCE_PATTERN
 from skein.operators import dataset, sampling
 from skein.plans import build_threads as bt
 from skein.session import materialize
+from skein.sources import files
 from skein.sources.tables import table
 
 
@@ -108,18 +110,26 @@ def derived_embeddings(spark: SparkSession, sf_dir: str, reqs: DataFrame) -> Dat
 class GenOutputs:
     sampled: DataFrame
     status: DataFrame      # per (thread_id, j): status + parsed fields + embeddings
+    rows: DataFrame        # ok rows with everything that is known of them
     prompts: DataFrame     # ok rows with prompt
     examples: DataFrame
     corpus: DataFrame
 
 
-def generate(spark: SparkSession, sf_dir: str, threads: DataFrame, g: GenParams = GenParams()) -> GenOutputs:
+def generate_derived(spark: SparkSession, sf_dir: str, threads: DataFrame, g: GenParams = GenParams()) -> GenOutputs:
+    """Job B with the responses and embeddings that are derived from the given tables."""
     sampled = materialize(sampled_threads(threads, g), "sampled")
+    reqs = requests(sampled, g)
+    return generate(sampled, derived_responses(spark, sf_dir, reqs), derived_embeddings(spark, sf_dir, reqs), g)
+
+
+def generate(sampled: DataFrame, resp: DataFrame, emb: DataFrame, g: GenParams = GenParams()) -> GenOutputs:
+    """Job B2. ``sampled``: the table of ``sampled_threads`` (the one that the
+    requests were made from); ``resp``: thread_id, j, stage, attempt, text;
+    ``emb``: thread_id, j, embeddings of the questions."""
     n_rows = sampled.count()
     sampling.check_distractors(g.num_distractors, n_rows)
     reqs = requests(sampled, g)
-    resp = derived_responses(spark, sf_dir, reqs)
-    emb = derived_embeddings(spark, sf_dir, reqs)
     status = dataset.outcomes(reqs, resp, emb)
     ok = (status.where(F.col("status") == "ok")
           .join(sampled.select(F.col("id").alias("thread_id"), "include_oracle", "full_thread"), "thread_id"))
@@ -131,4 +141,29 @@ def generate(spark: SparkSession, sf_dir: str, threads: DataFrame, g: GenParams
     examples = full.select(F.col("prompt").alias("question"), "reasoning", "answer")
     corpus = full.select(F.col("thread_id").alias("id"), F.col("question").alias("query"),
                          F.col("full_thread").alias("thread"), "embeddings")
-    return GenOutputs(sampled, status, prompts, examples, corpus)
+    return GenOutputs(sampled, status, full, prompts, examples, corpus)
+
+
+def write_requests(spark: SparkSession, threads_path: str, out_path: str, g: GenParams = GenParams(),
+                   system: str | None = None) -> None:
+    """Job B1 on paths: a thread table -> ``out_path``/sampled (Parquet) and ``out_path``/requests (JSON lines)."""
+    sampled_threads(files.read_threads(spark, threads_path), g).write.mode("overwrite").parquet(f"{out_path}/sampled")
+    sampled = spark.read.parquet(f"{out_path}/sampled")
+    asked = dataset.question_requests(sampled, g.num_questions)
+    files.write_json(dataset.with_system(asked, system) if system else dataset.with_system(asked), f"{out_path}/requests")
+
+
+def write_dataset(spark: SparkSession, sampled_path: str, responses_path: str, embeddings_path: str, out_path: str,
+                  g: GenParams = GenParams(), test_fraction: float = 0.0) -> None:
+    """Job B2 on paths: sampled threads, responses (JSON lines) and question
+    embeddings (Parquet) -> ``out_path``/examples (shuffled, a folder for each
+    split) and ``out_path``/corpus, as JSON lines."""
+    out = generate(spark.read.parquet(sampled_path), files.read_json(spark, responses_path, schemas.RESPONSES),
+                   spark.read.parquet(embeddings_path), g)
+    rows = materialize(out.rows, "dataset_rows")
+    keyed = rows.withColumn("_key", F.concat_ws(":", "thread_id", "j"))
+    split = sampling.split_labels(sampling.dense_index(keyed, "_key", g.seed), test_fraction)
+    files.write_json(split.orderBy("idx").select("split", F.col("prompt").alias("question"), "reasoning", "answer"),
+                     f"{out_path}/examples", by="split")
+    files.write_json(rows.select(F.col("thread_id").alias("id"), F.col("question").alias("query"),
+                                 F.col("full_thread").alias("thread"), "embeddings"), f"{out_path}/corpus")

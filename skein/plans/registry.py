@@ -13,10 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein import schemas
+from skein.functions import prompts as PR
 from skein.functions.text import null_if_token, sentences, string_tokens
-from skein.operators import budget, summarize, tree
+from skein.operators import budget, chat, dataset, retrieve, sampling, summarize, tree
 from skein.plans import build_threads as bt
+from skein.plans import generate as gen
 from skein.plans import oracle as O
+from skein.session import materialize, stage_path
+from skein.sources import dumps, files, forest
 from skein.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -345,10 +350,6 @@ def q_subthread_context(spark, sf):
 # sampling and data set assembly (job B) on the job A thread table
 # ---------------------------------------------------------------------------
 
-from skein.functions import prompts as PR  # noqa: E402
-from skein.operators import chat, dataset, retrieve, sampling  # noqa: E402
-from skein.plans import generate as gen  # noqa: E402
-
 G = gen.GenParams(p=1 / 3, num_distractors=2, num_questions=2)
 _Q = O._q
 _TH = O.thread_render_sql(P.ft_max_tok, P.gen_max_tok, _caps_sql(P), None)
@@ -505,7 +506,7 @@ st AS (
 
 
 def _gen(spark, sf):
-    return gen.generate(spark, sf, gen.thread_table(spark, sf), G)
+    return gen.generate_derived(spark, sf, gen.thread_table(spark, sf), G)
 
 
 def _reqs_resp(spark, sf):
@@ -619,20 +620,20 @@ def q_sft_rows(spark, sf):
 # retrieval and chat rendering
 # ---------------------------------------------------------------------------
 
-QUERY_IDS = [0, 1, 2]
+QUERY_IDS = [0, 1, 2]  # the questions of ``context_prompts``
 TOP_K = 5
-_COS = """CASE WHEN sqrt(list_sum([x * x FOR x IN qv])) * sqrt(list_sum([x * x FOR x IN cv])) = 0 THEN 0.0
-          ELSE list_sum([qv[i] * cv[i] FOR i IN range(1, len(cv) + 1)])
-               / (sqrt(list_sum([x * x FOR x IN qv])) * sqrt(list_sum([x * x FOR x IN cv]))) END"""
+_COS = """CASE WHEN list_inner_product(qv, qv) * list_inner_product(cv, cv) = 0 THEN 0.0
+          ELSE list_inner_product(qv, cv) / (sqrt(list_inner_product(qv, qv)) * sqrt(list_inner_product(cv, cv))) END"""
 TOPK_SQL = f"""WITH ev AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS cv FROM embeddings),
-qs AS (SELECT vec_id AS qid, cv AS qv FROM ev WHERE vec_id IN ({', '.join(map(str, QUERY_IDS))})),
-sc AS (SELECT qid, vec_id, {_COS} AS score FROM qs, ev),
+qs AS (SELECT vec_id AS qid, cv AS qv FROM ev),
+sc AS (SELECT qid, vec_id, round({_COS}, 12) AS score FROM qs, ev),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id ASC) AS rank FROM sc)"""
 
 
 def _topk(spark, sf, qids):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    q = e.where(F.col("vec_id").isin(qids)).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    q = (e if qids is None else e.where(F.col("vec_id").isin(qids))).select(
+        F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     return retrieve.top_k(e, q, TOP_K)
 
 
@@ -645,16 +646,16 @@ def q_cosine_topk(spark, sf):
 @register("cosine_topk_batch", TOPK_SQL + f"""
 SELECT qid, vec_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM rk WHERE rank <= {TOP_K}""")
 def q_cosine_topk_batch(spark, sf):
-    return _topk(spark, sf, QUERY_IDS).select("qid", "vec_id", F.col("rank").cast("long"),
+    return _topk(spark, sf, None).select("qid", "vec_id", F.col("rank").cast("long"),
                                               F.round("score", 6).alias("score"))
 
 
 @register("context_prompts", TOPK_SQL + f""",
-hits AS (SELECT r.qid, r.rank, d.text AS thread FROM rk r JOIN documents d ON d.doc_id = r.vec_id WHERE r.rank <= {TOP_K}),
+hits AS (SELECT r.qid, r.rank, coalesce(d.text, '') AS thread FROM rk r LEFT JOIN documents d ON d.doc_id = r.vec_id WHERE r.rank <= {TOP_K}),
 blocks AS (SELECT qid, string_agg('<thread' || rank || '>' || chr(10) || thread || chr(10) || '</thread' || rank || '>',
                                   chr(10) || chr(10) ORDER BY rank) AS b FROM hits GROUP BY qid)
 SELECT q.qid, CASE WHEN b.b IS NULL THEN '' ELSE b.b || chr(10) || chr(10) END || 'Question: ' || d.text AS prompt
-FROM qs q JOIN documents d ON d.doc_id = q.qid LEFT JOIN blocks b ON b.qid = q.qid""")
+FROM (SELECT qid FROM qs WHERE qid IN ({', '.join(map(str, QUERY_IDS))})) q JOIN documents d ON d.doc_id = q.qid LEFT JOIN blocks b ON b.qid = q.qid""")
 def q_context_prompts(spark, sf):
     hits = _topk(spark, sf, QUERY_IDS)
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("thread"))
@@ -684,13 +685,10 @@ def q_render_chat(spark, sf):
 # dump export, CSV interchange, JSON-lines scan
 # ---------------------------------------------------------------------------
 
-from skein.session import stage_path  # noqa: E402
-from skein.sources import dumps, forest  # noqa: E402
-
-
 def _lines(spark, sf, kind):
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    return forest.dump_with_defects(docs, kind)
+    # written once, as a dump is: else the lines' own expression is copied into each field's
+    return materialize(forest.dump_with_defects(docs, kind), f"{kind}_lines")
 
 
 def _parsed(spark, sf, kind):
@@ -704,7 +702,7 @@ SELECT 'u/user' || CAST(doc_id % 50 AS VARCHAR) AS author, split_part(text, chr(
        COALESCE(body0, '') AS text, 't3_' || CAST(doc_id AS VARCHAR) AS id,
        CASE WHEN doc_id % 80 = 0 THEN source ELSE '' END AS link_flair_text, distinguished,
        'forum' AS subreddit, {_LINK} || CAST(doc_id AS VARCHAR) || '/_/' AS link
-FROM fbase WHERE doc_id % 40 = 0 AND doc_id % 50 NOT IN (7, 9) AND doc_id % 3 <> 0"""
+FROM fbase WHERE doc_id % 40 = 0 AND doc_id % 50 NOT IN (7, 9, 10, 20, 30) AND doc_id % 3 <> 0"""
 
 EXPORT_REPLIES_SQL = f"""WITH {O.FOREST}
 SELECT 'u/user' || CAST(doc_id % 50 AS VARCHAR) AS author, CAST(score AS VARCHAR) AS score,
@@ -713,7 +711,7 @@ SELECT 'u/user' || CAST(doc_id % 50 AS VARCHAR) AS author, CAST(score AS VARCHAR
        'forum' AS subreddit,
        CASE WHEN doc_id % 3 <> 0 THEN {_LINK} || CAST(doc_id AS VARCHAR) || '/_/'
             ELSE {_LINK} || CAST(doc_id - doc_id % 40 AS VARCHAR) || '/_/' || CAST(doc_id AS VARCHAR) || '/' END AS link
-FROM fparent WHERE doc_id % 50 NOT IN (7, 9)"""
+FROM fparent WHERE doc_id % 50 NOT IN (7, 9, 11, 13, 17)"""
 
 
 @register("project_posts", EXPORT_POSTS_SQL)
@@ -727,12 +725,15 @@ def q_project_replies(spark, sf):
 
 
 @register("quarantine", """
-SELECT doc_id AS line_no, 'posts' AS kind, CASE WHEN doc_id % 50 IN (7, 9) THEN 'bad_json' ELSE 'missing_key' END AS status,
-       CASE WHEN doc_id % 50 IN (7, 9) THEN 'undecodable JSON' ELSE 'no key link_id' END AS reason
-FROM documents WHERE doc_id % 40 = 0 AND (doc_id % 50 IN (7, 9) OR doc_id % 3 = 0)
+SELECT doc_id AS line_no, 'posts' AS kind,
+       CASE WHEN doc_id % 50 IN (7, 9, 10) THEN 'bad_json' WHEN doc_id % 3 = 0 THEN 'missing_key' ELSE 'bad_value' END AS status,
+       CASE WHEN doc_id % 50 IN (7, 9, 10) THEN 'undecodable JSON' WHEN doc_id % 3 = 0 THEN 'no key link_id'
+            ELSE 'created_utc is no number' END AS reason
+FROM documents WHERE doc_id % 40 = 0 AND (doc_id % 50 IN (7, 9, 10, 20, 30) OR doc_id % 3 = 0)
 UNION ALL
-SELECT doc_id AS line_no, 'replies' AS kind, 'bad_json' AS status, 'undecodable JSON' AS reason
-FROM documents WHERE doc_id % 40 <> 0 AND doc_id % 50 IN (7, 9)""")
+SELECT doc_id AS line_no, 'replies' AS kind, CASE WHEN doc_id % 50 IN (13, 17) THEN 'bad_value' ELSE 'bad_json' END AS status,
+       CASE WHEN doc_id % 50 IN (13, 17) THEN 'created_utc is no number' ELSE 'undecodable JSON' END AS reason
+FROM documents WHERE doc_id % 40 <> 0 AND doc_id % 50 IN (7, 9, 11, 13, 17)""")
 def q_quarantine(spark, sf):
     out = []
     for kind in ("posts", "replies"):
@@ -742,13 +743,15 @@ def q_quarantine(spark, sf):
 
 
 @register("ingest_metrics", f"""WITH {O.FOREST}
-SELECT 'posts' AS kind, count(*) AS n_lines, count(*) FILTER (WHERE doc_id % 50 IN (7, 9)) AS n_bad,
-       count(*) FILTER (WHERE doc_id % 50 NOT IN (7, 9) AND doc_id % 3 = 0) AS n_missing,
-       strftime(max(created) FILTER (WHERE doc_id % 50 NOT IN (7, 9) AND doc_id % 3 <> 0), {O.TS_FMT}) AS last_created
+SELECT 'posts' AS kind, count(*) AS n_lines, count(*) FILTER (WHERE doc_id % 50 IN (7, 9, 10)) AS n_bad,
+       count(*) FILTER (WHERE doc_id % 50 NOT IN (7, 9, 10) AND doc_id % 3 = 0) AS n_missing,
+       count(*) FILTER (WHERE doc_id % 50 IN (20, 30) AND doc_id % 3 <> 0) AS n_bad_value,
+       strftime(max(created) FILTER (WHERE doc_id % 50 NOT IN (7, 9, 10, 20, 30) AND doc_id % 3 <> 0), {O.TS_FMT}) AS last_created
 FROM fbase WHERE doc_id % 40 = 0
 UNION ALL
-SELECT 'replies' AS kind, count(*) AS n_lines, count(*) FILTER (WHERE doc_id % 50 IN (7, 9)) AS n_bad, 0 AS n_missing,
-       strftime(max(created) FILTER (WHERE doc_id % 50 NOT IN (7, 9)), {O.TS_FMT}) AS last_created
+SELECT 'replies' AS kind, count(*) AS n_lines, count(*) FILTER (WHERE doc_id % 50 IN (7, 9, 11)) AS n_bad, 0 AS n_missing,
+       count(*) FILTER (WHERE doc_id % 50 IN (13, 17)) AS n_bad_value,
+       strftime(max(created) FILTER (WHERE doc_id % 50 NOT IN (7, 9, 11, 13, 17)), {O.TS_FMT}) AS last_created
 FROM fbase WHERE doc_id % 40 <> 0""")
 def q_ingest_metrics(spark, sf):
     out = []
@@ -759,7 +762,7 @@ def q_ingest_metrics(spark, sf):
 
 def _csv_roundtrip(spark, sf, kind):
     path = stage_path(spark, f"{kind}_csv")
-    dumps.write_csv(dumps.export_records(_parsed(spark, sf, kind), kind), path)
+    dumps.write_csv(dumps.export_records(_parsed(spark, sf, kind), kind, "line_no"), path)
     return dumps.read_posts_csv(spark, path) if kind == "posts" else dumps.read_replies_csv(spark, path)
 
 
@@ -781,21 +784,30 @@ def q_scan_replies(spark, sf):
     return r.select("id", "parent_id", "author", "score", _ts(), "body", "distinguished")
 
 
-@register("ingest_lines")
+@register("ingest_lines", """
+SELECT n, count(*) AS n_lines FROM (
+  SELECT CASE WHEN doc_id % 50 = 9 THEN 'blank' WHEN doc_id % 50 = 7 THEN 'cut'
+    WHEN doc_id % 50 = CASE WHEN doc_id % 40 = 0 THEN 10 ELSE 11 END THEN 'tail' ELSE 'object' END AS n FROM documents)
+GROUP BY n""")
 def q_ingest_lines(spark, sf):
-    """Dump lines written as compressed text files and scanned back (rows-only
-    check). gzip here: Spark's text writer has no zstd codec in this build."""
+    """Dump lines written as compressed text files, scanned back and told apart
+    by their ends. gzip here: Spark's text writer has no zstd codec in this build."""
     path = stage_path(spark, "dump_gz")
     lines = _lines(spark, sf, "posts").unionByName(_lines(spark, sf, "replies")).select("value")
     lines.write.mode("overwrite").option("compression", "gzip").text(path)
-    return dumps.read_lines(spark, path)
+    v = F.col("value")
+    kind = (F.when(v == "", "blank").when(v.endswith("} tail"), "tail").when(v.startswith("{") & v.endswith("}"), "object").otherwise("cut"))
+    return (dumps.read_lines(spark, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            .groupBy(kind.alias("n")).agg(F.count(F.lit(1)).alias("n_lines")))
 
 
-@register("jsonl_scan")
+@register("jsonl_scan", """
+SELECT CASE WHEN bad THEN NULL ELSE CAST(vec_id AS VARCHAR) END AS id, CASE WHEN bad THEN '{not json' END AS corrupt,
+       CASE WHEN bad THEN NULL ELSE [CAST(x AS DOUBLE) FOR x IN embedding] END AS embeddings
+FROM (SELECT *, vec_id % 97 = 3 AS bad FROM embeddings)""")
 def q_jsonl_scan(spark, sf):
     """Corpus JSON lines (with undecodable and blank lines) scanned with an
-    explicit schema; bad lines land in ``_corrupt_record`` (rows-only check)."""
-    from pyspark.sql import types as T
+    explicit schema; bad lines land in ``_corrupt_record``, blank ones are skipped."""
     path = stage_path(spark, "corpus_jsonl")
     e = table(spark, sf, "embeddings")
     good = e.select(F.to_json(F.struct(F.col("vec_id").cast("string").alias("id"),
@@ -804,11 +816,74 @@ def q_jsonl_scan(spark, sf):
                                        F.transform("embedding", lambda x: x.cast("double")).alias("embeddings")))
                     .alias("value"), "vec_id")
     lines = good.select(F.when(F.col("vec_id") % 97 == 3, F.lit("{not json")).otherwise(F.col("value")).alias("value"))
-    lines.write.mode("overwrite").text(path)
-    schema = T.StructType(list(schemas_corpus().fields) + [T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    blank = good.where("vec_id % 50 = 1").select(F.lit("").alias("value"))
+    lines.unionByName(blank).write.mode("overwrite").text(path)
+    scanned = files.read_json(spark, path, schemas.CORPUS, corrupt="_corrupt_record")
+    return scanned.select("id", F.col("_corrupt_record").alias("corrupt"), "embeddings")
+
+
+# ---------------------------------------------------------------------------
+# sinks, repeated ids, requests with a system message, retrieval over a corpus
+# ---------------------------------------------------------------------------
+
+@register("examples_roundtrip", PROMPTS_SQL + "\nSELECT prompt AS question, reasoning, answer FROM prompts")
+def q_examples_roundtrip(spark, sf):
+    path = stage_path(spark, "examples_jsonl")
+    files.write_json(_gen(spark, sf).examples, path)
+    return files.read_json(spark, path, schemas.EXAMPLES)
 
 
-def schemas_corpus():
-    from skein import schemas
-    return schemas.CORPUS
+@register("corpus_roundtrip", PROMPTS_SQL + "\nSELECT thread_id AS id, question AS query, full_thread AS thread, embeddings FROM prompts")
+def q_corpus_roundtrip(spark, sf):
+    path = stage_path(spark, "corpus_out")
+    files.write_json(_gen(spark, sf).corpus, path)
+    return files.read_json(spark, path, schemas.CORPUS)
+
+
+@register("requests_with_system", REQS_SQL + f"""
+SELECT id AS thread_id, CAST(j AS INTEGER) AS j, {_Q(PR.DEFAULT_GEN_SYSTEM)} AS system,
+       {_Q(PR.QUESTION_PROMPT + chr(10) + chr(10))} || {_user_prompt_sql('subthread', 'subthread_context')} AS request
+FROM sampled, (SELECT unnest(range(0, {G.num_questions})) AS j)""")
+def q_requests_with_system(spark, sf):
+    return dataset.with_system(dataset.question_requests(_sampled(spark, sf), G.num_questions))
+
+
+def _repeated_forest(spark, sf):
+    """The forest with later copies of a seventh of its messages under the same ids."""
+    posts, replies = bt.filtered_forest(spark, sf)
+    later = (F.col("created") + F.expr("interval 90 minutes")).alias("created")
+
+    def twice(df):
+        copy = df.where("ord % 7 = 3 or ord % 80 = 0").select(
+            *[later if c == "created" else F.lit("copy").alias("body") if c == "body" else F.col(c) for c in df.columns])
+        return df.unionByName(copy)
+    return twice(posts), twice(replies)
+
+
+@register("deduped_threads", O.thread_render_sql(P.ft_max_tok, P.gen_max_tok, _caps_sql(P), THREAD_COLS))
+def q_deduped_threads(spark, sf):
+    return bt.build_threads(*_repeated_forest(spark, sf), P)
+
+
+@register("duplicate_ids", f"""WITH {O.FOREST}
+SELECT 'posts' AS kind, count(*) FILTER (ord % 7 = 3 OR ord % 80 = 0) AS n_dropped FROM kposts
+UNION ALL SELECT 'replies', count(*) FILTER (ord % 7 = 3 OR ord % 80 = 0) FROM kreplies""")
+def q_duplicate_ids(spark, sf):
+    posts, replies = _repeated_forest(spark, sf)
+    return tree.duplicate_count(posts, "posts").unionByName(tree.duplicate_count(replies, "replies"))
+
+
+@register("corpus_hits", PROMPTS_SQL + f""",
+cv AS (SELECT thread_id || ':' || j AS cid, question AS query, full_thread AS thread, embeddings AS cv FROM prompts),
+qv AS (SELECT vec_id AS qid, [CAST(x AS DOUBLE) FOR x IN embedding] AS qv FROM embeddings),
+sc AS (SELECT qid, cid, query, thread, round(list_inner_product(qv, cv) / (sqrt(list_inner_product(qv, qv)) * sqrt(list_inner_product(cv, cv))), 12) AS score FROM qv, cv),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM sc)
+SELECT qid, CAST(rank AS BIGINT) AS rank, query, md5(thread) AS thread_md5, round(score, 6) AS score FROM rk WHERE rank <= {TOP_K}""")
+def q_corpus_hits(spark, sf):
+    """R1 over the retrieval corpus: every embedding as a query, hits as query, thread, score."""
+    prompts = _gen(spark, sf).rows
+    corpus = prompts.select(F.concat_ws(":", "thread_id", "j").alias("id"), F.col("question").alias("query"),
+                            F.col("full_thread").alias("thread"), "embeddings")
+    queries = table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    hits = retrieve.hits(corpus, queries, TOP_K)
+    return hits.select("qid", F.col("rank").cast("long"), "query", F.md5("thread").alias("thread_md5"), F.round("score", 6).alias("score"))

@@ -12,15 +12,18 @@ job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import schemas
 from skein.functions.text import null_if_token
 
 SITE = "https://www.reddit.com"
+NUMBER = r"^-?[0-9]{1,18}([.][0-9]*)?([eE][+-]?[0-9]{1,2})?$"
+MAX_SECONDS = 253402300800.0  # the year 10000: what a timestamp text can show
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
+# fixed values: columns and keys of the interchange format, in its order
 POST_FIELDS = ["author", "title", "score", "created", "text", "id", "link_flair_text", "distinguished",
                "subreddit", "link"]
 REPLY_FIELDS = ["author", "score", "created", "body", "name", "parent_id", "distinguished", "subreddit", "link"]
@@ -30,10 +33,12 @@ POST_REQUIRED = ["author", "title", "score", "created_utc", "id", "link_flair_te
 REPLY_REQUIRED = ["author", "score", "created_utc", "body", "parent_id", "subreddit"]
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Raw lines (column ``value``) of a file or folder; ``.zst`` is decoded by
-    the text source. A last line without a newline is kept."""
-    return spark.read.text(path)
+def read_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Raw lines (column ``value``) of a file or folder, compressed as their
+    suffix says. A last line without a newline is kept. A compressed file is
+    read by one task; ``partitions`` deals its lines out before they are parsed."""
+    lines = spark.read.text(path)
+    return lines.repartition(partitions) if partitions else lines
 
 
 def _has(keys: Column, k: str) -> Column:
@@ -46,8 +51,10 @@ def _str(c: Column) -> Column:
 
 
 def parse_lines(lines: DataFrame, kind: str) -> DataFrame:
-    """Adds ``status`` ('ok' | 'bad_json' | 'missing_key'), ``reason`` and the
-    export fields (strings, as written to the CSV) to a ``value`` column."""
+    """Adds ``status`` ('ok' | 'bad_json' | 'missing_key' | 'bad_value'),
+    ``reason`` and the export fields (strings, as written to the CSV) to a
+    ``value`` column. A line must be one JSON object and nothing else; a
+    creation time must be a number."""
     if kind not in ("posts", "replies"):
         raise ValueError("kind must be 'posts' or 'replies'")
     schema = schemas.RAW_POST if kind == "posts" else schemas.RAW_REPLY
@@ -62,11 +69,16 @@ def parse_lines(lines: DataFrame, kind: str) -> DataFrame:
     if kind == "replies":
         alts.append(F.when(~_has(k, "name") & ~_has(k, "id"), F.lit("id")))
     missing = F.coalesce(*alts)
-    status = (F.when(k.isNull(), F.lit("bad_json"))
-              .when(missing.isNotNull(), F.lit("missing_key")).otherwise(F.lit("ok")))
-    reason = F.when(k.isNull(), F.lit("undecodable JSON")).when(missing.isNotNull(),
-                                                               F.concat(F.lit("no key "), missing))
-    created_sec = F.get_json_object(F.col("value"), "$.created_utc").cast("double").cast("long")
+    raw_created = F.get_json_object(F.col("value"), "$.created_utc")
+    number = F.when(raw_created.rlike(NUMBER), raw_created.cast("double"))
+    created_sec = F.when(F.abs(number) < MAX_SECONDS, number.cast("long"))
+    # text behind the closing brace makes the line no element of a one-element list
+    bad = k.isNull() | F.coalesce(F.json_array_length(F.concat(F.lit("["), F.col("value"), F.lit("]"))) != 1, F.lit(True))
+    status = (F.when(bad, F.lit("bad_json"))
+              .when(missing.isNotNull(), F.lit("missing_key"))
+              .when(created_sec.isNull(), F.lit("bad_value")).otherwise(F.lit("ok")))
+    reason = (F.when(bad, F.lit("undecodable JSON")).when(missing.isNotNull(), F.concat(F.lit("no key "), missing))
+              .when(created_sec.isNull(), F.lit("created_utc is no number")))
     link = F.when(_has(k, "permalink"), F.concat(F.lit(SITE), _str(o["permalink"]))).otherwise(
         F.concat(F.lit(SITE + "/r/"), _str(o["subreddit"]), F.lit("/comments/"),
                  F.substr(o["link_id"], F.lit(4)), F.lit("/_/"), _str(o["id"]), F.lit("/")))
@@ -98,10 +110,20 @@ def parse_lines(lines: DataFrame, kind: str) -> DataFrame:
                     created_sec.alias("created_utc"), *[fields[c].alias(c) for c in order])
 
 
-def export_records(parsed: DataFrame, kind: str) -> DataFrame:
-    """Rows that export cleanly, in CSV column order."""
+def export_records(parsed: DataFrame, kind: str, line_no: str | None = None) -> DataFrame:
+    """Rows that export cleanly, in CSV column order (and input order, given the column that tells it)."""
     order = POST_FIELDS if kind == "posts" else REPLY_FIELDS
-    return parsed.where(F.col("status") == "ok").select(*order)
+    good = parsed.where(F.col("status") == "ok")
+    if line_no:
+        good = good.repartitionByRange(line_no).sortWithinPartitions(line_no)
+    return good.select(*order)
+
+
+def export(spark: SparkSession, dump_path: str, kind: str, out_path: str, partitions: int | None = None) -> None:
+    """A dump file or folder -> ``out_path``/records (CSV) and ``out_path``/quarantine (JSON lines)."""
+    parsed = parse_lines(read_lines(spark, dump_path, partitions), kind)
+    write_csv(export_records(parsed, kind), f"{out_path}/records")
+    quarantine(parsed).write.mode("overwrite").json(f"{out_path}/quarantine")
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:
@@ -114,16 +136,11 @@ def metrics_columns() -> list[Column]:
     return [F.count(F.lit(1)).alias("n_lines"),
             F.count_if(F.col("status") == "bad_json").alias("n_bad"),
             F.count_if(F.col("status") == "missing_key").alias("n_missing"),
+            F.count_if(F.col("status") == "bad_value").alias("n_bad_value"),
             F.date_format(F.timestamp_seconds(F.max(F.when(F.col("status") == "ok", F.col("created_utc")))),
                           TS_FORMAT).alias("last_created")]
 
 
-def observe_metrics(parsed: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation]:
-    """Attach the ingest metrics to the job itself (read after an action)."""
-    obs = Observation(name)
-    return parsed.observe(obs, *metrics_columns()), obs
-
-
 # --- CSV interchange ---------------------------------------------------------
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -153,5 +170,8 @@ def _typed(df: DataFrame, string_cols: list[str]) -> DataFrame:
     out = df
     for c in string_cols:
         out = out.withColumn(c, null_if_token(F.col(c)))
-    return (out.withColumn("created", F.to_timestamp(F.col("created"), TS_FORMAT))
-            .withColumn("ord", F.monotonically_increasing_id()))
+    # part files are read in no order of their own: the part number, then the row in its file
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
+    row = F.monotonically_increasing_id()
+    ordered = F.when(part != "", F.shiftleft(part.cast("long"), 33) + row.bitwiseAND(F.lit((1 << 33) - 1))).otherwise(row)
+    return out.withColumn("created", F.to_timestamp(F.col("created"), TS_FORMAT)).withColumn("ord", ordered)

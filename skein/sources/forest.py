@@ -129,10 +129,16 @@ def dump_lines(docs: DataFrame, kind: str) -> DataFrame:
 
 
 def dump_with_defects(docs: DataFrame, kind: str) -> DataFrame:
-    """``dump_lines`` with seeded defects: a truncated (undecodable) line when
-    doc_id % 50 = 7 and a blank line when doc_id % 50 = 9."""
+    """``dump_lines`` with seeded defects by doc_id % 50: 7 a truncated
+    (undecodable) line, 9 a blank one, 11 text behind the object, 13 a creation
+    time that is no number, 17 one that is null; posts (multiples of 10 only)
+    have 10, 20 and 30 for the last three."""
     lines = dump_lines(docs, kind)
     d = F.col("line_no")
     value = (F.when(d % 50 == 7, F.substring("value", 1, 20))
-             .when(d % 50 == 9, F.lit("")).otherwise(F.col("value")))
+             .when(d % 50 == 9, F.lit(""))
+             .when(d % 50 == (10 if kind == "posts" else 11), F.concat("value", F.lit(" tail")))
+             .when(d % 50 == (20 if kind == "posts" else 13), F.regexp_replace("value", r'"created_utc":\d+', '"created_utc":"abc"'))
+             .when(d % 50 == (30 if kind == "posts" else 17), F.regexp_replace("value", r'"created_utc":\d+', '"created_utc":null'))
+             .otherwise(F.col("value")))
     return lines.select(value.alias("value"), "line_no")
