@@ -161,8 +161,8 @@ def write_dataset(spark: SparkSession, sampled_path: str, responses_path: str, e
     out = generate(spark.read.parquet(sampled_path), files.read_json(spark, responses_path, schemas.RESPONSES),
                    spark.read.parquet(embeddings_path), g)
     rows = materialize(out.rows, "dataset_rows")
-    keyed = rows.withColumn("_key", F.concat_ws(":", "thread_id", "j"))
-    split = sampling.split_labels(sampling.dense_index(keyed, "_key", g.seed), test_fraction)
+    keyed = rows.withColumn("row_id", F.concat_ws(":", "thread_id", "j"))
+    split = sampling.split_labels(sampling.dense_index(keyed, "row_id", g.seed), test_fraction)
     files.write_json(split.orderBy("idx").select("split", F.col("prompt").alias("question"), "reasoning", "answer"),
                      f"{out_path}/examples", by="split")
     files.write_json(rows.select(F.col("thread_id").alias("id"), F.col("question").alias("query"),
