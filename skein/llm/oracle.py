@@ -52,11 +52,11 @@ WITH damaged AS (
     WHEN page_id % 89 = 5 THEN substr(html, 1, length(html) // 2) ELSE html END AS html
   FROM pages WHERE NOT coalesce(page_id, 0) % 101 = 7
   UNION ALL SELECT page_id, url || '#copy', html FROM pages WHERE page_id % 211 = 17),
-both AS (SELECT 'a' AS side, page_id, url, html FROM pages UNION ALL SELECT 'b', page_id, url, html FROM damaged),
+sides AS (SELECT 'a' AS side, page_id, url, html FROM pages UNION ALL SELECT 'b', page_id, url, html FROM damaged),
 rec AS (
   SELECT side, page_id, concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Record-ID: <urn:page:',
     page_id, '>', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
-    'Content-Length: ', strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)) AS r FROM "both"),
+    'Content-Length: ', strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)) AS r FROM sides),
 m AS (SELECT side, page_id, sha256(r) AS hash, CAST(strlen(r) AS BIGINT) AS size FROM rec),
 k AS (SELECT page_id, CAST(coalesce(sum(sum(size)) OVER (ORDER BY page_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
   FROM m WHERE side = 'a' GROUP BY page_id),
@@ -74,10 +74,10 @@ bs AS (SELECT item_id, len(ws) AS n, unnest(list_transform(range(1, greatest(len
   unnest(range(0, greatest(len(ws) - 4, 1))) AS q FROM b WHERE len(ws) > 0),
 ds AS (SELECT doc_id, len(ws) AS n, unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: list_aggregate(ws[i:i + 4], 'string_agg', ' '))) AS s,
   unnest(range(0, greatest(len(ws) - 4, 1))) AS p FROM w WHERE len(ws) > 0),
-at AS (SELECT DISTINCT d.doc_id, bs.item_id, bs.n AS size, greatest(0, least(d.p - bs.q + o.o, d.n - bs.n)) AS start
+placed AS (SELECT DISTINCT d.doc_id, bs.item_id, bs.n AS size, greatest(0, least(d.p - bs.q + o.o, d.n - bs.n)) AS start
   FROM ds d JOIN bs ON bs.s = d.s CROSS JOIN (SELECT unnest(range(-2, 3)) AS o) o),
-have AS (SELECT at.doc_id, at.item_id, at.start, at.size, d.s, count(*) AS c FROM at JOIN ds d ON d.doc_id = at.doc_id
-  AND d.p >= at.start AND d.p < at.start + greatest(at.size - 4, 1) GROUP BY ALL),
+have AS (SELECT pl.doc_id, pl.item_id, pl.start, pl.size, d.s, count(*) AS c FROM placed pl JOIN ds d ON d.doc_id = pl.doc_id
+  AND d.p >= pl.start AND d.p < pl.start + greatest(pl.size - 4, 1) GROUP BY ALL),
 want AS (SELECT item_id, s, count(*) AS c FROM bs GROUP BY ALL),
 total AS (SELECT item_id, sum(c) AS t FROM want GROUP BY ALL),
 sim AS (SELECT h.doc_id, h.item_id, h.start, h.size, sum(h.c) AS hc, sum(least(h.c, coalesce(wt.c, 0))) AS common
