@@ -1,7 +1,13 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from skein.llm import secrets
+
 ORACLE: dict[str, str] = {}
 
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
 ORACLE["op6_chat_format"] = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -84,3 +90,40 @@ sim AS (SELECT h.doc_id, h.item_id, h.start, h.size, sum(h.c) AS hc, sum(least(h
   FROM have h LEFT JOIN want wt ON wt.item_id = h.item_id AND wt.s = h.s GROUP BY ALL)
 SELECT doc_id, item_id, max(common / (hc + t - common)) AS similarity FROM sim JOIN total USING (item_id)
 WHERE common / (hc + t - common) >= 0.8 GROUP BY doc_id, item_id"""
+
+_CLASS = r"[A-Za-z0-9+/_.=-]"
+
+
+def _matches(kind: str, order: int, pattern: str, group: int) -> str:
+    """Rows of one kind: position in code points from the pieces between matches."""
+    return f"""SELECT doc_id, source, '{kind}' AS kind, {order} AS k, v[i] AS value,
+      CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s,
+      length(w[i]) AS len
+    FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (
+      SELECT doc_id, source, string_split_regex(text, {_q(pattern)}) AS g, regexp_extract_all(text, {_q(pattern)}, 0) AS w,
+        regexp_extract_all(text, {_q(pattern)}, {group}) AS v FROM d))"""
+
+
+ORACLE["op8_secrets"] = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+found AS (
+  SELECT * FROM ({_matches('assign', 0, secrets.ASSIGN, 2)}) WHERE length(value) >= {secrets.MIN_ASSIGNED}
+  UNION ALL {_matches('access', 1, secrets.ACCESS, 0)}
+  UNION ALL {_matches('hex', 2, secrets.HEX, 0)}
+  UNION ALL SELECT * FROM ({_matches('reuse', 3, _CLASS + '{12,}', 0)}) WHERE regexp_matches(value, '^[A-Za-z+/_.=-]{{0,40}}[0-9]')),
+held AS (
+  SELECT value, count(DISTINCT source) <= {secrets.LIVE_OWNERS} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+    AND length(value) >= 12 AND NOT regexp_matches(value, {_q(secrets.PLACEHOLDER)}) AS live, bool_or(kind = 'assign') AS assigned
+  FROM found WHERE kind <> 'reuse' GROUP BY value),
+spans AS (
+  SELECT f.*, f.s + f.len AS e, coalesce(h.live, false) AS live FROM found f LEFT JOIN held h USING (value)
+  WHERE f.kind <> 'reuse' OR (h.live AND h.assigned AND NOT EXISTS (
+    SELECT 1 FROM found b WHERE b.kind <> 'reuse' AND b.doc_id = f.doc_id AND b.s < f.s + f.len AND b.s + b.len > f.s))),
+per_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (kind <> 'reuse') AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans, count(*) FILTER (live) AS n_live,
+    count(*) FILTER (kind <> 'reuse' AND NOT live) AS n_example FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN per_doc USING (doc_id)"""

@@ -37,7 +37,7 @@ KINDS = ["assign", "access", "hex", "reuse"]
 MIN_ASSIGNED = 6
 #: a value held by at most so many owners is owner-specific
 LIVE_OWNERS = 2
-PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|redacted|your|xxxx|1234567|abcdef|(.)\1{5}"
+PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|redacted|your|xxxx|000000|111111|aaaaaa|1234567|abcdef"
 
 
 def _pieces(text: Column, pattern: str, group: int) -> Column:
