@@ -16,16 +16,22 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import json_string, string_tokens
 from skein.operators import tree
+from skein.session import materialize
 
 PLACEHOLDER_BODY = "..."
 
 
 def forest_nodes(posts: DataFrame, replies: DataFrame, max_depth: int) -> DataFrame:
     """Posts (depth 0) and attached replies down to ``max_depth + 1`` with
-    ``post_id``, ``depth``, ``path`` and ``num_replies`` (kept direct replies)."""
-    attached = tree.attach_levels(posts, replies, max_depth + 1)
+    ``post_id``, ``depth``, ``path`` and ``num_replies`` (kept direct replies).
+
+    The levels are joined on ids alone and written once each; bodies come in
+    by one join at the end."""
+    ids = materialize(replies.select("id", "parent_id"), "reply_ids")
+    levels = tree.attach_levels(posts.select("id"), ids, max_depth + 1, stage=True)
+    attached = replies.join(levels.select("id", "post_id", "depth", "path"), "id")
     nodes = tree.with_posts_as_nodes(posts, attached)
-    return tree.with_reply_counts(nodes, attached)
+    return tree.with_reply_counts(nodes, levels)
 
 
 def thread_rows(nodes: DataFrame, max_depth: int, k: int) -> DataFrame:

@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.session import materialize
+
 REPLY_COLS = ["id", "parent_id", "author", "score", "created", "body", "distinguished", "ord"]
 
 
@@ -72,15 +74,19 @@ def _level(replies: DataFrame, frontier: DataFrame, depth: int) -> DataFrame:
                     F.concat(F.col("_fpath"), F.array(F.col("id"))).alias("path")))
 
 
-def attach_levels(posts: DataFrame, replies: DataFrame, max_level: int) -> DataFrame:
+def attach_levels(posts: DataFrame, replies: DataFrame, max_level: int, stage: bool = False) -> DataFrame:
     """Attached replies with ``post_id``, ``depth`` (1 under a post) and
-    ``path`` (ids root .. self), for depths 1..max_level. One lazy plan."""
+    ``path`` (ids root .. self), for depths 1..max_level. One lazy plan, in
+    which a level is made again for each later one; ``stage`` writes every
+    level once instead (for narrow replies: ids only)."""
     if max_level < 1:
         raise ValueError("max_level must be >= 1")
     frontier = _roots(posts)
     levels = []
     for depth in range(1, max_level + 1):
         lvl = _level(replies, frontier, depth)
+        if stage:
+            lvl = materialize(lvl, "level")
         levels.append(lvl)
         frontier = lvl.select(F.col("id").alias("_pid"), "post_id", F.col("path").alias("_ppath"))
     return reduce(DataFrame.unionByName, levels)
@@ -97,8 +103,6 @@ def attach_all(posts: DataFrame, replies: DataFrame) -> DataFrame:
     exceed the number of replies are cycles, which no post reaches. Each round
     is written to the shared folder; other columns are joined once, at the end.
     """
-    from skein.session import materialize
-
     roots = posts.select(F.col("id").alias("_root")).distinct()
     start = (replies.select("id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("dist"))
              .join(roots, F.col("up") == F.col("_root"), "left")

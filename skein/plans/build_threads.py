@@ -56,7 +56,7 @@ class ThreadStages:
     nodes: DataFrame      # posts + attached replies (depth <= max_depth+1), num_replies
     rows: DataFrame       # long thread rows
     records: DataFrame    # message records (head, body, token counts)
-    long: DataFrame       # rows joined with records
+    long: DataFrame       # rows with their messages' token counts
     totals: DataFrame     # per-focus token totals
 
 
@@ -69,7 +69,8 @@ def stages(posts: DataFrame, replies: DataFrame, p: ThreadParams, persist: bool
     rows = threads.thread_rows(nodes, p.max_depth, p.max_replies)
     kept_replies = nodes.where(F.col("depth") >= 1)
     records = threads.message_records(posts, kept_replies)
-    long = rows.join(records, "msg_id")
+    # counts only: a message's text is in many threads, its copies are made when they are rendered
+    long = rows.join(records.select("msg_id", "head_tok", "tok_body"), "msg_id")
     if persist:
         long = materialize(long, "long")
     totals = budget.thread_totals(long)
@@ -111,7 +112,7 @@ def build_threads(posts: DataFrame, replies: DataFrame, p: ThreadParams = Thread
     p.validate()
     st = stages(tree.dedupe_by_id(posts), tree.dedupe_by_id(replies), p)
     cut = cut_bodies(st, p)
-    rows = (st.long.join(cut, ["focus_id", "msg_id"], "left")
+    rows = (st.long.join(cut, ["focus_id", "msg_id"], "left").join(st.records.select("msg_id", "head", "body"), "msg_id")
             .select("focus_id", "post_id", "kind", "pos", "head",
                     F.coalesce("body_ft_cut", "body").alias("body_ft"),
                     F.coalesce("body_gen_cut", "body").alias("body_gen")))
