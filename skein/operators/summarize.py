@@ -36,8 +36,9 @@ def word_counts(text: str) -> Counter:
     return Counter(w for w in _LETTERS.findall(text) if w not in _STOP)
 
 
-def rank_sentences(text: str, sents: list[str], toks: list[int]) -> list[tuple[int, int | None, int, int]]:
-    """(position, score numerator, largest word count, running total), best first.
+def rank_sentences(text: str, sents: list[str], toks: list[int], unscored: str = "first") -> list[tuple[int, int | None, int, int]]:
+    """(position, score numerator, largest word count, running total), best first;
+    sentences without a score go first or last.
 
     All weights of a message share the denominator, so the order by the sum of
     counts is the order by the score without rounding noise."""
@@ -47,7 +48,8 @@ def rank_sentences(text: str, sents: list[str], toks: list[int]) -> list[tuple[i
     for s, times in Counter(sents).items():
         hits = [counts[w] for w in _WORDS.findall(s.lower()) if w in counts]
         total[s] = times * sum(hits) if hits else None
-    order = sorted(range(len(sents)), key=lambda i: (total[sents[i]] is not None, -(total[sents[i]] or 0), i))
+    late = unscored == "last"
+    order = sorted(range(len(sents)), key=lambda i: ((total[sents[i]] is None) == late, -(total[sents[i]] or 0), i))
     out, run = [], 0
     for i in order:
         run += toks[i]
@@ -85,7 +87,7 @@ def word_weights(msgs: DataFrame) -> DataFrame:
     return msgs.select("msg_id", "body").mapInArrow(run, "msg_id string, word string, n long, max_n long, weight double")
 
 
-def ranked_sentences(msgs: DataFrame, counter: Callable[[Column], Column] = string_tokens) -> DataFrame:
+def ranked_sentences(msgs: DataFrame, counter: Callable[[Column], Column] = string_tokens, unscored: str = "first") -> DataFrame:
     """msg_id, i (position from 0), sent, tok, score_n, score, srank (picking
     order from 1), run (running token total) of the messages (msg_id, body)."""
     schema = pa.schema([("msg_id", pa.string()), ("i", pa.int32()), ("sent", pa.string()), ("tok", pa.int64()),
@@ -95,7 +97,7 @@ def ranked_sentences(msgs: DataFrame, counter: Callable[[Column], Column] = stri
         for batch in batches:
             rows = []
             for m, body, sents, toks in _rows(batch, "msg_id", "body", "sents", "toks"):
-                for k, (i, n, top, total) in enumerate(rank_sentences(body, sents, toks), 1):
+                for k, (i, n, top, total) in enumerate(rank_sentences(body, sents, toks, unscored), 1):
                     rows.append((m, i, sents[i], toks[i], n, None if n is None else n / top, k, total))
             if rows:
                 yield _batch(rows, schema)
@@ -104,7 +106,7 @@ def ranked_sentences(msgs: DataFrame, counter: Callable[[Column], Column] = stri
         run, "msg_id string, i int, sent string, tok long, score_n long, score double, srank int, run long")
 
 
-def summaries(capped: DataFrame, counter: Callable[[Column], Column] = string_tokens) -> DataFrame:
+def summaries(capped: DataFrame, counter: Callable[[Column], Column] = string_tokens, unscored: str = "first") -> DataFrame:
     """msg_id, cap, k (sentences that fit), summary for each cap of the messages (msg_id, body, caps)."""
     schema = pa.schema([("msg_id", pa.string()), ("cap", pa.int64()), ("k", pa.int64()), ("summary", pa.string())])
 
@@ -112,7 +114,7 @@ def summaries(capped: DataFrame, counter: Callable[[Column], Column] = string_to
         for batch in batches:
             rows = []
             for m, body, caps, sents, toks in _rows(batch, "msg_id", "body", "caps", "sents", "toks"):
-                ranked = rank_sentences(body, sents, toks)
+                ranked = rank_sentences(body, sents, toks, unscored)
                 runs = [r[3] for r in ranked]
                 for cap in sorted(set(caps)):
                     k = bisect_right(runs, cap)

@@ -68,3 +68,10 @@ def test_message_without_words(spark):
     msgs = spark.createDataFrame([("m", "123. 456!")], "msg_id string, body string")
     ranked = summarize.ranked_sentences(msgs).orderBy("srank").collect()
     assert [x.sent for x in ranked] == ["123.", "456!"] and all(x.score is None for x in ranked)
+
+
+def test_unscored_first_or_last():
+    sents = ["Zz.", "fish fish.", "123."]
+    text = " ".join(sents)
+    assert [r[0] for r in summarize.rank_sentences(text, sents, [1, 1, 1])] == [0, 2, 1]
+    assert [r[0] for r in summarize.rank_sentences(text, sents, [1, 1, 1], "last")] == [1, 0, 2]
