@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import shingles
-from skein.llm.common import binary_parts, components, materialize, partitions, split_by_keys, whole_groups
+from skein.llm.common import binary_parts, components, materialize, only_keys, partitions, split_by_keys, whole_groups
 
 TREES, BRANCHES = 5, 2
 LEAF = 2048
@@ -222,7 +222,8 @@ def _with_items(docs: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
 
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rep"), "text")
     # only texts that have candidates are hashed again; of an id with several sets, the one with the class's hash
-    joined = keyed.join(wanted.select("rep", "cluster", "sid", "k"), "rep").select("cluster", "sid", "k", "text")
+    wanted = wanted.select("rep", "cluster", "sid", "k").hint("merge")  # the same plan at every size
+    joined = only_keys(keyed, wanted, ["rep"]).join(wanted, "rep").select("cluster", "sid", "k", "text")
     return joined.mapInArrow(run, "cluster long, sid long, k long, items binary")
 
 
@@ -238,7 +239,7 @@ def link(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id_col: str =
     members = materialize(sets.select("sid", "rep", "n").join(clusters, "sid"), "clusters")
     shares = members.groupBy("cluster").agg(F.greatest(
         F.ceil(F.sum("n") / CLUSTER_ITEMS), F.ceil(F.count(F.lit(1)) / CLUSTER_SETS)).alias("k"))
-    items = _with_items(docs, id_col, members.join(shares, "cluster"))
+    items = _with_items(docs, id_col, materialize(members.join(shares, "cluster"), "wanted"))
     part = F.pmod(F.xxhash64("sid", F.lit(11)), F.col("k"))
     parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1),
                         lambda o: F.least(part, o) * F.col("k") + F.greatest(part, o))
