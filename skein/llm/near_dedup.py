@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import shingles
+from skein.llm.batches import small_batches
 from skein.llm.common import binary_parts, components, materialize, only_keys, partitions, split_by_keys, whole_groups
 
 TREES, BRANCHES = 5, 2
@@ -231,7 +232,7 @@ def link(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id_col: str =
          leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """_id, n, component: for each distinct (id, set), the set's size and the smallest id reachable."""
     num, den = similarity
-    every = materialize(_sketches(docs, id_col), "sketches")
+    every = materialize(_sketches(small_batches(docs), id_col), "sketches")
     sets = materialize(every.where("sid is not null").groupBy("sid").agg(
         F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch")), "sets")
     edges = candidate_edges(sets.select("sid", "mins", "sketch"), num / den, leaf, depth)

@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.batches import small_batches
 from skein.llm.common import global_rank, materialize
 
 CAPACITY = 2048
 END_ID = 0
 ROUNDS = 800
 _SEPARATED = re.compile(r" \s| \Z")  # blanks that do not simply part two words
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 150_000
 _LONG_WORD = 2000
 
 
@@ -136,9 +137,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, folder: str | None = None,
                 cols = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays(cols[:6 if with_ids else 5], names[:6 if with_ids else 5])
+        encoder.words.clear()  # the worker lives on, its next task may be another operator's
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 
 
 Config = tuple[tuple[int, int], ...]  # (length, times), longest first

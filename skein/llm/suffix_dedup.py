@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.batches import small_batches
 from skein.llm.common import back_to_id, binary_parts, doc_key, materialize, only_keys, partitions
 from skein.llm.shingles import mix
 
@@ -352,7 +353,7 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    keyed = _keyed(docs, id_col)
+    keyed = _keyed(small_batches(docs), id_col)
     spans = materialize(repeated_spans(keyed, length, gram), "repeats")
     changed = (cut(keyed, spans).select("_id", "_th", "n_removed", "n_spans", F.sha2("kept", 256).alias("_sha"))
                .dropDuplicates(["_id", "_th"]))

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.batches import small_batches
 from skein.llm.common import materialize
 
 MAX_LABELLED = 60_000
@@ -45,7 +46,7 @@ _PRIOR = 3.0        # pseudo-documents of a word's prior
 _DRIFT = 1.5
 _TOP = 6.0
 _NO_EVIDENCE = -8.0  # log expected number of a text without a positive word
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 100_000
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -207,6 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         .join(F.broadcast(chosen), "_label_id")
         .select("toxic", "text", F.xxhash64("text").alias("_th"), (F.abs(F.xxhash64("_label_id", F.lit(1))) % 3).alias("_fold")),
         "tox_sample")
+    small_batches(sample)
     # copies of one text would make all its words look toxic: one stays for the counts
     counted = sample.where("_fold > 0").dropDuplicates(["_th"])
     base, share = _count(counted)
@@ -282,7 +284,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, passages
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     cols = list(dict.fromkeys([*keep, "text"]))
-    given = docs.select(*cols)
+    given = small_batches(docs).select(*cols)
     schema = ", ".join([*(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in keep), f"`{prefix}score` double", f"`{prefix}n_passages` long"])
     if passages:
         schema += f", `{prefix}passages` array<struct<start: long, end: long, sum: double, log_e: double>>"
