@@ -4,9 +4,9 @@ A document is contaminated by a benchmark item if some window of the item's
 length (in words) has a weighted-shingle similarity of 0.8 or more with it:
 shared five-word shingles, counted as often as they occur, over all of either.
 
-1. A window that shares no shingle with an item cannot be similar, so shingles
-   are first matched with the items'; each match proposes the window that
-   puts the shingle where the item has it, and its neighbours.
+1. Shingles are first matched with the items'. A window whose matches, wherever
+   the items have them, are too few for the similarity even if all counted
+   cannot be similar; every other window of the text is proposed.
 2. Proposed windows get a 64-bit SimHash of their shingles.
 3. The items' SimHashes are indexed by eight blocks of eight bits. Two
    fingerprints within ``RADIUS`` bits differ in at most RADIUS / 8 bits of
@@ -41,8 +41,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BLOCKS, BLOCK_BITS = 8, 8
 RADIUS = 22
-SHIFTS = 2
-BROADCAST_ROWS = 500_000  # of (hash, item, position, length): 14 MB
+BROADCAST_ROWS = 500_000  # of (hash, length), or hashes of bags
 #: every way to change at most RADIUS / BLOCKS bits of a block
 MASKS = [sum(1 << b for b in bits) for k in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), k)]
 
@@ -94,25 +93,44 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def starts(similarity: float) -> Column:
+    """The starts of all windows of ``len`` words with enough of the matched positions
+    ``ps`` (ascending) for the similarity: c common shingles of a window of w and
+    an item of m give c / (w + m - c). Each start is listed at the first match
+    that its window has."""
+    size = F.greatest(F.col("len") - (WORDS - 1), F.lit(1))
+    own = F.least(size, F.greatest(F.col("n_words") - (WORDS - 1), F.lit(1)))
+    need = F.greatest(F.lit(1), F.ceil((size + own) * (similarity / (1 + similarity)) - 1e-6).cast("int"))
+    last = F.greatest(F.lit(0), F.col("n_words") - F.col("len"))
+
+    def at(n: Column) -> Column:
+        def of(i: Column) -> Column:
+            low = F.greatest(F.when(i > 0, F.get("ps", i - 1) + 1).otherwise(0), F.get("ps", i + n - 1) - size + 1)
+            high = F.least(F.get("ps", i), last)
+            return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+
+        return F.when(F.size("ps") >= n, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("ps") - n)), of)))
+
+    return let(need, at)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """_id, _th, item_id, similarity, distance, start, n_words: the best window of each contaminated pair."""
     items = materialize(with_shingles(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"))
                         .where("n_words > 0").distinct()
                         .withColumn("_item", F.xxhash64(F.coalesce("item_id", F.lit(NO_ID)), "hs"))
                         .withColumn("fp", simhash("hs")).withColumn("bag", bag("hs")), "items")
-    places = materialize(items.select("_item", F.col("n_words").alias("len"), F.posexplode("hs").alias("q", "h"))
-                         .select("h", "len", "q").distinct(), "item_shingles")
+    places = materialize(items.select(F.col("n_words").alias("len"), F.explode("hs").alias("h"))
+                         .select("h", "len").distinct(), "item_shingles")
     n_places = places.count()
-    n_items = items.count()
+    n_items, n_bags = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("bag")), F.lit(0))).first()
 
     keyed = docs.select(doc_key().alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"), "text")
     at = with_shingles(keyed).select("_id", "_th", "n_words", F.posexplode("hs").alias("p", "h"))
     hits = (at if n_places <= BROADCAST_ROWS else only_keys(at, places, ["h"])).join(_small(places, n_places), "h")
-    # the window that lays the shingle over the item's, and its neighbours, inside the text
-    start = F.explode(F.transform(F.sequence(F.lit(-SHIFTS), F.lit(SHIFTS)), lambda s: F.greatest(
-        F.lit(0), F.least(F.col("p") - F.col("q") + s, F.col("n_words") - F.col("len"))))).alias("start")
-    proposed = materialize(hits.select("_id", "_th", "n_words", "len", "p", "q").select("_id", "_th", "len", start)
-                           .groupBy("_id", "_th").agg(F.collect_set(F.struct("start", "len")).alias("ws")), "windows")
+    matched = (hits.groupBy("_id", "_th", "n_words", "len").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+               .select("_id", "_th", "len", F.explode(starts(similarity)).alias("start")))
+    proposed = materialize(matched.groupBy("_id", "_th").agg(F.collect_list(F.struct("start", "len")).alias("ws")), "windows")
     again = with_shingles(only_keys(keyed, proposed, ["_id", "_th"]).dropDuplicates(["_id", "_th"]))
     windows = (again.join(proposed, ["_id", "_th"]).select("_id", "_th", "hs", F.explode("ws").alias("w"))
                .select("_id", "_th", "w.start", "w.len",
@@ -129,7 +147,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     sides = items.select("_item", "item_id", F.col("fp").alias("item_fp"), F.col("bag").alias("item_bag"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     common = F.size(F.array_intersect("bag", "item_bag"))
-    checked = (candidates.join(windows, ["_id", "_th", "start", "len"]).join(_small(sides, n_places), "_item")
+    checked = (candidates.join(windows, ["_id", "_th", "start", "len"]).join(_small(sides, n_bags), "_item")
                .withColumn("distance", distance).where(F.col("distance") <= RADIUS)
                .withColumn("similarity", common / (F.size("bag") + F.size("item_bag") - common))
                .where(F.col("similarity") >= similarity))

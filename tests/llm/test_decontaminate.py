@@ -90,3 +90,17 @@ def test_simhash(spark):
     got = spark.createDataFrame([(hs,)], "hs array<long>").select(dc.simhash("hs").alias("f")).first()["f"]
     want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
     assert got % 2 ** 64 == want
+
+
+@pytest.mark.parametrize("size, ends, middle", [(100, 3, 6), (150, 3, 12), (200, 5, 15)])
+def test_best_window_between_alignments(spark, size, ends, middle):
+    item = [f"w{i}" for i in range(size)]
+    copy = ["u"] * ends + item[ends:size // 2] + ["v"] * middle + item[size // 2:size - ends] + ["z"] * ends
+    doc = " ".join(["pre"] * 7 + copy + ["post"] * 9)
+    short = item[:size - 4]  # a text that is shorter than the item
+    docs = [(1, doc), (2, " ".join(short)), (3, " ".join(item[:size // 2]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bf = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["similarity"] for r in dc.contaminated(df, bf).collect()}
+    want = {i: s for i, t in docs if (s := best(t, " ".join(item))) >= 0.8}
+    assert set(got) == set(want) == {1, 2} and all(abs(got[i] - want[i]) < 1e-9 for i in want)
