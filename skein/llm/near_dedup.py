@@ -22,7 +22,8 @@ Edge cases: null or empty texts (no words) have no shingles and link with
 nothing; repeated rows (equal id and set) give one row; rows of one id with
 different sets give a row each; a null id ranks last, so it represents a
 component only if all its ids are null; an empty table gives an empty result;
-further input columns are ignored (``keep_first`` keeps them).
+further input columns are ignored (``keep_first`` keeps them, and one row of each
+component, whatever its ids).
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import shingles
@@ -80,8 +81,9 @@ def set_hash(s: np.ndarray) -> int:
     return int(shingles.mix(np.array([shingles.mix(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def _sketches(docs: DataFrame, id_col: str) -> DataFrame:
-    """_id, n, sid (of the set; 0 shingles: null), mins, sketch of each document."""
+def _sketches(docs: DataFrame, id_col: str, by_text: bool = False) -> DataFrame:
+    """_id, (with ``by_text``) _th, n, sid (of the set; 0 shingles: null), mins, sketch of each document."""
+    keys = ["_id", "_th"] if by_text else ["_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,11 +97,16 @@ def _sketches(docs: DataFrame, id_col: str) -> DataFrame:
                 mins.append(minwise(s).view(np.int64))
                 bins.append(sketch(s).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()),
-                 pa.array(mins, pa.list_(pa.int64())), pa.array(bins, pa.binary())], ["_id", "n", "sid", "mins", "sketch"])
+                [*[batch.column(k) for k in keys], pa.array(n, pa.int64()), pa.array(sid, pa.int64()),
+                 pa.array(mins, pa.list_(pa.int64())), pa.array(bins, pa.binary())], [*keys, "n", "sid", "mins", "sketch"])
 
-    return (docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"), "text")
-            .mapInArrow(run, "_id long, n long, sid long, mins array<long>, sketch binary"))
+    own = {"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_th": _text_hash()}
+    return (docs.select(*[own[k].alias(k) for k in keys], "text")
+            .mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", n long, sid long, mins array<long>, sketch binary"))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def _reach(n: int, near) -> Iterator[tuple[int, int]]:
@@ -228,13 +235,15 @@ def _with_items(docs: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "cluster long, sid long, k long, items binary")
 
 
-def link(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id",
-         leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """_id, n, component: for each distinct (id, set), the set's size and the smallest id reachable."""
+def _classes(docs: DataFrame, similarity: tuple[int, int], id_col: str, leaf: int, depth: int,
+             by_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``_sketches``; and sid, component (the smallest id reachable) and,
+    with ``by_text``, first_th (of that id's texts in the component, the smallest hash)."""
     num, den = similarity
-    every = materialize(_sketches(small_batches(docs), id_col), "sketches")
+    every = materialize(_sketches(small_batches(docs), id_col, by_text), "sketches")
+    rep_th = [F.min_by("_th", F.struct("_id", "_th")).alias("rep_th")] if by_text else []
     sets = materialize(every.where("sid is not null").groupBy("sid").agg(
-        F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch")), "sets")
+        F.min("_id").alias("rep"), *rep_th, F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch")), "sets")
     edges = candidate_edges(sets.select("sid", "mins", "sketch"), num / den, leaf, depth)
     clusters = components(edges).select(F.col("node").alias("sid"), F.col("root").alias("cluster"))
     members = materialize(sets.select("sid", "rep", "n").join(clusters, "sid"), "clusters")
@@ -247,10 +256,20 @@ def link(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id_col: str =
     rows = items.select("cluster", F.explode(parts).alias("part"), "sid", "items")
     links = materialize(_confirm(rows, num, den, MARGIN), "links")
     classes = components(links).select(F.col("node").alias("sid"), "root")
-    named = sets.select("sid", "rep").join(classes, "sid")
-    first = named.groupBy("root").agg(F.min("rep").alias("component"))
-    by_set = (sets.select("sid", "rep").join(classes, "sid", "left").join(first, "root", "left")
-              .select("sid", F.coalesce("component", "rep").alias("component")))
+    th = ["rep_th"] if by_text else []
+    first_th = [F.min_by("rep_th", F.struct("rep", "rep_th")).alias("first_th")] if by_text else []
+    named = sets.select("sid", "rep", *th).join(classes, "sid")
+    first = named.groupBy("root").agg(F.min("rep").alias("component"), *first_th)
+    by_set = (sets.select("sid", "rep", *th).join(classes, "sid", "left").join(first, "root", "left")
+              .select("sid", F.coalesce("component", "rep").alias("component"),
+                      *[F.coalesce("first_th", "rep_th").alias("first_th") for _ in th]))
+    return every, by_set
+
+
+def link(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id",
+         leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+    """_id, n, component: for each distinct (id, set), the set's size and the smallest id reachable."""
+    every, by_set = _classes(docs, similarity, id_col, leaf, depth)
     return (every.select("_id", "n", "sid").distinct().join(by_set, "sid", "left")
             .select("_id", "n", "sid", F.coalesce("component", "_id").alias("component")))
 
@@ -264,10 +283,20 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id
 
 
 def keep_first(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id") -> DataFrame:
-    """``docs`` (all columns) without the rows that a smaller id represents (all
-    rows of an id, if one of them is represented)."""
-    dropped = materialize(link(docs, similarity, id_col).where("_id <> component")
-                          .select(F.col("_id").alias("_drop_id")).distinct(), "near_copies")
-    keyed = docs.withColumn("_drop_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
-    maybe, kept = split_by_keys(keyed, dropped, ["_drop_id"])
-    return kept.unionByName(maybe.join(dropped, "_drop_id", "left_anti")).select(*docs.columns)
+    """``docs`` (all columns) with one row of each component: of its smallest id,
+    the smallest text hash, and one of the rows equal in both. Rows without
+    words are in no component and all stay."""
+    every, by_set = _classes(docs, similarity, id_col, LEAF, DEPTH, by_text=True)
+    texts = (every.where("sid is not null").groupBy("_id", "_th")
+             .agg(F.first("sid").alias("sid"), F.count(F.lit(1)).alias("copies")))
+    first = (F.col("_id") == F.col("component")) & (F.col("_th") == F.col("first_th"))
+    marked = materialize(texts.join(by_set, "sid").where(~first | (F.col("copies") > 1))
+                         .select(F.col("_id").alias("_drop_id"), F.col("_th").alias("_drop_th"), first.alias("_first")), "near_copies")
+    on = ["_drop_id", "_drop_th"]
+    keyed = docs.withColumn("_drop_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("_drop_th", _text_hash())
+    maybe, kept = split_by_keys(keyed, marked, on)
+    out = kept.unionByName(maybe.join(marked, on, "left_anti"))
+    repeated = marked.where("_first").select(*on)
+    if repeated.take(1):
+        out = out.unionByName(only_keys(keyed, repeated, on).join(repeated, on, "left_semi").dropDuplicates(on))
+    return out.select(*docs.columns)

@@ -102,3 +102,20 @@ def test_keep_first(spark, corpus):
     kept = near_dedup.keep_first(df)
     assert kept.columns == df.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _, c in plain_components(corpus) if i == c}
+
+
+def test_keep_first_null_and_repeated_ids(spark, words):
+    rnd = random.Random(23)
+    a, b, c, d, e, f = (rnd.choices(words, k=200) for _ in range(6))
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    a, b, c, d, e, f = (" ".join(w) for w in (a, b, c, d, e, f))
+    rows = [(1, a), (None, near(a.split())), (None, b), (None, c),  # one null id is a copy, the others are not
+            (7, d), (7, near(a.split()) + " more"), (7, e),  # versions of an id, one of them a copy
+            (None, f), (None, near(f.split())), (None, f),  # copies that all have null ids
+            (9, "again " + e[::-1]), (9, "again " + e[::-1]), (10, ""), (10, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, note string")
+    got = sorted(((r["doc_id"], r["text"]) for r in near_dedup.keep_first(df, (80, 100)).collect()), key=str)
+    one = {t for i, t in got if t in (f, near(f.split()))}
+    assert len(one) == 1
+    want = [(1, a), (None, b), (None, c), (7, d), (7, e), (None, *one), (9, "again " + e[::-1]), (10, ""), (10, ""), (None, None)]
+    assert got == sorted(want, key=str)
