@@ -9,10 +9,13 @@ where they part is reported, and such conversations are marked.
 
 Rows are shuffled once by conversation, sorted by turn inside the partition
 and streamed: a conversation's state is a bounded history of messages plus two
-running hashes, never its whole text. Once a conversation is longer than
-``block`` turns its history is cut to the first and the last few messages,
-after proof that the cut history renders the newest turn to the same text;
-without that proof the whole prefix is kept.
+running hashes, never its whole text, if its template is declared append-only
+(``append_only = True``: a turn only adds text, which depends on nothing but the
+turn itself). Once such a conversation is longer than ``block`` turns its
+history is cut to the first and the last few messages, if the cut history
+renders the newest turn to the same text. Of any other template whole prefixes
+are rendered and compared, however long the conversation is, as one turn shows
+nothing about later ones; state is then the conversation and its last output.
 
 Edge cases: a null text or role is empty; a null conv_id is one conversation
 of that id; rows with equal (conv_id, turn), repeated ones included, are all
@@ -69,6 +72,9 @@ def inst_template(messages: list[Message]) -> str:
     return "".join(out)
 
 
+inst_template.append_only = True
+
+
 def read_turn(piece: str) -> tuple[str, str, int, int]:
     """role, text, and the span in ``piece`` of the (escaped) text, of one rendered turn."""
     m = _TURN.fullmatch(piece)
@@ -85,6 +91,7 @@ class PrefixRenderer:
 
     def __init__(self, template: Template, block: int = 64, overlap: int = 4):
         self.template, self.block, self.overlap = template, block, overlap
+        self.append_only = getattr(template, "append_only", False)
         self.history: list[Message] = []
         self.out = template([])
         self.opening = self.out
@@ -104,7 +111,7 @@ class PrefixRenderer:
                 low, kept = (mid, kept) if now[:mid] == self.out[:mid] else (low, mid - 1)
         piece, lost = now[kept:], len(self.out) - kept
         self.out = now
-        if len(self.history) > self.block and not self.rewrites:
+        if self.append_only and len(self.history) > self.block and not self.rewrites:
             short = self.history[:1] + self.history[-self.overlap:]
             before, after = self.template(short[:-1]), self.template(short)
             if after.startswith(before) and after[len(before):] == piece:

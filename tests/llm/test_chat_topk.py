@@ -32,6 +32,29 @@ def test_rewriting_template_is_found():
     assert state.push(("user", "there"))[1] == len("hello)") and state.rewrites
 
 
+def last_80(messages):
+    return "".join(f"({r}:{t})" for r, t in messages[-80:])
+
+
+def last_reasoning(messages):  # reasoning of answers before the last user turn is not shown
+    last = max((k for k, (r, _) in enumerate(messages) if r == "user"), default=-1)
+    return "".join(f"({r}:{t if k > last or r == 'user' else t.split('|')[-1]})" for k, (r, t) in enumerate(messages))
+
+
+@pytest.mark.parametrize("template, turns", [
+    (last_80, [("user", f"turn {k}") for k in range(120)]),
+    (last_reasoning, [("user", "q")] + [("assistant", f"why {k}|so {k}") for k in range(70)] + [("user", "end")])])
+def test_late_rewrites_of_black_boxes(template, turns):
+    state = chat.PrefixRenderer(template)
+    whole = ""
+    for k, turn in enumerate(turns, 1):
+        now = template(turns[:k])
+        same = next((i for i, (x, y) in enumerate(zip(now, whole)) if x != y), min(len(now), len(whole)))
+        assert state.push(turn) == (now[same:], len(whole) - same)
+        whole = now
+    assert state.rewrites
+
+
 def digest(turns):
     text = "".join(f"{r}\n{t}\n" for r, t in turns)
     answers = "".join(t for r, t in turns if r == "assistant")
