@@ -3,9 +3,13 @@
 Every text is scanned for three base kinds (assignments, access keys, long
 hex runs). Each candidate value is hashed, and the corpus is asked how many
 distinct repositories and owners hold the hash: a value that many owners hold
-is a widely copied example, a value of one or two owners that looks random is
-a live-looking credential. Bare occurrences of a live-looking assigned value
-anywhere else are added as spans of kind ``reuse``.
+is a widely copied example, a value of one or two owners that is no placeholder
+as a whole is a live-looking credential. Bare occurrences of a live-looking
+assigned value anywhere else, between any characters but those of ``PIECE``, are
+added as spans of kind ``reuse``. A value that may be a plain word (not 12 or
+more characters with a digit and a letter) is sought only if one or two owners
+hold it, bare occurrences counted: the word after "password:" is not masked in
+all texts. A value without a character of ``PIECE`` is not sought.
 
 Only DataFrame functions run. A match's position comes from splitting the
 text at the pattern: pieces and matches alternate, so positions are running
@@ -25,19 +29,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import NO_ID, doc_key, materialize, split_by_keys
+from skein.llm.common import NO_ID, back_to_id, doc_key, materialize, only_keys, split_by_keys
 
 # fixed values: the base patterns of the contract (Java and SQL syntax)
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: bare tokens that can repeat an assigned value: whole runs with a digit in them
-BARE = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]{0,40}[0-9])[A-Za-z0-9+/_.=-]{12,}"
+#: a value's copies are sought by its first piece: boundaries are all other characters, '=', ':' and '/' too
+PIECE = r"[A-Za-z0-9+_.-]+"
 KINDS = ["assign", "access", "hex", "reuse"]
 MIN_ASSIGNED = 6
 #: a value held by at most so many owners is owner-specific
 LIVE_OWNERS = 2
+#: of the SQL twin, which matches it anywhere in a value
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|redacted|your|xxxx|000000|111111|aaaaaa|1234567|abcdef"
+#: a value that is a placeholder as a whole: such words and runs only
+PLACEHOLDER_VALUE = (r"(?i)^(?:(?:example|sample|dummy|changeme|placeholder|redacted|your|x{4,}+|0{6,}+|1{6,}+|a{6,}+"
+                     r"|1234567(?:8(?:90?)?)?|abcdef)[+/_.=-]*+){1,40}+$")
 
 
 def _pieces(text: Column, pattern: str, group: int) -> Column:
@@ -48,7 +56,9 @@ def _pieces(text: Column, pattern: str, group: int) -> Column:
                        lambda m: F.struct(F.length(m["g"]).alias("gap"), F.length(m["w"]).alias("len"),
                                           F.length(m["v"]).alias("value_len"),
                                           F.sha2(m["v"].cast("binary"), 256).alias("hash"),
-                                          m["v"].rlike(PLACEHOLDER).alias("placeholder"),
+                                          F.xxhash64(F.regexp_extract(m["v"], PIECE, 0)).alias("head"),
+                                          F.when(m["v"].rlike(PIECE), F.length(F.regexp_extract(m["v"], "^[=/]*", 0))).alias("off"),
+                                          m["v"].rlike(PLACEHOLDER_VALUE).alias("placeholder"),
                                           (m["v"].rlike("[0-9]") & m["v"].rlike("[A-Za-z]")
                                            & (F.length(m["v"]) >= F.lit(12))).alias("random")))
     return F.when(text.rlike(pattern), rows)
@@ -56,14 +66,14 @@ def _pieces(text: Column, pattern: str, group: int) -> Column:
 
 def candidates(docs: DataFrame, owner: str, repository: str) -> DataFrame:
     """_id, _th, _owner, _repo, kind, start, end, hash, ...: every match of the
-    base kinds and every bare token, in code points."""
+    base kinds, in code points."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(
         F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_th"),
         F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"),
         F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("_repo"),
         F.array(*[F.struct(F.lit(k).alias("kind"), _pieces(text, p, g).alias("m"))
-                  for k, p, g in (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("reuse", BARE, 0))])
+                  for k, p, g in (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0))])
         .alias("found"))
     by_kind = base.select("_id", "_th", "_owner", "_repo", F.explode("found").alias("f"))
     rows = by_kind.select("_id", "_th", "_owner", "_repo", F.col("f.kind").alias("kind"), F.posexplode("f.m").alias("i", "m"))
@@ -78,16 +88,45 @@ def candidates(docs: DataFrame, owner: str, repository: str) -> DataFrame:
 
 def ownership(found: DataFrame) -> DataFrame:
     """Distinct owners and repositories of every value that a base kind found."""
-    per_repo = found.where("kind <> 'reuse'").groupBy("hash", "_owner", "_repo").agg(
-        F.max("placeholder").alias("placeholder"), F.max("random").alias("random"),
-        F.max(F.col("kind") == "assign").alias("assigned"))
+    per_repo = found.groupBy("hash", "_owner", "_repo").agg(
+        F.max("placeholder").alias("placeholder"), F.max(F.col("kind") == "assign").alias("assigned"))
     per_owner = per_repo.groupBy("hash", "_owner").agg(
-        F.count(F.lit(1)).alias("repos"), F.max("placeholder").alias("placeholder"), F.max("random").alias("random"),
-        F.max("assigned").alias("assigned"))
+        F.count(F.lit(1)).alias("repos"), F.max("placeholder").alias("placeholder"), F.max("assigned").alias("assigned"))
     return per_owner.groupBy("hash").agg(
         F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"),
-        F.max("placeholder").alias("placeholder"), F.max("random").alias("random"), F.max("assigned").alias("assigned")
-    ).withColumn("live", (F.col("n_owners") <= LIVE_OWNERS) & F.col("random") & ~F.col("placeholder"))
+        F.max("placeholder").alias("placeholder"), F.max("assigned").alias("assigned")
+    ).withColumn("live", (F.col("n_owners") <= LIVE_OWNERS) & ~F.col("placeholder"))
+
+
+def copies(docs: DataFrame, heads: DataFrame, owner: str) -> DataFrame:
+    """_id, _th, start, end, hash: every occurrence of the values ``heads`` (hash,
+    head, off, value_len, random). Texts that hold a value's first piece are
+    found by a bitmap filter; positions are taken in those only."""
+    texts = docs.select(doc_key().alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"),
+                        F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"), F.coalesce("text", F.lit("")).alias("text"))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)))
+    tokens = texts.select("_id", "_th", F.explode(words).alias("w")).select("_id", "_th", F.xxhash64("w").alias("head"))
+    on = ["_id", "_th"]
+    holding = materialize(only_keys(tokens, heads, ["head"]).join(heads.select("head").distinct(), "head", "left_semi")
+                          .select(*on).distinct(), "secret_holders")
+    held = materialize(only_keys(texts, holding, on).join(holding, on, "left_semi"), "secret_texts")
+    once = held.select(*on, "text").dropDuplicates(on)
+    gaps, whole = F.split("text", PIECE, -1), F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
+    pieces = once.select(*on, F.posexplode(F.zip_with(F.slice(gaps, 1, F.size(whole)), whole, lambda g, w: F.struct(
+        F.length(g).alias("gap"), F.length(w).alias("len"), F.xxhash64(w).alias("head")))).alias("i", "m"))
+    run = Window.partitionBy(*on).orderBy("i")
+    placed = pieces.select(*on, "m.head", (F.sum(F.col("m.gap") + F.col("m.len")).over(run) - F.col("m.len")).alias("at"))
+    start, end = F.col("at") - F.col("off"), F.col("at") - F.col("off") + F.col("value_len")
+    maybe = placed.join(heads, "head").select(*on, "hash", "random", start.alias("start"), end.alias("end")).where("start >= 0")
+    same = F.sha2(F.substr("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).cast("binary"), 256)
+    # a value that ends in a boundary character needs none behind it
+    around = F.substr("text", F.col("end").cast("int"), F.lit(2))
+    found = materialize(maybe.join(once, on).where((same == F.col("hash")) & ~around.rlike("^[A-Za-z0-9+_.-]{2}"))
+                        .select(*on, "hash", "random", "start", "end").distinct(), "secret_copies")
+    owners = (found.where("not random").select(*on, "hash").distinct().join(held.select(*on, "_owner").distinct(), on)
+              .select("hash", "_owner").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n")))
+    common = owners.where(F.col("n") > LIVE_OWNERS).select("hash")
+    return found.join(common, "hash", "left_anti").select(back_to_id("_id").alias("_id"), "_th", "start", "end", "hash")
 
 
 def find_spans(docs: DataFrame, owner: str = "source", repository: str = "source") -> DataFrame:
@@ -95,10 +134,12 @@ def find_spans(docs: DataFrame, owner: str = "source", repository: str = "source
     Base spans all stay; ``reuse`` spans are bare copies of live-looking
     assigned values that no base span covers."""
     found = materialize(candidates(docs, owner, repository), "secret_candidates")
-    held = materialize(ownership(found), "secret_owners").drop("placeholder", "random")
-    spans = (found.drop("placeholder", "random", "gap", "len", "value_len", "_owner", "_repo")
-             .distinct().join(held, "hash", "left")
-             .where((F.col("kind") != "reuse") | (F.col("live") & F.col("assigned"))))
+    held = materialize(ownership(found), "secret_owners").drop("placeholder")
+    heads = materialize(found.where("kind = 'assign' and off is not null").select("hash", "head", "off", "value_len", "random").distinct()
+                        .join(held.where("live").select("hash"), "hash"), "secret_heads")
+    reused = copies(docs, heads, owner).select("_id", "_th", F.lit("reuse").alias("kind"), "start", "end", "hash")
+    spans = (found.select("_id", "_th", "kind", "start", "end", "hash").unionByName(reused)
+             .distinct().join(held, "hash", "left"))
     # a bare copy inside a base span of the same text is that span: the running
     # maximum of base ends before it, and the next base start, tell
     before = Window.partitionBy("_id", "_th").orderBy("start", F.col("kind") == "reuse").rowsBetween(Window.unboundedPreceding, Window.currentRow)

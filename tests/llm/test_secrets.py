@@ -67,3 +67,18 @@ def test_empty_and_repeated(spark):
     twice = frame(spark, TEXTS).union(frame(spark, TEXTS))
     assert secrets.scan(twice).count() == len(TEXTS)
     assert secrets.redact(twice).count() == 2 * len(TEXTS)
+
+
+def test_ownership_decides(spark):
+    values = ["hunter2", "correcthorse", "84620175", "Zk000000Lm2Pv5", "ab/cd==x9", "abcdefK7Lm2Pv5q"]
+    rows = [(i, f"password={v}", "o1") for i, v in enumerate(values)]
+    rows += [(10 + i, f"see x={v}, /{v}/y :{v}: {v}z", "o2") for i, v in enumerate(values)]
+    rows += [(30, "password=changeme", "o1"), (31, "secret=your-example", "o1"), (32, "password: required", "o1")]
+    rows += [(40 + i, "it is required here", f"p{i}") for i in range(4)] + [(None, "bare hunter2", "o2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    for i, v in enumerate(values):
+        assert got[i] == "[SECRET]"
+        assert got[10 + i] == f"see x=[SECRET], /[SECRET]/y :[SECRET]: {v}z"
+    assert got[30] == "password=changeme" and got[31] == "secret=your-example" and got[32] == "[SECRET]"
+    assert all(got[40 + i] == "it is required here" for i in range(4)) and got[None] == "bare [SECRET]"
