@@ -127,3 +127,34 @@ per_doc AS (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM d LEFT JOIN per_doc USING (doc_id)"""
+
+
+ORACLE["op13_filter_audit"] = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS ws FROM documents),
+known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT w.part, coalesce(k.good, false) AS good, coalesce(k.toxic, false) AS toxic, len(ws) < 200 AS "A",
+    100 * len(list_distinct(ws)) < 50 * len(ws) AS "B", 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS "C",
+    regexp_matches(t, '[#$%&*|]') AS "D", coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS "E"
+  FROM w LEFT JOIN known k USING (doc_id)),
+x AS (SELECT *, MAP {'A': "A", 'B': "B", 'C': "C", 'D': "D", 'E': "E"} AS m FROM f),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l a JOIN l b ON b.c <> a.c JOIN l c ON c.c NOT IN (a.c, b.c)
+    JOIN l d ON d.c NOT IN (a.c, b.c, c.c) JOIN l e ON e.c NOT IN (a.c, b.c, c.c, d.c)),
+steps AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders),
+failing AS (SELECT part, good, toxic, m, count(*) AS n, "A"::INT + "B"::INT + "C"::INT + "D"::INT + "E"::INT AS many FROM x GROUP BY ALL),
+seen AS (
+  SELECT part, filter_order, step, n, good, toxic, many, m[filter_order[step]] AS own,
+    len(list_filter(string_split(filter_order[1:step - 1], ''), lambda c: c <> '' AND m[c])) > 0 AS gone
+  FROM failing CROSS JOIN steps),
+sums AS (
+  SELECT part, filter_order, step, sum(n) FILTER (NOT own AND NOT gone) AS kept, sum(n) FILTER (own AND NOT gone) AS removed,
+    sum(n) FILTER (own AND gone) AS redundant, sum(n) FILTER (own AND many = 1) AS unique_fails,
+    sum(n) FILTER (own AND NOT gone AND good) AS good_lost, sum(n) FILTER (own AND NOT gone AND toxic) AS toxic_lost FROM seen GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley
+FROM sums"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat_format, decontaminate, hilbert, near_dedup, packing, secrets, suffix_dedup, topk, toxicity, warc_merkle
+from skein.llm import chat_format, decontaminate, filter_audit, hilbert, near_dedup, packing, secrets, suffix_dedup, topk, toxicity, warc_merkle
 from skein.llm.common import read
 from skein.llm.oracle import ORACLE  # noqa: F401
 
@@ -80,3 +80,8 @@ def op9_hilbert_shards(spark, sf):
 @register
 def op10_near_dedup(spark, sf):
     return near_dedup.near_duplicates(read(spark, sf, "documents"))
+
+
+@register
+def op13_filter_audit(spark, sf):
+    return filter_audit.audit_filters(read(spark, sf, "documents"), read(spark, sf, "labels"))
