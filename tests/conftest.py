@@ -15,4 +15,6 @@ def spark():
     s.stop()
 
 
-SF = "/root/testdata/sf0.001"
+@pytest.fixture(scope="session")
+def sf_dir():
+    return "/root/testdata/sf0.001"

@@ -9,13 +9,11 @@ from skein.sources import dumps, forest
 from skein.sources.tables import table
 from skein.streaming.ingest import read_ingested, start_ingest
 
-from conftest import SF
 
-
-def test_streaming_matches_batch(spark):
+def test_streaming_matches_batch(spark, sf_dir):
     base = tempfile.mkdtemp(prefix="skein-stream-")
     src, out = os.path.join(base, "src"), os.path.join(base, "out")
-    docs = table(spark, SF, "documents").select("doc_id", "text", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     lines = forest.dump_with_defects(docs, "replies")
     lines.select("value").write.mode("overwrite").text(src)
     q = start_ingest(spark, src, out, "replies", checkpoint=os.path.join(base, "ckpt"))
