@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from skein.llm import secrets
+from skein.llm import repetition, secrets
 
 ORACLE: dict[str, str] = {}
 
@@ -158,3 +158,31 @@ SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST
   CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
   CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley
 FROM sums"""
+
+
+def _twice(words: int) -> str:
+    """doc_id, n: the words that lie in windows of so many words found twice or more in their text."""
+    return f"""SELECT doc_id, count(DISTINCT p + o) AS n FROM (
+      SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, s) AS c FROM (
+        SELECT doc_id, unnest(range(1, len(ws) - {words - 2})) AS p, array_to_string(ws[p:p + {words - 1}], ' ') AS s FROM w WHERE len(ws) >= {words}))
+    CROSS JOIN (SELECT unnest(range({words})) AS o) WHERE c > 1 GROUP BY doc_id"""
+
+
+# a word is in a repeated string of k words or more when it is in a repeated window of k words
+ORACLE["op12_repetition"] = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS ws FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, '[^ \x09-\x0D]') GROUP BY doc_id),
+five AS ({_twice(5)}),
+covered AS ({_twice(repetition.MIN_REPEAT)}),
+long AS ({_twice(repetition.MAX_LONGEST + 1)}),
+m AS (
+  SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[ \x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+    coalesce(five.n, 0) AS n_repeat_words, coalesce(covered.n, 0) AS covered_words, coalesce(long.n, 0) AS too_long
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN five USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN long USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words,
+  n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repetition.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repetition.MAX_REPEAT_PERCENT} * n_words)
+    AND 100 * covered_words <= {repetition.MAX_COVERED_PERCENT} * n_words AND too_long = 0 AS kept
+FROM m"""
