@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat_format, decontaminate, filter_audit, hilbert, near_dedup, packing, repetition, secrets, suffix_dedup, topk, toxicity, warc_merkle
+from skein.llm import chat_format, decontaminate, filter_audit, hilbert, lexical, near_dedup, packing, repetition, secrets, suffix_dedup, topk, toxicity, warc_merkle
 from skein.llm.common import read
 from skein.llm.oracle import ORACLE  # noqa: F401
 
@@ -91,3 +91,8 @@ def op13_filter_audit(spark, sf):
 def op12_repetition(spark, sf):
     return repetition.quality(read(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words")
+
+
+@register
+def op11_lexical(spark, sf):
+    return lexical.search(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
