@@ -1,14 +1,28 @@
-"""Cosine top-k retrieval over an embedding corpus, and what is made of the hits.
+"""Cosine top-k retrieval over an embedding corpus, exact and pruned, and what
+is made of the hits.
 
-Brute force, as every corpus vector must be scored against every query. The
-query table is taken in blocks of ``BLOCK`` rows, whatever its size; a block
-(at most a few MB) goes to the tasks, which score it against batches of the
-corpus with one matrix product, norms included once per vector, and keep the
-k best of each batch. Only those cross the network.
+The corpus is cut into cells: up to ``CENTRES`` of its vectors (those of the
+smallest hashes of their ids; they only decide the layout) are the centres, each
+vector goes to the nearest one, and a cell's vectors are packed into blocks
+with the centre and the radius (the largest angle to it). On unit vectors
+angles obey the triangle inequality, so no vector of a block scores above
+cos(max(0, angle(query, centre) - radius)) and a block whose bound is below the
+k-th best score known for a query is skipped for that query.
+
+1. A query is scored against one block of each of the ``HOME_CELLS`` cells
+   whose centres are nearest; the k-th best of these scores is its floor.
+2. It is scored against every block whose bound reaches the floor; the floor
+   rises within a task as better blocks are met.
+
+Queries are packed on Spark and travel next to the blocks (``beside``), up to
+``GROUP_QUERIES`` of them in one chain of jobs; nothing but the centres (a
+bounded number of vectors) passes through the driver. A hot cell is many
+blocks, spread by their hash, not one group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,71 +30,227 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.beside import beside
 from skein.session import materialize
 
-BLOCK = 1024
+CENTRES = 256
+HOME_CELLS = 2
+BLOCK_ROWS = 2048
+BLOCK_BYTES = 1 << 23
+GROUP_QUERIES = 1 << 16
+_SLACK = 1e-9  # scores are rounded to 12 digits; bounds must not cut what rounding ties
 
 
-def _unit(vectors: list) -> np.ndarray:
+def _unit(vectors: list | np.ndarray) -> np.ndarray:
     m = np.array(vectors, float)
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _score_block(corpus: DataFrame, ids: list, vectors: list, k: int, vec: str, corpus_id: str, query_id: str,
-                 id_type: str, kind: pa.DataType) -> DataFrame:
-    units = _unit(vectors)
+def _usable(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+    """id, v (doubles) of the rows that take part."""
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return (df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+            .where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad))
+
+
+def _centres(corpus: DataFrame, rows: int) -> dict[int, np.ndarray]:
+    """Unit centres by vector length, at most CENTRES in all."""
+    picked = corpus.orderBy(F.xxhash64("id"), "id").limit(min(CENTRES, max(1, math.isqrt(rows)))).collect()
+    by_size: dict[int, list] = {}
+    for r in picked:
+        by_size.setdefault(len(r["v"]), []).append(r["v"])
+    return {d: _unit(sorted(vs)) for d, vs in by_size.items()}
+
+
+def _blocks(corpus: DataFrame, centres: dict[int, np.ndarray], parts: int) -> DataFrame:
+    """cell, ids, units (bytes), dim, centre (bytes), radius: blocks of one cell each, ids ascending."""
+    id_type = corpus.schema["id"].dataType.simpleString()
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column("v").to_pylist()
+            cells = [-1] * len(vectors)
+            for d in {len(v) for v in vectors} & set(centres):
+                own = [i for i, v in enumerate(vectors) if len(v) == d]
+                for i, c in zip(own, (_unit([vectors[i] for i in own]) @ centres[d].T).argmax(axis=1).tolist()):
+                    cells[i] = c
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([len(v) for v in vectors], pa.int32()),
+                                              batch.column("id"), batch.column("v")], ["cell", "dim", "id", "v"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        of = None
+
+        def block():
+            held.sort(key=lambda r: r[0])
+            units = _unit([r[1] for r in held])
+            centre = centres[of[0]][of[1]] if of[1] >= 0 else np.zeros(of[0])
+            cosine = np.clip(units @ centre, -1, 1)
+            # a zero vector scores 0 with every query: no angle bounds it, so such blocks are never skipped
+            plain = of[1] >= 0 and units.any(axis=1).all() and centre.any()
+            radius = float(np.arccos(cosine.min())) if plain else math.pi
+            return pa.RecordBatch.from_arrays(
+                [pa.array([of[1]], pa.int32()), pa.array([of[0]], pa.int32()), pa.array([[r[0] for r in held]], pa.list_(kind)),
+                 pa.array([units.tobytes()], pa.binary()), pa.array([centre.tobytes()], pa.binary()), pa.array([radius])],
+                ["cell", "dim", "ids", "units", "centre", "radius"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.column("id").type
+            for cell, dim, i, v in zip(*(batch.column(c).to_pylist() for c in ("cell", "dim", "id", "v"))):
+                if held and (of != (dim, cell) or len(held) >= BLOCK_ROWS or 8 * dim * len(held) >= BLOCK_BYTES):
+                    yield block()
+                    held.clear()
+                of = dim, cell
+                held.append((i, v))
+        if held:
+            yield block()
+
+    schema = corpus.schema
+    assigned = corpus.mapInArrow(assign, f"cell int, dim int, id {id_type}, v {schema['v'].dataType.simpleString()}")
+    dealt = (assigned.withColumn("_h", F.xxhash64("id")).repartitionByRange(parts, "dim", "cell", "_h")
+             .sortWithinPartitions("dim", "cell", "_h", "id").drop("_h"))
+    return dealt.mapInArrow(pack, f"cell int, dim int, ids array<{id_type}>, units binary, centre binary, radius double")
+
+
+def _packed(queries: DataFrame, n: int) -> DataFrame:
+    """dim, ids, units, floors: packed queries (id, v, floor)."""
+    id_type = queries.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, v) for i, v in zip(batch.column(corpus_id).to_pylist(), batch.column(vec).to_pylist())
-                    if v is not None and len(v) == units.shape[1]]
-            if not rows:
-                continue
-            # ids ascend, so that a stable sort breaks ties by id; rounding makes equal vectors score alike
-            rows.sort(key=lambda r: r[0])
-            score = np.round(units @ _unit([v for _, v in rows]).T, 12) + 0.0
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            q = np.repeat(np.arange(len(ids)), best.shape[1])
-            c = best.ravel()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in q], kind), pa.array([rows[j][0] for j in c], batch.column(corpus_id).type),
-                 pa.array(score[q, c])], [query_id, corpus_id, "score"])
-
-    given = corpus.select(corpus_id, vec)
-    return given.mapInArrow(run, f"`{query_id}` {id_type}, `{corpus_id}` {given.schema[corpus_id].dataType.simpleString()}, score double")
+            by_size: dict[int, list] = {}
+            for r in zip(*(batch.column(c).to_pylist() for c in ("id", "v", "floor"))):
+                by_size.setdefault(len(r[1]), []).append(r)
+            for dim, rows in by_size.items():
+                ids, vs, floors = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([dim], pa.int32()), pa.array([list(ids)], pa.list_(batch.column("id").type)), pa.array([_unit(vs).tobytes()], pa.binary()),
+                     pa.array([np.array(floors, float).tobytes()], pa.binary())], ["dim", "ids", "units", "floors"])
+
+    spread = queries.select("id", "v", "floor").repartition(max(1, -(-n // BLOCK_ROWS)), "id")
+    return spread.mapInArrow(pack, f"dim int, ids array<{id_type}>, units binary, floors binary")
+
+
+def _arrays(row: dict) -> tuple[int, list, np.ndarray]:
+    return row["dim"], row["ids"], np.frombuffer(row["units"]).reshape(len(row["ids"]), row["dim"])
+
+
+def _rounded(queries: np.ndarray, corpus: np.ndarray) -> np.ndarray:
+    """Cosines; rounding makes equal vectors score alike."""
+    return np.round(queries @ corpus.T, 12) + 0.0
+
+
+def _rows_of(rest: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in rest:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _one_group(blocks: DataFrame, seeds: DataFrame, centres: dict[int, np.ndarray], queries: DataFrame, n: int, k: int, parts: int) -> DataFrame:
+    """query, id, score, scored: for each query candidates that hold its k best
+    (score null: how many corpus vectors it was scored against in a task)."""
+    q_type, id_type = queries.schema["id"].dataType.simpleString(), blocks.schema["ids"].dataType.elementType.simpleString()
+
+    def floors(held, rest):
+        known = [_arrays(r) for batch in held for r in batch.to_pylist()]
+        homes = [np.argsort(-(u @ centres[d].T), axis=1, kind="stable")[:, :HOME_CELLS] if d in centres else np.zeros((len(u), 0), int)
+                 for d, _, u in known]
+        for row in _rows_of(rest):
+            dim, _, units = _arrays(row)
+            for (d, ids, u), home in zip(known, homes):
+                at = np.flatnonzero((home == row["cell"]).any(axis=1)) if d == dim else []
+                if len(at):
+                    best = -np.sort(-_rounded(u[at], units), axis=1)[:, :k]
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], held[0].schema.field("ids").type.value_type),
+                                                      pa.array(best.tolist(), pa.list_(pa.float64()))], ["id", "best"])
+
+    start = queries.withColumn("floor", F.lit(-2.0))
+    found = beside(_packed(start, n), seeds, "centre", parts, floors, f"id {q_type}, best array<double>")
+    # at most HOME_CELLS * k scores of a query
+    best = found.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("best")), asc=False).alias("best"))
+    floor = F.coalesce(F.when(F.size("best") >= k, F.element_at("best", k)), F.lit(-2.0))
+    known = queries.join(best, "id", "left").withColumn("floor", floor).drop("best")
+
+    def score(held, rest):
+        known = []
+        for batch in held:
+            for r in batch.to_pylist():
+                known.append((*_arrays(r), np.frombuffer(r["floors"]).copy(), np.zeros(len(r["ids"]), np.int64)))
+        q_kind = held[0].schema.field("ids").type.value_type
+        c_kind = None
+        for row in _rows_of(rest):
+            dim, ids, units = _arrays(row)
+            centre, radius = np.frombuffer(row["centre"]), row["radius"]
+            c_kind = c_kind or pa.array(ids).type
+            for d, qids, u, floor, scored in known:
+                if d != dim:
+                    continue
+                angle = np.arccos(np.clip(u @ centre, -1, 1)) - radius
+                bound = np.where(u.any(axis=1), np.cos(np.maximum(angle, 0)), 1.0)
+                at = np.flatnonzero(bound + _SLACK >= floor)
+                if not len(at):
+                    continue
+                scored[at] += len(ids)
+                cosine = _rounded(u[at], units)
+                best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]  # ids ascend: ties go to the smaller one
+                value = np.take_along_axis(cosine, best, 1)
+                r, c = np.nonzero(value >= floor[at][:, None])
+                if best.shape[1] == k:
+                    floor[at] = np.maximum(floor[at], value[:, -1])
+                if len(r):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([qids[i] for i in at[r]], q_kind), pa.array([ids[j] for j in best[r, c]], c_kind), pa.array(value[r, c]),
+                         pa.nulls(len(r), pa.int64())], ["query", "id", "score", "scored"])
+        for _, qids, _, _, scored in known:
+            at = np.flatnonzero(scored)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in at], q_kind), pa.nulls(len(at), c_kind), pa.nulls(len(at), pa.float64()),
+                                                  pa.array(scored[at])], ["query", "id", "score", "scored"])
+
+    return beside(_packed(known, n), blocks, "ids", parts, score, f"query {q_type}, id {id_type}, score double, scored long")
+
+
+def search(corpus: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", corpus_id: str = "vec_id",
+           query_id: str = "qid", query_vec: str = "qvec") -> tuple[DataFrame, DataFrame]:
+    """The hits of ``top_k``, and query_id, n_scored: against how many corpus
+    vectors each query was scored (the others were excluded by their cell)."""
+    spark = corpus.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    given = _usable(corpus, corpus_id, vec)
+    asked = _usable(queries, query_id, query_vec).groupBy("id").agg(F.min("v").alias("v"))
+    rows, n = given.count(), asked.count()
+    centres = _centres(given, rows)
+    blocks = materialize(_blocks(given, centres, parts), "cells")
+    first = blocks.groupBy("dim", "cell").agg(F.min(F.col("ids")[0]).alias("_first"))
+    seeds = blocks.join(first, ["dim", "cell"]).where(F.col("ids")[0] == F.col("_first")).select(*blocks.columns)
+    groups = -(-n // GROUP_QUERIES)
+    found = []
+    for g in range(groups):  # one chain of jobs for GROUP_QUERIES queries
+        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g) if groups > 1 else asked
+        found.append(materialize(_one_group(blocks, seeds, centres, own, -(-n // groups), k, parts), "hits"))
+    if not found:
+        none = spark.createDataFrame([], f"query {queries.schema[query_id].dataType.simpleString()}, id "
+                                         f"{corpus.schema[corpus_id].dataType.simpleString()}, score double, scored long")
+        found.append(none)
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("id").asc())
+    best = (every.where("score is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(k))
+            .select(F.col("query").alias(query_id), F.col("id").alias(corpus_id), "score", "rank"))
+    report = every.where("scored is not null").groupBy(F.col("query").alias(query_id)).agg(F.sum("scored").alias("n_scored"))
+    return best, report
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, vec: str = "embedding",
           corpus_id: str = "vec_id", query_id: str = "qid", query_vec: str = "qvec") -> DataFrame:
     """query_id, corpus_id, score, rank (1..k) for each query; score 0 when
-    either vector has zero norm, ties by smaller corpus id. Null vectors and
-    vectors of another length take no part."""
-    id_type = queries.schema[query_id].dataType.simpleString()
-    kind = pa.string() if id_type == "string" else pa.int32() if id_type == "int" else pa.int64()
-    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(corpus_id).asc())
-    parts: list[DataFrame] = []
-
-    def flush(block: list) -> None:
-        scored = _score_block(corpus, [r[0] for r in block], [r[1] for r in block], k, vec, corpus_id, query_id, id_type, kind)
-        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(k))
-        parts.append(best)
-
-    block: list = []
-    for r in queries.where(F.col(query_vec).isNotNull()).select(query_id, query_vec).toLocalIterator():
-        if block and (len(block) >= BLOCK or len(block[0][1]) != len(r[1])):
-            flush(block)
-            parts[-1] = materialize(parts[-1], "topk")  # many blocks: each is one job
-            block = []
-        block.append((r[0], r[1]))
-    if block:
-        flush(block)
-    if not parts:
-        return corpus.select(F.lit(None).cast(id_type).alias(query_id), corpus_id, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    either vector has zero norm, ties by smaller corpus id. Null ids, and vectors
+    that are null or empty or hold null or non-finite components, take no part; vectors of
+    another length are not compared; of a query id that repeats the smallest vector counts."""
+    return search(corpus, queries, k, vec, corpus_id, query_id, query_vec)[0]
 
 
 def hits(corpus: DataFrame, queries: DataFrame, k: int, query_id: str = "qid", query_vec: str = "qvec") -> DataFrame:

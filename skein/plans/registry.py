@@ -620,7 +620,7 @@ def q_sft_rows(spark, sf):
 # retrieval and chat rendering
 # ---------------------------------------------------------------------------
 
-QUERY_IDS = [0, 1, 2]  # the questions of ``context_prompts``
+QUERIES_OF = 100  # the queries of ``cosine_topk`` and ``context_prompts``: every id divisible by it
 TOP_K = 5
 _COS = """CASE WHEN list_inner_product(qv, qv) * list_inner_product(cv, cv) = 0 THEN 0.0
           ELSE list_inner_product(qv, cv) / (sqrt(list_inner_product(qv, qv)) * sqrt(list_inner_product(cv, cv))) END"""
@@ -630,23 +630,23 @@ sc AS (SELECT qid, vec_id, round({_COS}, 12) AS score FROM qs, ev),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id ASC) AS rank FROM sc)"""
 
 
-def _topk(spark, sf, qids):
+def _topk(spark, sf, every):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    q = (e if qids is None else e.where(F.col("vec_id").isin(qids))).select(
+    q = (e if every == 1 else e.where(F.col("vec_id") % every == 0)).select(
         F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     return retrieve.top_k(e, q, TOP_K)
 
 
 @register("cosine_topk", TOPK_SQL + f"""
-SELECT vec_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM rk WHERE qid = 0 AND rank <= {TOP_K}""")
+SELECT qid, vec_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM rk WHERE qid % {QUERIES_OF} = 0 AND rank <= {TOP_K}""")
 def q_cosine_topk(spark, sf):
-    return _topk(spark, sf, [0]).select("vec_id", F.col("rank").cast("long"), F.round("score", 6).alias("score"))
+    return _topk(spark, sf, QUERIES_OF).select("qid", "vec_id", F.col("rank").cast("long"), F.round("score", 6).alias("score"))
 
 
 @register("cosine_topk_batch", TOPK_SQL + f"""
 SELECT qid, vec_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM rk WHERE rank <= {TOP_K}""")
 def q_cosine_topk_batch(spark, sf):
-    return _topk(spark, sf, None).select("qid", "vec_id", F.col("rank").cast("long"),
+    return _topk(spark, sf, 1).select("qid", "vec_id", F.col("rank").cast("long"),
                                               F.round("score", 6).alias("score"))
 
 
@@ -655,11 +655,11 @@ hits AS (SELECT r.qid, r.rank, coalesce(d.text, '') AS thread FROM rk r LEFT JOI
 blocks AS (SELECT qid, string_agg('<thread' || rank || '>' || chr(10) || thread || chr(10) || '</thread' || rank || '>',
                                   chr(10) || chr(10) ORDER BY rank) AS b FROM hits GROUP BY qid)
 SELECT q.qid, CASE WHEN b.b IS NULL THEN '' ELSE b.b || chr(10) || chr(10) END || 'Question: ' || d.text AS prompt
-FROM (SELECT qid FROM qs WHERE qid IN ({', '.join(map(str, QUERY_IDS))})) q JOIN documents d ON d.doc_id = q.qid LEFT JOIN blocks b ON b.qid = q.qid""")
+FROM (SELECT qid FROM qs WHERE qid % {QUERIES_OF} = 0) q JOIN documents d ON d.doc_id = q.qid LEFT JOIN blocks b ON b.qid = q.qid""")
 def q_context_prompts(spark, sf):
-    hits = _topk(spark, sf, QUERY_IDS)
+    hits = _topk(spark, sf, QUERIES_OF)
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("thread"))
-    questions = (table(spark, sf, "embeddings").where(F.col("vec_id").isin(QUERY_IDS)).select(F.col("vec_id").alias("qid"))
+    questions = (table(spark, sf, "embeddings").where(F.col("vec_id") % QUERIES_OF == 0).select(F.col("vec_id").alias("qid"))
                  .join(table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("question")),
                        "qid"))
     return retrieve.context_prompts(hits, docs, questions)

@@ -111,7 +111,7 @@ def test_exact_thirds(spark):
 
 
 def test_retrieval_blocks(spark, monkeypatch):
-    monkeypatch.setattr(retrieve, "BLOCK", 7)
+    monkeypatch.setattr(retrieve, "BLOCK_ROWS", 7)
     rnd = random.Random(2)
     rows = [(i, [rnd.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]) for i in range(60)] + [(60, None), (61, [1.0, 2.0])]
     corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
