@@ -41,12 +41,27 @@ def dedupe_by_id(df: DataFrame) -> DataFrame:
     return df.withColumn("_dup_rn", F.row_number().over(w)).where("_dup_rn = 1").drop("_dup_rn")
 
 
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """The earliest ``(created, ord)`` of the rows of an id; for rows that were
+    just joined on id, so that the window needs no further exchange."""
+    w = Window.partitionBy("id").orderBy(F.col("created").asc_nulls_last(), F.col("ord").asc())
+    return rows.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+
+
+def _earliest(replies: DataFrame) -> DataFrame:
+    """id, parent_id, ord of the earliest row of each id (no bodies are shuffled)."""
+    first = F.min(F.struct(F.col("created").isNull().alias("undated"), "created", "ord", "parent_id")).alias("f")
+    return replies.groupBy("id").agg(first).select("id", "f.parent_id", "f.ord")
+
+
 def parent_lookup(replies: DataFrame) -> DataFrame:
     """Each reply with its parent reply's id and ord (null when the parent is
-    not a reply in the table): a left equi self-join."""
-    parents = replies.select(F.col("id").alias("_pid"), F.col("ord").alias("parent_ord"))
-    return (replies.join(parents, replies["parent_id"] == parents["_pid"], "left")
-            .select(*[replies[c] for c in replies.columns],
+    not a reply in the table): a left equi self-join. Of an id that repeats the
+    earliest row counts, as reply and as parent."""
+    rows = dedupe_by_id(replies)
+    parents = _earliest(replies).select(F.col("id").alias("_pid"), F.col("ord").alias("parent_ord"))
+    return (rows.join(parents, rows["parent_id"] == parents["_pid"], "left")
+            .select(*[rows[c] for c in replies.columns],
                     F.col("_pid").alias("parent_reply_id"), "parent_ord"))
 
 
@@ -92,33 +107,73 @@ def attach_levels(posts: DataFrame, replies: DataFrame, max_level: int, stage: b
     return reduce(DataFrame.unionByName, levels)
 
 
-def attach_all(posts: DataFrame, replies: DataFrame) -> DataFrame:
-    """All attached replies at every depth, with ``post_id`` and ``depth``.
-
-    Pointer doubling on two narrow columns: every reply points at its parent
-    with distance 1; in each round a reply whose pointer is a reply takes over
-    that reply's pointer and adds its distance, so a chain of depth d is done
-    after log2(d) rounds. A pointer that reaches a kept post is final; one that
-    reaches nothing is detached and goes. What is left when distances could
-    exceed the number of replies are cycles, which no post reaches. Each round
-    is written to the shared folder; other columns are joined once, at the end.
-    """
+CLIMBING, AT_POST, AT_END = 0, 1, 2
+
+
+def _climb(posts: DataFrame, replies: DataFrame) -> DataFrame:
+    """id, up, dist, low, kind of each reply id: where its chain of parents ends.
+
+    Pointer doubling on narrow columns: every reply points at its parent with
+    distance 1; in each round a reply whose pointer is a reply takes over that
+    reply's pointer, adds its distance and keeps the smaller of both labels
+    ``low`` (the smallest id from the reply up to, not including, its pointer).
+    A chain of depth d is done after log2(d) rounds, at a kept post (``AT_POST``)
+    or at an id that is no kept message (``AT_END``). Of the chains that end, the
+    unfinished reply nearest to its end is finished in each round; so when a
+    round finishes none, what is left leads into cycles. A few more rounds, until the
+    pointers have gone further than there are such replies, put every pointer
+    on its cycle and the cycle's smallest id into its label.
+
+    Of an id that repeats the earliest row counts. Each round is written to the
+    shared folder."""
     roots = posts.select(F.col("id").alias("_root")).distinct()
-    start = (replies.select("id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("dist"))
-             .join(roots, F.col("up") == F.col("_root"), "left")
-             .select("id", "up", "dist", F.col("_root").isNotNull().alias("done")))
+    own = _earliest(replies).select("id", F.col("parent_id").alias("up"))
+    known = own.select(F.col("id").alias("_reply"))
+    start = (own.join(roots, F.col("up") == F.col("_root"), "left").join(known, F.col("up") == F.col("_reply"), "left")
+             .select("id", "up", F.lit(1).cast("long").alias("dist"), F.col("id").alias("low"),
+                     F.when(F.col("_root").isNotNull(), AT_POST).when(F.col("_reply").isNotNull(), CLIMBING).otherwise(AT_END).alias("kind")))
     state = materialize(start, "pointers")
-    n, reach = state.count(), 1
-    while reach <= n and state.where("not done").take(1):
+    left, reach = state.where(F.col("kind") == CLIMBING).count(), 1
+    finished = True
+    while left and (finished or reach < left):
         at = state.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("dist").alias("_dist"),
-                          F.col("done").alias("_done"))
-        moved = (state.where("not done").join(at, F.col("up") == F.col("_id"))
-                 .select("id", F.col("_up").alias("up"), (F.col("dist") + F.col("_dist")).alias("dist"),
-                         F.col("_done").alias("done")))
-        state = materialize(state.where("done").unionByName(moved), "pointers")
-        reach *= 2
-    found = state.where("done").select("id", F.col("up").alias("post_id"), F.col("dist").cast("int").alias("depth"))
-    return replies.join(found, "id").select(*replies.columns, "post_id", "depth")
+                          F.col("low").alias("_low"), F.col("kind").alias("_kind"))
+        climbing = state.where(F.col("kind") == CLIMBING)
+        moved = climbing.join(at, F.col("up") == F.col("_id")).select(
+            "id", F.col("_up").alias("up"), (F.col("dist") + F.col("_dist")).alias("dist"),
+            F.least("low", "_low").alias("low"), F.col("_kind").alias("kind"))
+        state = materialize(state.where(F.col("kind") != CLIMBING).unionByName(moved), "pointers")
+        now = state.where(F.col("kind") == CLIMBING).count()
+        finished, left, reach = now < left, now, 2 * reach
+    return state
+
+
+def attach_all(posts: DataFrame, replies: DataFrame) -> DataFrame:
+    """All attached replies at every depth, with ``post_id`` and ``depth``; one
+    row of each id. The other columns are joined once, at the end."""
+    found = (_climb(posts, replies).where(F.col("kind") == AT_POST)
+             .select("id", F.col("up").alias("post_id"), F.col("dist").cast("int").alias("depth")))
+    return _one_of_each(replies.join(found, "id")).select(*replies.columns, "post_id", "depth")
+
+
+def detached(posts: DataFrame, replies: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """id, reason, at of each reply id without a kept post above it.
+
+    ``no parent``: the chain ends at an id that no message has (``at``; null
+    for a null parent); ``filtered ancestor``: it ends at a message of ``removed`` (ids),
+    that is one the filter took out; ``cycle``: it never ends, ``at`` is the
+    smallest id of the cycle that it is in or leads into."""
+    state = _climb(posts, replies)
+    ended = state.where(F.col("kind") == AT_END).select("id", F.col("up").alias("at"))
+    if removed is None:
+        ended = ended.withColumn("_gone", F.lit(None).cast("string"))
+    else:
+        ended = ended.join(removed.select(F.col("id").alias("_gone")).distinct(), F.col("at") == F.col("_gone"), "left")
+    reason = F.when(F.col("_gone").isNotNull(), "filtered ancestor").otherwise("no parent").alias("reason")
+    circling = state.where(F.col("kind") == CLIMBING)
+    label = circling.select(F.col("id").alias("_on"), F.col("low").alias("at"))
+    cycles = circling.join(label, F.col("up") == F.col("_on")).select("id", F.lit("cycle").alias("reason"), "at")
+    return ended.select("id", reason, "at").unionByName(cycles)
 
 
 def with_posts_as_nodes(posts: DataFrame, attached: DataFrame) -> DataFrame:

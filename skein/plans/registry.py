@@ -860,6 +860,59 @@ def _repeated_forest(spark, sf):
     return twice(posts), twice(replies)
 
 
+def _tangled_forest(spark, sf):
+    """The repeated forest, in which some replies answer one another in rings, themselves, or nothing."""
+    posts, replies = _repeated_forest(spark, sf)
+    block = F.expr("ord - ord % 40")
+    ring = F.expr(f"CASE ord % 40 {' '.join(f'WHEN {a} THEN {b}' for a, b in RING.items())} END")
+    parent = (F.when((block % 120 == 0) & ring.isNotNull(), F.concat(F.lit("t1_"), (block + ring).cast("string")))
+              .when(F.col("ord") % 131 == 7, F.col("id")).when(F.col("ord") % 40 == 33, F.lit("t1_gone"))
+              .when(F.col("ord") % 40 == 38, F.lit(None)).otherwise(F.col("parent_id")))
+    return posts, replies.withColumn("parent_id", parent)
+
+
+RING = {2: 6, 6: 19, 19: 22, 22: 2, 3: 9, 9: 3, 11: 6, 12: 11, 14: 12}  # two rings, and replies that lead into the first
+TANGLED = f"""tangled AS (
+  SELECT id, ord, CASE WHEN (ord - ord % 40) % 120 = 0 AND ord % 40 IN ({", ".join(map(str, RING))})
+      THEN 't1_' || (ord - ord % 40 + CASE ord % 40 {" ".join(f"WHEN {a} THEN {b}" for a, b in RING.items())} END)
+    WHEN ord % 131 = 7 THEN id WHEN ord % 40 = 33 THEN 't1_gone' WHEN ord % 40 = 38 THEN NULL ELSE parent_id END AS parent_id
+  FROM kreplies),
+chain(id, cur, path) AS (
+  SELECT id, parent_id, [id] FROM tangled
+  UNION ALL
+  SELECT c.id, t.parent_id, list_append(c.path, t.id) FROM chain c JOIN tangled t ON c.cur = t.id WHERE NOT list_contains(c.path, c.cur)),
+ends AS (
+  SELECT *, list_contains(path, cur) AS ring FROM chain c
+  WHERE list_contains(path, cur) OR cur IS NULL OR cur NOT IN (SELECT id FROM tangled))"""
+
+
+@register("tangled_attached", f"""WITH RECURSIVE {O.FOREST},{TANGLED}
+SELECT id, cur AS post_id, CAST(len(path) AS BIGINT) AS depth FROM ends WHERE cur IN (SELECT id FROM kposts)""")
+def q_tangled_attached(spark, sf):
+    """T3, T4 over repeated ids and rings: one row of each attached id."""
+    return tree.attach_all(*_tangled_forest(spark, sf)).select("id", "post_id", F.col("depth").cast("long"))
+
+
+@register("tangled_parents", f"""WITH RECURSIVE {O.FOREST},{TANGLED}
+SELECT t.id, t.parent_id, p.id AS parent_reply_id, p.ord AS parent_ord FROM tangled t LEFT JOIN tangled p ON t.parent_id = p.id""")
+def q_tangled_parents(spark, sf):
+    """T1 over repeated ids."""
+    _, replies = _tangled_forest(spark, sf)
+    return tree.parent_lookup(replies).select("id", "parent_id", "parent_reply_id", "parent_ord")
+
+
+@register("detached_reasons", f"""WITH RECURSIVE {O.FOREST},{TANGLED}
+SELECT id, CASE WHEN ring THEN 'cycle' WHEN cur IN (SELECT id FROM fposts UNION ALL SELECT id FROM freplies) THEN 'filtered ancestor'
+    ELSE 'no parent' END AS reason,
+  CASE WHEN ring THEN list_min(path[list_position(path, cur):]) ELSE cur END AS "at"
+FROM ends WHERE cur IS NULL OR cur NOT IN (SELECT id FROM kposts)""")
+def q_detached_reasons(spark, sf):
+    """T3: why a reply is under no kept post."""
+    posts, replies = _tangled_forest(spark, sf)
+    every = bt.load_forest(spark, sf)
+    return tree.detached(posts, replies, every[0].select("id").unionByName(every[1].select("id")))
+
+
 @register("deduped_threads", O.thread_render_sql(P.ft_max_tok, P.gen_max_tok, _caps_sql(P), THREAD_COLS))
 def q_deduped_threads(spark, sf):
     return bt.build_threads(*_repeated_forest(spark, sf), P)
