@@ -9,10 +9,12 @@ value is known exactly; the last pass keeps the scores above it and breaks
 ties at it by the smaller id.
 
 A block may cut its counts at its own k best scores (the global k-th value is
-never below a block's k-th), so it sends at most k rows for a query however
-many equal vectors there are. Queries are taken in blocks of ``QUERY_BLOCK``
-rows: that block (vectors and intervals, a few MB) is what is broadcast, for
-any number of queries.
+never below a block's k-th), so it counts at most k scores for a query however
+many equal vectors there are; a task adds its counts up before it sends them.
+Queries are numbered and packed into blocks of ``QUERY_BLOCK`` rows (fewer
+when vectors are long: ``BLOCK_BYTES``), whatever way the input was split. All
+blocks of up to ``GROUP_BLOCKS`` go through one job a round, next to the
+candidates of each partition; only more queries than that need a further chain.
 
 Edge cases: vectors that are null or hold null, NaN or infinite components
 take no part, nor do null ids; rows of one id count once (the smallest vector
@@ -31,11 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialize, partitions
+from skein.llm.common import global_rank, materialize, partitions
+from skein.operators.beside import beside
 
 BINS = 1024
 QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 4096
+BLOCK_BYTES = 1 << 23
+GROUP_BLOCKS = 8
+_COUNTS = 1 << 20  # counts that a task holds before it adds them up
 _SLICE = 256  # queries scored at a time inside a task: memory is _SLICE * CANDIDATE_BLOCK scores
 
 
@@ -50,28 +56,31 @@ def integer_vectors(df: DataFrame, scale: int = 256, id_col: str = "vec_id", vec
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most ``size`` vectors of one length: dim, ids, vectors (little-endian longs)."""
+    """Blocks of at most ``size`` rows and ``BLOCK_BYTES`` of vectors, all of one
+    length and one ``block``: dim, ids, vectors, lows (little-endian longs).
+    ``rows``: block, vec_id, v, low."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[tuple[int, int], tuple[list, list, list]] = {}
 
-        def block(dim):
-            ids, vs = held.pop(dim)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
-                 pa.array([np.array(vs, "<i8").tobytes()], pa.binary())], ["dim", "ids", "vectors"])
+        def block(key):
+            ids, vs, lows = held.pop(key)
+            columns = (np.array(x, "<i8").tobytes() for x in (ids, vs, lows))
+            return pa.RecordBatch.from_arrays([pa.array([key[1]], pa.int32()), *(pa.array([c], pa.binary()) for c in columns)],
+                                              ["dim", "ids", "vectors", "lows"])
 
         for batch in batches:
-            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist()):
-                ids, vs = held.setdefault(len(v), ([], []))
+            for b, i, v, low in zip(*(batch.column(c).to_pylist() for c in ("block", "vec_id", "v", "low"))):
+                ids, vs, lows = held.setdefault((b, len(v)), ([], [], []))
                 ids.append(i)
                 vs.append(v)
-                if len(ids) >= size:
-                    yield block(len(v))
-        for dim in list(held):
-            yield block(dim)
+                lows.append(low)
+                if len(ids) >= size or 8 * len(ids) * len(v) >= BLOCK_BYTES:
+                    yield block((b, len(v)))
+        for key in list(held):
+            yield block(key)
 
-    return rows.mapInArrow(pack, "dim int, ids binary, vectors binary")
+    return rows.select("block", "vec_id", "v", "low").mapInArrow(pack, "dim int, ids binary, vectors binary, lows binary")
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -81,129 +90,130 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q @ c.T
 
 
-def _slices(row, k: int):
-    """For each slice of the queries of a (candidate block, query block) row:
-    positions, scores and candidate ids of the block's k best by score (ties
-    at the edge by smaller id), invalid places marked."""
-    dim = row["dim"]
-    cid = np.frombuffer(row["ids"], "<i8")
-    order = np.argsort(cid, kind="stable")
-    cid = cid[order]
-    c = np.frombuffer(row["vectors"], "<i8").reshape(len(cid), dim)[order]
-    qid = np.frombuffer(row["q_ids"], "<i8")
-    q = np.frombuffer(row["q_vectors"], "<i8").reshape(len(qid), dim)
+class _Block:
+    """An unpacked block, ids ascending."""
+
+    def __init__(self, row):
+        ids = np.frombuffer(row["ids"], "<i8")
+        order = np.argsort(ids, kind="stable")
+        self.dim, self.ids = row["dim"], ids[order]
+        self.vectors = np.frombuffer(row["vectors"], "<i8").reshape(len(ids), row["dim"])[order]
+        self.lows = np.frombuffer(row["lows"], "<i8")[order]
+
+
+def _slices(c: _Block, q: _Block, k: int):
+    """For each slice of the queries ``q``: positions, scores of the candidates
+    ``c``, and the k-th best of them; a query's own place is marked."""
     none = np.iinfo(np.int64).min
-    for s in range(0, len(qid), _SLICE):
-        at = np.arange(s, min(s + _SLICE, len(qid)))
-        score = _scores(q[at], c)
-        own = np.searchsorted(cid, qid[at])
-        hit = (own < len(cid)) & (cid[np.minimum(own, len(cid) - 1)] == qid[at])
+    for s in range(0, len(q.ids), _SLICE):
+        at = np.arange(s, min(s + _SLICE, len(q.ids)))
+        score = _scores(q.vectors[at], c.vectors)
+        own = np.searchsorted(c.ids, q.ids[at])
+        hit = (own < len(c.ids)) & (c.ids[np.minimum(own, len(c.ids) - 1)] == q.ids[at])
         score[np.nonzero(hit)[0], own[hit]] = none
         m = min(k, score.shape[1])
-        edge = -np.partition(-score, m - 1, axis=1)[:, m - 1] if m else None
-        yield at, score, cid, edge, none
+        edge = -np.partition(-score, m - 1, axis=1)[:, m - 1]
+        yield at, score, edge, none
 
 
-def _map_pairs(pairs: DataFrame, fn, schema: str, names: list[str]) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                for cols in fn(row):
-                    if len(cols[0]):
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names)
-    return pairs.mapInArrow(run, schema)
+def _pairs(held: list[pa.RecordBatch], rest: Iterator[pa.RecordBatch]):
+    """Each candidate block with each query block of its vector length."""
+    queries = [_Block(row) for batch in held for row in batch.to_pylist()]
+    for batch in rest:
+        for i in range(batch.num_rows):
+            c = _Block(batch.slice(i, 1).to_pylist()[0])
+            for q in queries:
+                if q.dim == c.dim:
+                    yield c, q
+
+
+def _summed(found: list[tuple]) -> list[np.ndarray]:
+    """query, bin and the sum of counts of each (query, bin)."""
+    query, place, n = (np.concatenate(x) for x in zip(*found))
+    by = np.lexsort((place, query))
+    query, place, n = query[by], place[by], n[by]
+    head = np.flatnonzero(np.append(True, (query[1:] != query[:-1]) | (place[1:] != place[:-1])))
+    return [query[head], place[head], np.add.reduceat(n, head)]
 
 
 def top_k(candidates: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``candidates`` (vec_id, v)
     where ``is_query`` holds, its k best other rows."""
-    spark = candidates.sparkSession
     n = partitions(candidates)
     rows = materialize(candidates, "topk_vectors")
-    blocks = materialize(_packed(rows.repartition(n, F.xxhash64("vec_id")), CANDIDATE_BLOCK), "topk_candidates")
-    queries = materialize(
-        _packed(rows.where(is_query), QUERY_BLOCK).withColumn("block", F.monotonically_increasing_id()), "topk_queries")
+    spread = rows.repartition(n, F.xxhash64("vec_id")).select(F.lit(0).alias("block"), "vec_id", "v", F.lit(0).cast("long").alias("low"))
+    blocks = materialize(_packed(spread, CANDIDATE_BLOCK).drop("lows"), "topk_candidates").withColumn("lows", F.col("ids"))
+    ranked, n_queries = global_rank(rows.where(is_query), ["vec_id"], "topk_queries", "_n")
+    queries = ranked.select("vec_id", "v", F.expr(f"_n div {QUERY_BLOCK}").alias("block"))
     norm = F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     longest = rows.agg(norm).first()[0] or 0.0
     bound = int(longest) + 1  # Cauchy-Schwarz: |score| <= |q||c| <= max norm squared
-    results = []
-    # one job chain for each query block: ids of blocks only, one per QUERY_BLOCK queries
-    for b in sorted(r["block"] for r in queries.select("block").toLocalIterator()):
-        block = queries.where(F.col("block") == b).withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"}).drop("block")
-        results.append(materialize(_one_block(blocks, block, bound, k), "topk_result"))
-    out = None
-    for r in results:
-        out = r if out is None else out.unionByName(r)
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-
-
-def _one_block(blocks: DataFrame, queries: DataFrame, bound: int, k: int) -> DataFrame:
-    """The rounds for one block of queries (a single row)."""
+    out = candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for g in range(0, -(-n_queries // QUERY_BLOCK), GROUP_BLOCKS):  # one chain of jobs for QUERY_BLOCK * GROUP_BLOCKS queries
+        own = queries.where((F.col("block") >= g) & (F.col("block") < g + GROUP_BLOCKS))
+        out = out.unionByName(materialize(_one_group(blocks, own, bound, k, n), "topk_result"))
+    return out
+
+
+def _one_group(blocks: DataFrame, queries: DataFrame, bound: int, k: int, parts: int) -> DataFrame:
+    """The rounds for a group of query blocks (vec_id, v, block)."""
     width, low = 2 * bound + 1, -bound
-    state = None  # query position -> low, above (scores beyond the interval)
+    state = queries.select(F.col("vec_id").alias("query_id"), F.lit(low).cast("long").alias("low"), F.lit(0).cast("long").alias("above"))
+
+    def packed(state: DataFrame) -> DataFrame:
+        """The queries with the starts of their intervals; one without candidates is gone."""
+        known = queries.join(state.select(F.col("query_id").alias("vec_id"), "low"), "vec_id")
+        return _packed(known.repartition("block"), QUERY_BLOCK)
+
     while width > 1:
         step = -(-width // BINS)
 
-        def count(row, step=step, width=width, low=low):
-            lows = np.frombuffer(row["lows"], "<i8") if "lows" in row else None
-            for at, score, _, edge, none in _slices(row, k):
-                lo = lows[at] if lows is not None else np.full(len(at), low)
-                use = (score >= edge[:, None]) & (score > none)
-                use &= (score >= lo[:, None]) & (score < lo[:, None] + width)
-                r, c = np.nonzero(use)
-                bins, n = np.unique(np.stack([at[r], (score[r, c] - lo[r]) // step]), axis=1, return_counts=True)
-                yield bins[0], bins[1], np.minimum(n, k)  # no more than k of a bin can matter
-
-        pairs = blocks.join(F.broadcast(queries if state is None else _with_lows(queries, state)), "dim")
-        hist = (_map_pairs(pairs, count, "q long, bin long, n long", ["q", "bin", "n"])
-                .groupBy("q", "bin").agg(F.sum("n").alias("n")))
-        if state is not None:
-            hist = hist.join(F.broadcast(state), "q")
-        else:
-            hist = hist.withColumn("low", F.lit(low).cast("long")).withColumn("above", F.lit(0).cast("long"))
-        down = Window.partitionBy("q").orderBy(F.col("bin").desc())
+        def count(held, rest, step=step, width=width):
+            found, size = [], 0
+            for c, q in _pairs(held, rest):
+                for at, score, edge, none in _slices(c, q, k):
+                    lo = q.lows[at]
+                    use = (score >= edge[:, None]) & (score > none) & (score >= lo[:, None]) & (score < lo[:, None] + width)
+                    r, j = np.nonzero(use)
+                    if not len(r):
+                        continue
+                    place, times = np.unique(np.stack([r, (score[r, j] - lo[r]) // step]), axis=1, return_counts=True)
+                    # no more than k of a bin can matter
+                    found.append((q.ids[at[place[0]]], place[1], np.minimum(times, k)))
+                    size += len(times)
+                if size > _COUNTS:
+                    found = [tuple(_summed(found))]
+                    size = len(found[0][0])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _summed(found)], ["query_id", "bin", "n"])
+
+        hist = (beside(packed(state), blocks, "ids", parts, count, "query_id long, bin long, n long")
+                .groupBy("query_id", "bin").agg(F.sum("n").alias("n")).join(state, "query_id"))
+        down = Window.partitionBy("query_id").orderBy(F.col("bin").desc())
         cum = (F.col("above") + F.sum("n").over(down)).alias("cum")
         # the bin of the k-th score, or the lowest one when there are fewer than k
-        found = (hist.select("q", "bin", "n", "low", "above", cum)
+        found = (hist.select("query_id", "bin", "n", "low", "above", cum)
                  .withColumn("enough", F.col("cum") >= k)
-                 .withColumn("pick", F.row_number().over(Window.partitionBy("q").orderBy(
+                 .withColumn("pick", F.row_number().over(Window.partitionBy("query_id").orderBy(
                      F.col("enough").desc(), F.when(F.col("enough"), -F.col("bin")).otherwise(F.col("bin")))))
                  .where("pick = 1"))
-        state = materialize(found.select("q", (F.col("low") + F.col("bin") * step).alias("low"),
+        state = materialize(found.select("query_id", (F.col("low") + F.col("bin") * step).alias("low"),
                                          (F.col("cum") - F.col("n")).alias("above")), "topk_state")
         width = step
 
-    def keep(row):
-        edges = np.frombuffer(row["lows"], "<i8")
-        qid = np.frombuffer(row["q_ids"], "<i8")
-        for at, score, cid, edge, none in _slices(row, k):
-            use = (score >= np.maximum(edge, edges[at])[:, None]) & (score > none)
-            tie = use & (score == edges[at][:, None])
-            use &= ~tie | (np.cumsum(tie, axis=1) <= k)  # ids ascend: the k smallest at the edge
-            r, c = np.nonzero(use)
-            yield qid[at[r]], cid[c], score[r, c]
-
-    pairs = blocks.join(F.broadcast(_with_lows(queries, state)), "dim")
-    best = _map_pairs(pairs, keep, "query_id long, vec_id long, score long", ["query_id", "vec_id", "score"])
+    def keep(held, rest):
+        for c, q in _pairs(held, rest):
+            for at, score, edge, none in _slices(c, q, k):
+                floor = q.lows[at]
+                use = (score >= np.maximum(edge, floor)[:, None]) & (score > none)
+                tie = use & (score == floor[:, None])
+                use &= ~tie | (np.cumsum(tie, axis=1) <= k)  # ids ascend: the k smallest at the edge
+                r, j = np.nonzero(use)
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([pa.array(q.ids[at[r]]), pa.array(c.ids[j]), pa.array(score[r, j])],
+                                                     ["query_id", "vec_id", "score"])
+
+    best = beside(packed(state), blocks, "ids", parts, keep, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _with_lows(queries: DataFrame, state: DataFrame) -> DataFrame:
-    """The query block with its interval starts as one binary column (at most QUERY_BLOCK longs)."""
-    packed = state.agg(F.sort_array(F.collect_list(F.struct("q", "low"))).alias("s"))
-    missing = 2 ** 62  # a query without candidates keeps nothing
-
-    def add(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                lows = np.full(len(row["q_ids"]) // 8, missing, "<i8")
-                for x in row["s"] or []:
-                    lows[x["q"]] = x["low"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["dim"]], pa.int32()), pa.array([row["q_ids"]], pa.binary()),
-                     pa.array([row["q_vectors"]], pa.binary()), pa.array([lows.tobytes()], pa.binary())],
-                    ["dim", "q_ids", "q_vectors", "lows"])
-
-    one = queries.withColumn("_one", F.lit(1)).join(F.broadcast(packed.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    return one.mapInArrow(add, "dim int, q_ids binary, q_vectors binary, lows binary")
+    return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

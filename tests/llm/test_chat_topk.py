@@ -105,3 +105,25 @@ def test_top_k(spark, case):
     got = topk.top_k(topk.integer_vectors(df), F.col("vec_id") % 50 == 0, 5).collect()
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == plain_top(rows, 5)
     assert len(got) == len(plain_top(rows, 5))
+
+
+def test_queries_fill_blocks_whatever_the_splits(spark, monkeypatch):
+    """40 queries in 13 input partitions are one block and one chain of jobs; small blocks and groups give the same rows."""
+    rnd = random.Random(6)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(2000)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score long").repartition(13)
+    chains = []
+    whole = topk._one_group
+    monkeypatch.setattr(topk, "_one_group", lambda blocks, queries, *rest: chains.append(
+        queries.select("block").distinct().count()) or whole(blocks, queries, *rest))
+
+    def run():
+        got = topk.top_k(topk.integer_vectors(df), F.col("vec_id") % 50 == 0, 5).collect()
+        return {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got}
+
+    assert run() == plain_top(rows, 5) and chains == [1]
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 6)
+    monkeypatch.setattr(topk, "GROUP_BLOCKS", 4)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 100)
+    chains.clear()
+    assert run() == plain_top(rows, 5) and chains == [4, 3]
