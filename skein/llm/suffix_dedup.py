@@ -23,6 +23,10 @@ and each window belongs to exactly one anchor.
 Equal windows of one document are found where the anchors are made, so a
 document that repeats one word sends one suffix and not thousands.
 
+The same jobs find repeated passages of ``PASSAGE`` words (runs of anything but
+blanks): there a text is the string of its words' 32-bit hashes, so that short words
+do not hide a passage that is long in words but not in bytes.
+
 Edge cases: a null text is empty; each row is a document of its own, so
 repeated rows are copies of each other and give a row each; null ids are kept;
 texts of any length are read whole, in segments; an empty table gives an empty
@@ -42,10 +46,13 @@ from pyspark.sql import functions as F
 from skein.llm.batches import small_batches
 from skein.llm.common import back_to_id, binary_parts, doc_key, materialize, only_keys, partitions
 from skein.llm.shingles import mix
+from skein.llm.words import groups, words
 
 LENGTH = 400
 GRAM = 64
 HEAVY = 1024
+PASSAGE = 51  # words
+_WORD = 4  # bytes of a word's hash
 _SEGMENT = 1 << 18
 _DIGEST = np.dtype([("w1", "<i8"), ("w2", "<i8"), ("n", "<i4"), ("id", "<i8"), ("th", "<i8"), ("lo", "<i8")])
 _LOW = (1 << 20) - 1
@@ -98,15 +105,26 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def word_bytes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts raw[at[i]:at[i + 1]] as strings of word hashes, and their offsets."""
+    _, _, hashes, first = words(raw, at)
+    return (hashes >> np.uint64(32)).astype("<u4").view(np.uint8), first * _WORD
+
+
+def _by_words(raw: bytes) -> bytes:
+    return word_bytes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes()
+
+
+def _anchor_rows(docs: DataFrame, length: int, gram: int, by_word: bool = False) -> DataFrame:
     """_id, _th, hash, pos, lo, hi of each distinct anchor of a document; rows
     without a hash are spans [lo, hi) that repeat inside the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(),) * 6
         names = ["_id", "_th", "hash", "pos", "lo", "hi"]
-        for batch in batches:
-            data, at = binary_parts(batch.column("raw"))
+        for batch, data, at in groups(batches, "raw"):
+            if by_word:
+                data, at = word_bytes(data, at)
             ids, ths = batch.column("_id").to_pylist(), batch.column("_th").to_pylist()
             parts: list[list] = [[] for _ in names]
 
@@ -146,7 +164,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "_id long, _th long, hash long, pos long, lo long, hi long")
 
 
-def _suffixes(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
+def _suffixes(docs: DataFrame, wanted: DataFrame, length: int, gram: int, by_word: bool = False) -> DataFrame:
     """_id, _th, pos, gram, salt, right (the suffix as far as its windows reach), left (reversed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +173,7 @@ def _suffixes(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
         for batch in batches:
             rows: list[tuple] = []
             for i, t, raw, found in zip(*(batch.column(c).to_pylist() for c in ("_id", "_th", "raw", "found"))):
+                raw = _by_words(raw) if by_word else raw
                 for x in found:
                     p, lo, hi = x["pos"], x["lo"], x["hi"]
                     salt = 1 + (i * 31 + t + p * 17) % 2 ** 61 % -(-x["n"] // HEAVY) if x["n"] > HEAVY else 0
@@ -311,15 +330,16 @@ def _crossing(messages: DataFrame, length: int) -> DataFrame:
     return messages.select("part", "digests").repartition(n, "part").mapInArrow(run, "_id long, _th long, lo long, hi long")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, by_word: bool = False) -> DataFrame:
     """_id, _th, spans: the (start, end) byte spans, unmerged but all, of each
-    document with a repeated string. ``docs`` has _id, _th, raw."""
-    every = materialize(_anchor_rows(docs, length, gram), "anchors")
+    document with a repeated string. ``docs`` has _id, _th, raw. ``by_word``: in
+    the texts as strings of word hashes."""
+    every = materialize(_anchor_rows(docs, length, gram, by_word), "anchors")
     found = every.where("hash is not null")
     again = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     wanted = materialize(found.join(again, "hash").groupBy("_id", "_th").agg(
         F.collect_set(F.struct("pos", "lo", "hi", "n")).alias("found")), "suffix_places")
-    compared = materialize(_compare(_suffixes(docs, wanted, length, gram), length, gram), "suffix_spans")
+    compared = materialize(_compare(_suffixes(docs, wanted, length, gram, by_word), length, gram), "suffix_spans")
     crossing = _crossing(compared.where("part is not null"), length)
     spans = (compared.where("part is null").select("_id", "_th", "lo", "hi").unionByName(crossing)
              .unionByName(every.where("hash is null").select("_id", "_th", "lo", "hi")))
@@ -351,13 +371,43 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
             .mapInArrow(run, "_id long, _th long, n_removed long, n_spans long, kept binary"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def passages(docs: DataFrame, least: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+    """_id, _th, passages: the (start, end) word spans of each document in which
+    every word is part of ``least`` words that occur elsewhere too (same
+    document included). ``docs`` has _id, _th, raw; repeated rows give one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            out = []
+            for i, t, found in zip(*(batch.column(c).to_pylist() for c in ("_id", "_th", "spans"))):
+                runs = [(-(-a // _WORD), b // _WORD) for a, b in merged([(x["lo"], x["hi"]) for x in found])]
+                runs = [{"start": a, "end": b} for a, b in runs if b - a >= least]  # a match between words' edges is none
+                if runs:
+                    out.append((i, t, runs))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), kind))],
+                                                 ["_id", "_th", "passages"])
+
+    spans = repeated_spans(docs, least * _WORD, gram, True)
+    return spans.mapInArrow(run, "_id long, _th long, passages array<struct<start:long,end:long>>")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the removal of repeated
+    strings, and n_passage_words, n_passages: the words in, and the number
+    of, the passages of ``passage`` words that repeat (they are only reported:
+    the removal goes by bytes)."""
     keyed = _keyed(small_batches(docs), id_col)
     spans = materialize(repeated_spans(keyed, length, gram), "repeats")
     changed = (cut(keyed, spans).select("_id", "_th", "n_removed", "n_spans", F.sha2("kept", 256).alias("_sha"))
                .dropDuplicates(["_id", "_th"]))
+    found = passages(keyed, passage, gram).select(
+        "_id", "_th", F.aggregate("passages", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_passage_words"),
+        F.size("passages").cast("long").alias("n_passages"))
+    both = changed.join(found, ["_id", "_th"], "full")
     whole = keyed.select("_id", "_th", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("_whole"))
-    return whole.join(changed, ["_id", "_th"], "left").select(
-        back_to_id("_id").alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("_sha", "_whole").alias("kept_sha256"))
+    number = {c: F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans", "n_passage_words", "n_passages")}
+    return whole.join(both, ["_id", "_th"], "left").select(
+        back_to_id("_id").alias("doc_id"), "n_bytes", number["n_removed"], number["n_spans"],
+        F.coalesce("_sha", "_whole").alias("kept_sha256"), number["n_passage_words"], number["n_passages"])

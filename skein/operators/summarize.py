@@ -16,24 +16,25 @@ expressions, counting and ranking is a small function over Arrow batches.
 
 from __future__ import annotations
 
+import collections
 import re
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import LETTER_RUN, SENTENCE_WORD, STOP_WORDS, sentences, string_tokens
+from skein.functions.counters import Counter
+from skein.functions.text import LETTER_RUN, SENTENCE_WORD, STOP_WORDS, json_string, sentences, string_tokens
 
 _LETTERS = re.compile(LETTER_RUN)
 _WORDS = re.compile(SENTENCE_WORD)
 _STOP = frozenset(STOP_WORDS)
 
 
-def word_counts(text: str) -> Counter:
-    return Counter(w for w in _LETTERS.findall(text) if w not in _STOP)
+def word_counts(text: str) -> collections.Counter:
+    return collections.Counter(w for w in _LETTERS.findall(text) if w not in _STOP)
 
 
 def rank_sentences(text: str, sents: list[str], toks: list[int], unscored: str = "first") -> list[tuple[int, int | None, int, int]]:
@@ -45,7 +46,7 @@ def rank_sentences(text: str, sents: list[str], toks: list[int], unscored: str =
     counts = word_counts(text)
     top = max(counts.values(), default=0)
     total: dict[str, int | None] = {}
-    for s, times in Counter(sents).items():
+    for s, times in collections.Counter(sents).items():
         hits = [counts[w] for w in _WORDS.findall(s.lower()) if w in counts]
         total[s] = times * sum(hits) if hits else None
     late = unscored == "last"
@@ -57,9 +58,18 @@ def rank_sentences(text: str, sents: list[str], toks: list[int], unscored: str =
     return out
 
 
-def _with_sentences(msgs: DataFrame, counter: Callable[[Column], Column], *more: str) -> DataFrame:
+def _with_sentences(msgs: DataFrame, counter: Callable[[Column], Column] | Counter, *more: str) -> DataFrame:
+    """The sentences of each message and their token counts, or the JSON
+    literals that a ``Counter`` is yet to count (``_tokens``)."""
     listed = msgs.select("msg_id", F.coalesce("body", F.lit("")).alias("body"), *more, sentences(F.coalesce("body", F.lit(""))).alias("sents"))
-    return listed.withColumn("toks", F.transform("sents", counter))
+    return listed.withColumn("toks", F.transform("sents", json_string if isinstance(counter, Counter) else counter))
+
+
+def _tokens(counter: Callable[[Column], Column] | Counter, toks: list[list]) -> list[list[int]]:
+    if not isinstance(counter, Counter):
+        return toks
+    counts = iter(counter.count([t for own in toks for t in own]))
+    return [[next(counts) for _ in own] for own in toks]
 
 
 def _rows(batch: pa.RecordBatch, *names: str):
@@ -87,7 +97,7 @@ def word_weights(msgs: DataFrame) -> DataFrame:
     return msgs.select("msg_id", "body").mapInArrow(run, "msg_id string, word string, n long, max_n long, weight double")
 
 
-def ranked_sentences(msgs: DataFrame, counter: Callable[[Column], Column] = string_tokens, unscored: str = "first") -> DataFrame:
+def ranked_sentences(msgs: DataFrame, counter: Callable[[Column], Column] | Counter = string_tokens, unscored: str = "first") -> DataFrame:
     """msg_id, i (position from 0), sent, tok, score_n, score, srank (picking
     order from 1), run (running token total) of the messages (msg_id, body)."""
     schema = pa.schema([("msg_id", pa.string()), ("i", pa.int32()), ("sent", pa.string()), ("tok", pa.int64()),
@@ -96,7 +106,8 @@ def ranked_sentences(msgs: DataFrame, counter: Callable[[Column], Column] = stri
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for m, body, sents, toks in _rows(batch, "msg_id", "body", "sents", "toks"):
+            counts = _tokens(counter, batch.column("toks").to_pylist())
+            for (m, body, sents), toks in zip(_rows(batch, "msg_id", "body", "sents"), counts):
                 for k, (i, n, top, total) in enumerate(rank_sentences(body, sents, toks, unscored), 1):
                     rows.append((m, i, sents[i], toks[i], n, None if n is None else n / top, k, total))
             if rows:
@@ -106,14 +117,15 @@ def ranked_sentences(msgs: DataFrame, counter: Callable[[Column], Column] = stri
         run, "msg_id string, i int, sent string, tok long, score_n long, score double, srank int, run long")
 
 
-def summaries(capped: DataFrame, counter: Callable[[Column], Column] = string_tokens, unscored: str = "first") -> DataFrame:
+def summaries(capped: DataFrame, counter: Callable[[Column], Column] | Counter = string_tokens, unscored: str = "first") -> DataFrame:
     """msg_id, cap, k (sentences that fit), summary for each cap of the messages (msg_id, body, caps)."""
     schema = pa.schema([("msg_id", pa.string()), ("cap", pa.int64()), ("k", pa.int64()), ("summary", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for m, body, caps, sents, toks in _rows(batch, "msg_id", "body", "caps", "sents", "toks"):
+            counts = _tokens(counter, batch.column("toks").to_pylist())
+            for (m, body, caps, sents), toks in zip(_rows(batch, "msg_id", "body", "caps", "sents"), counts):
                 ranked = rank_sentences(body, sents, toks, unscored)
                 runs = [r[3] for r in ranked]
                 for cap in sorted(set(caps)):

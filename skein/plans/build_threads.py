@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.counters import Counter, PatternCounter
 from skein.operators import budget, clean, summarize, threads, tree
 from skein.session import materialize
 from skein.sources import dumps, files, forest
@@ -26,6 +27,17 @@ class ThreadParams:
     max_replies: int = 3
     ft_max_tok: int = 4000
     gen_max_tok: int = 10000
+    #: token counters of the two budgets; None is the built-in one, counted natively
+    ft_counter: Counter | None = None
+    gen_counter: Counter | None = None
+
+    @property
+    def native(self) -> bool:
+        return self.ft_counter is None and self.gen_counter is None
+
+    @property
+    def counters(self) -> tuple[Counter, Counter]:
+        return self.ft_counter or PatternCounter(), self.gen_counter or PatternCounter()
 
     def validate(self) -> None:
         budget.check_limits(self.ft_max_tok, self.gen_max_tok)
@@ -57,7 +69,7 @@ class ThreadStages:
     rows: DataFrame       # long thread rows
     records: DataFrame    # message records (head, body, token counts)
     long: DataFrame       # rows with their messages' token counts
-    totals: DataFrame     # per-focus token totals
+    totals: DataFrame     # per-focus token totals, and the sums of their messages' counts
 
 
 def stages(posts: DataFrame, replies: DataFrame, p: ThreadParams, persist: bool = True) -> ThreadStages:
@@ -70,26 +82,27 @@ def stages(posts: DataFrame, replies: DataFrame, p: ThreadParams, persist: bool
     kept_replies = nodes.where(F.col("depth") >= 1)
     records = threads.message_records(posts, kept_replies)
     # counts only: a message's text is in many threads, its copies are made when they are rendered
-    long = rows.join(records.select("msg_id", "head_tok", "tok_body"), "msg_id")
+    counts = records.select("msg_id", "head_tok", "tok_body") if p.native else budget.message_counts(records, *p.counters)
+    long = rows.join(counts, "msg_id")
     if persist:
         long = materialize(long, "long")
-    totals = budget.thread_totals(long)
+    totals = budget.thread_totals(long) if p.native else budget.totals_of_parts(long, *p.counters)
     return ThreadStages(nodes, rows, records, long, totals)
 
 
 def over_budget_messages(st: ThreadStages, p: ThreadParams) -> DataFrame:
     """focus_id, view ('ft' | 'gen'), msg_id, tok, budget for every message of
-    every thread view over its limit."""
-    views = st.totals.select(
-        "focus_id", "text_total",
-        F.explode(F.array(
-            F.struct(F.lit("ft").alias("view"), F.col("ft_total").alias("total"), F.lit(p.ft_max_tok).alias("lim")),
-            F.struct(F.lit("gen").alias("view"), F.col("gen_total").alias("total"), F.lit(p.gen_max_tok).alias("lim")),
-        )).alias("v")).select("focus_id", "text_total", "v.*").where(F.col("total") > F.col("lim"))
-    views = views.withColumn(
-        "budget", F.greatest(F.lit(1).cast("long"), F.col("lim") - (F.col("total") - F.col("text_total"))))
-    return (st.long.select("focus_id", "msg_id", F.col("tok_body").alias("tok"))
-            .join(views.select("focus_id", "view", "budget"), "focus_id"))
+    every thread view over its limit; tokens by the view's counter."""
+    text = dict.fromkeys(budget.VIEWS, "text_total") if p.native else {v: f"{v}_text" for v in budget.VIEWS}
+    tok = dict.fromkeys(budget.VIEWS, "tok_body") if p.native else {v: f"{v}_tok" for v in budget.VIEWS}
+    limit = {"ft": p.ft_max_tok, "gen": p.gen_max_tok}
+    views = st.totals.select("focus_id", F.explode(F.array(*[
+        F.struct(F.lit(v).alias("view"), F.col(f"{v}_total").alias("total"), F.col(text[v]).alias("text"), F.lit(limit[v]).alias("lim"))
+        for v in budget.VIEWS])).alias("v")).select("focus_id", "v.*").where(F.col("total") > F.col("lim"))
+    views = views.withColumn("budget", F.greatest(F.lit(1).cast("long"), F.col("lim") - (F.col("total") - F.col("text"))))
+    own = F.when(F.col("view") == "ft", F.col(tok["ft"])).otherwise(F.col(tok["gen"]))
+    return (st.long.join(views.select("focus_id", "view", "budget"), "focus_id")
+            .select("focus_id", "view", "msg_id", own.alias("tok"), "budget"))
 
 
 def cut_bodies(st: ThreadStages, p: ThreadParams) -> DataFrame:
@@ -98,11 +111,21 @@ def cut_bodies(st: ThreadStages, p: ThreadParams) -> DataFrame:
     caps = budget.waterfill_caps(over_budget_messages(st, p), ["focus_id", "view"])
     # small (over-budget messages only) and read twice below
     caps = materialize(caps.where(F.col("cap") != F.col("tok")).select("focus_id", "view", "msg_id", "cap"), "caps")
-    # a message's caps (one for each thread and view that cuts it) are met in one pass over its text
-    wanted = caps.groupBy("msg_id").agg(F.collect_set("cap").alias("caps"))
-    sums = summarize.summaries(st.records.select("msg_id", "body").join(wanted, "msg_id"))
-    cut = caps.join(sums, ["msg_id", "cap"])
-    return cut.groupBy("focus_id", "msg_id").agg(
+    bodies = st.records.select("msg_id", "body")
+
+    def cut(own: DataFrame, *counter) -> DataFrame:
+        # a message's caps (one for each thread and view that cuts it) are met in one pass over its text
+        wanted = own.groupBy("msg_id").agg(F.collect_set("cap").alias("caps"))
+        return own.join(summarize.summaries(bodies.join(wanted, "msg_id"), *counter), ["msg_id", "cap"])
+
+    if p.native:
+        done = cut(caps)
+    elif p.counters[0] == p.counters[1]:
+        done = cut(caps, p.counters[0])
+    else:
+        ft, gen = (cut(caps.where(F.col("view") == v), c) for v, c in zip(budget.VIEWS, p.counters))
+        done = ft.unionByName(gen)
+    return done.groupBy("focus_id", "msg_id").agg(
         F.max(F.when(F.col("view") == "ft", F.col("summary"))).alias("body_ft_cut"),
         F.max(F.when(F.col("view") == "gen", F.col("summary"))).alias("body_gen_cut"))
 

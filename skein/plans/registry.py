@@ -9,11 +9,13 @@ are rendered as text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import schemas
+from skein.functions import counters
 from skein.functions import prompts as PR
 from skein.functions.text import null_if_token, sentences, string_tokens
 from skein.operators import budget, chat, dataset, retrieve, sampling, summarize, tree
@@ -219,6 +221,20 @@ def q_thread_tokens(spark, sf):
     return t.select(F.col("focus_id").alias("id"), "ft_total", "gen_total", "text_total")
 
 
+TWO = replace(P, ft_counter=counters.PatternCounter(), gen_counter=counters.PatternCounter(counters.RUN_PATTERN))
+_RUNS = f"CAST(len(regexp_extract_all({{}}, {O._q(counters.RUN_PATTERN)})) AS BIGINT)"
+
+
+@register("thread_tokens_two", O.thread_render_sql(0, 0, _UNCUT, "") + f""",
+texts AS (SELECT focus_id, CAST(sum(tok_body) AS BIGINT) AS ft_text, CAST(sum({_RUNS.format(O.js('body'))}) AS BIGINT) AS gen_text FROM tlong GROUP BY focus_id)
+SELECT r.id, {O.tok('r.full_thread')} AS ft_total, {_RUNS.format("coalesce(r.subthread_context, '')")} + {_RUNS.format('r.subthread')} AS gen_total,
+  ft_text, gen_text
+FROM rendered r JOIN texts t ON t.focus_id = r.id""")
+def q_thread_tokens_two(spark, sf):
+    """A6 by two counters, one for each budget, merged from the messages' counts; the tokens of the second cross quotes and commas."""
+    return _stages(spark, sf, TWO).totals.withColumnRenamed("focus_id", "id")
+
+
 def _caps_sql(p):
     return O.tree_ctes() + ",\n" + O.records_cte() + f""",
 views AS (

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -29,7 +31,37 @@ def plain(rows, length):
 def check(spark, rows, length=400, gram=64):
     df = spark.createDataFrame([(i, t, 0, "h") for i, t in rows], "doc_id long, text string, lo long, hash string")
     got = sd.remove_repeats(df, length, gram).collect()
-    assert sorted((r["doc_id"] is None, *r) for r in got) == plain(rows, length)
+    assert sorted((r["doc_id"] is None, *r[:5]) for r in got) == plain(rows, length)
+
+
+def plain_passages(rows, least):
+    """Words under ``least`` words that start more than once, and their runs."""
+    texts = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    count = Counter(tuple(ws[i:i + least]) for ws in texts for i in range(len(ws) - least + 1))
+    out = []
+    for (i, _), ws in zip(rows, texts):
+        hit = [False] * len(ws)
+        for k in range(len(ws) - least + 1):
+            if count[tuple(ws[k:k + least])] > 1:
+                hit[k:k + least] = [True] * least
+        out.append((i is None, i, sum(hit), sum(h and not (k and hit[k - 1]) for k, h in enumerate(hit))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least,gram", [(51, 64), (20, 16)])
+def test_passages_of_short_words(spark, least, gram):
+    rnd = random.Random(4)
+
+    def text(n):
+        return [rnd.choice("abcdefgh") + rnd.choice("xyz") * rnd.randint(0, 4) + str(rnd.randint(0, 40)) for _ in range(n)]
+
+    shared = [text(n) for n in (least - 1, least, least + 1, 90)]
+    rows = [(i, " ".join(text(rnd.randint(0, 60)) + shared[i % 4] + text(rnd.randint(0, 60)))) for i in range(40)]
+    rows += [(100, "\n".join(shared[3])), (101, " \x0b".join(text(30) + shared[1] + text(5) + shared[1])), (102, "w " * 300), (103, None), (104, ""),
+             (None, " ".join(shared[2])), (105, " ".join(shared[3] + shared[2])), (105, " ".join(shared[3] + shared[2])), (106, " ".join(text(4000)))]
+    df = spark.createDataFrame([(i, t, 0, "h") for i, t in rows], "doc_id long, text string, lo long, passages string")
+    got = sd.remove_repeats(df, 400, gram, passage=least).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["n_passage_words"], r["n_passages"]) for r in got) == plain_passages(rows, least)
 
 
 def test_multikey_sort():
