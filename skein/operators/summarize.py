@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.counters import Counter
 from skein.functions.text import LETTER_RUN, SENTENCE_WORD, STOP_WORDS, json_string, sentences, string_tokens
+from skein.operators.sentence_model import SentenceModel, with_sentences
 
 _LETTERS = re.compile(LETTER_RUN)
 _WORDS = re.compile(SENTENCE_WORD)
@@ -58,10 +59,12 @@ def rank_sentences(text: str, sents: list[str], toks: list[int], unscored: str =
     return out
 
 
-def _with_sentences(msgs: DataFrame, counter: Callable[[Column], Column] | Counter, *more: str) -> DataFrame:
-    """The sentences of each message and their token counts, or the JSON
-    literals that a ``Counter`` is yet to count (``_tokens``)."""
-    listed = msgs.select("msg_id", F.coalesce("body", F.lit("")).alias("body"), *more, sentences(F.coalesce("body", F.lit(""))).alias("sents"))
+def _with_sentences(msgs: DataFrame, counter: Callable[[Column], Column] | Counter, model: SentenceModel | None, *more: str) -> DataFrame:
+    """The sentences of each message (by the fixed pattern, or by a ``model``) and
+    their token counts, or the JSON literals that a ``Counter`` is yet to count
+    (``_tokens``)."""
+    listed = msgs.select("msg_id", F.coalesce("body", F.lit("")).alias("body"), *more)
+    listed = with_sentences(listed, model) if model else listed.withColumn("sents", sentences(F.col("body")))
     return listed.withColumn("toks", F.transform("sents", json_string if isinstance(counter, Counter) else counter))
 
 
@@ -97,7 +100,8 @@ def word_weights(msgs: DataFrame) -> DataFrame:
     return msgs.select("msg_id", "body").mapInArrow(run, "msg_id string, word string, n long, max_n long, weight double")
 
 
-def ranked_sentences(msgs: DataFrame, counter: Callable[[Column], Column] | Counter = string_tokens, unscored: str = "first") -> DataFrame:
+def ranked_sentences(msgs: DataFrame, counter: Callable[[Column], Column] | Counter = string_tokens, unscored: str = "first",
+                     model: SentenceModel | None = None) -> DataFrame:
     """msg_id, i (position from 0), sent, tok, score_n, score, srank (picking
     order from 1), run (running token total) of the messages (msg_id, body)."""
     schema = pa.schema([("msg_id", pa.string()), ("i", pa.int32()), ("sent", pa.string()), ("tok", pa.int64()),
@@ -113,11 +117,12 @@ def ranked_sentences(msgs: DataFrame, counter: Callable[[Column], Column] | Coun
             if rows:
                 yield _batch(rows, schema)
 
-    return _with_sentences(msgs, counter).mapInArrow(
+    return _with_sentences(msgs, counter, model).mapInArrow(
         run, "msg_id string, i int, sent string, tok long, score_n long, score double, srank int, run long")
 
 
-def summaries(capped: DataFrame, counter: Callable[[Column], Column] | Counter = string_tokens, unscored: str = "first") -> DataFrame:
+def summaries(capped: DataFrame, counter: Callable[[Column], Column] | Counter = string_tokens, unscored: str = "first",
+              model: SentenceModel | None = None) -> DataFrame:
     """msg_id, cap, k (sentences that fit), summary for each cap of the messages (msg_id, body, caps)."""
     schema = pa.schema([("msg_id", pa.string()), ("cap", pa.int64()), ("k", pa.int64()), ("summary", pa.string())])
 
@@ -134,4 +139,4 @@ def summaries(capped: DataFrame, counter: Callable[[Column], Column] | Counter =
             if rows:
                 yield _batch(rows, schema)
 
-    return _with_sentences(capped, counter, "caps").mapInArrow(run, "msg_id string, cap long, k long, summary string")
+    return _with_sentences(capped, counter, model, "caps").mapInArrow(run, "msg_id string, cap long, k long, summary string")

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.counters import Counter, PatternCounter
+from skein.functions.text import string_tokens
 from skein.operators import budget, clean, summarize, threads, tree
+from skein.operators.sentence_model import SentenceModel
 from skein.session import materialize
 from skein.sources import dumps, files, forest
 from skein.sources.tables import table
@@ -30,6 +32,8 @@ class ThreadParams:
     #: token counters of the two budgets; None is the built-in one, counted natively
     ft_counter: Counter | None = None
     gen_counter: Counter | None = None
+    #: how summaries split sentences; None is the fixed pattern
+    sentence_model: SentenceModel | None = None
 
     @property
     def native(self) -> bool:
@@ -113,10 +117,10 @@ def cut_bodies(st: ThreadStages, p: ThreadParams) -> DataFrame:
     caps = materialize(caps.where(F.col("cap") != F.col("tok")).select("focus_id", "view", "msg_id", "cap"), "caps")
     bodies = st.records.select("msg_id", "body")
 
-    def cut(own: DataFrame, *counter) -> DataFrame:
+    def cut(own: DataFrame, counter=string_tokens) -> DataFrame:
         # a message's caps (one for each thread and view that cuts it) are met in one pass over its text
         wanted = own.groupBy("msg_id").agg(F.collect_set("cap").alias("caps"))
-        return own.join(summarize.summaries(bodies.join(wanted, "msg_id"), *counter), ["msg_id", "cap"])
+        return own.join(summarize.summaries(bodies.join(wanted, "msg_id"), counter, model=p.sentence_model), ["msg_id", "cap"])
 
     if p.native:
         done = cut(caps)

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from skein import schemas
 from skein.functions import counters
 from skein.functions import prompts as PR
-from skein.functions.text import null_if_token, sentences, string_tokens
-from skein.operators import budget, chat, dataset, retrieve, sampling, summarize, tree
+from skein.functions.text import WS, null_if_token, sentences, string_tokens
+from skein.operators import budget, chat, dataset, retrieve, sampling, sentence_model, summarize, tree
 from skein.plans import build_threads as bt
 from skein.plans import generate as gen
 from skein.plans import oracle as O
@@ -876,6 +876,45 @@ def _repeated_forest(spark, sf):
     return twice(posts), twice(replies)
 
 
+_WORDS_SQL = f"""toks AS (
+  SELECT doc_id, i, regexp_extract(t, {O._q(sentence_model.WORD_PARTS)}, 1) AS w0, regexp_extract(t, {O._q(sentence_model.WORD_PARTS)}, 2) AS behind
+  FROM (SELECT doc_id, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM (
+    SELECT doc_id, list_filter(string_split_regex(text, '[{WS}]+'), lambda t: regexp_matches(t, '[\\p{{L}}\\p{{N}}]')) AS ts FROM documents))),
+rows_ AS (SELECT lower(w0) AS w, regexp_matches(behind, '^\\.([^.]|$)') AS stop, lead(lower(w0)) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM toks),
+per_word AS (SELECT w, CAST(count(*) FILTER (stop) AS BIGINT) AS n_stop, count(*) AS n FROM rows_ GROUP BY w),
+tot AS (SELECT CAST(sum(n) AS DOUBLE) AS m, CAST(sum(n_stop) AS DOUBLE) AS s FROM per_word),
+shape AS (SELECT *, s / m AS p, n - n_stop AS bare, length(w) - length(replace(w, '.', '')) AS inn, length(replace(w, '.', '')) AS letters
+  FROM per_word CROSS JOIN tot WHERE n_stop > 0 AND regexp_matches(w, '\\p{{L}}')),
+scored_ AS (SELECT w, n_stop, n,
+    -2 * ((n_stop * ln(p) + bare * ln(1 - p)) - (n_stop * ln(0.99::DOUBLE) + bare * ln(1 - 0.99::DOUBLE)))
+      * exp(-letters) * (inn + 1) * pow(CAST(letters AS DOUBLE), -CAST(bare AS DOUBLE)) AS score FROM shape)"""
+
+
+@register("abbreviations", f"""WITH {_WORDS_SQL}
+SELECT w, n_stop, n, round(score, 6) + 0::DOUBLE AS score, score >= {sentence_model.ABBREVIATION_SCORE} AS abbreviation FROM scored_""")
+def q_abbreviations(spark, sf):
+    """X3: how much each word and a full stop behind it belong together."""
+    scores = sentence_model.abbreviation_scores(table(spark, sf, "documents").select(F.col("text").alias("body")))
+    return scores.select("w", "n_stop", "n", (F.round("score", 6) + F.lit(0.0)).alias("score"), (F.col("score") >= sentence_model.ABBREVIATION_SCORE).alias("abbreviation"))
+
+
+@register("sentence_starters", f"""WITH {_WORDS_SQL},
+ends AS (SELECT * FROM rows_ WHERE stop AND length(w) > 1 AND next IS NOT NULL AND w NOT IN (
+  SELECT w FROM scored_ WHERE score >= {sentence_model.ABBREVIATION_SCORE})),
+after_ AS (SELECT next AS w, count(*) AS ab FROM ends GROUP BY next),
+x AS (SELECT a.w, a.ab, p.n AS b, (SELECT count(*) FROM ends) AS a, CAST((SELECT m FROM tot) AS BIGINT) AS m
+  FROM after_ a JOIN per_word p ON p.w = a.w WHERE regexp_matches(a.w, '\\p{{L}}')),
+q AS (SELECT *, b / m AS p, ab / a AS p1, (b - ab) / (m - a) AS p2, m - a - b + ab AS r FROM x WHERE ab * m > a * b)
+SELECT w, ab AS n_after, b AS n, round(-2 * (ab * ln(p) + (a - ab) * ln(1 - p) + (b - ab) * ln(p) + r * ln(1 - p)
+  - (ab * ln(p1) + CASE WHEN p1 < 1 THEN (a - ab) * ln(1 - p1) ELSE 0 END)
+  - (CASE WHEN p2 > 0 THEN (b - ab) * ln(p2) ELSE 0 END + r * ln(1 - p2))), 4) AS score FROM q""")
+def q_sentence_starters(spark, sf):
+    """X3: how much each word and a sentence end before it belong together."""
+    msgs = table(spark, sf, "documents").select(F.col("text").alias("body"))
+    known = sentence_model._best(sentence_model.abbreviation_scores(msgs), sentence_model.ABBREVIATION_SCORE)
+    return sentence_model.starter_scores(msgs, known).select("w", "n_after", "n", F.round("score", 4).alias("score"))
+
+
 def _tangled_forest(spark, sf):
     """The repeated forest, in which some replies answer one another in rings, themselves, or nothing."""
     posts, replies = _repeated_forest(spark, sf)
