@@ -52,6 +52,7 @@ LENGTH = 400
 GRAM = 64
 HEAVY = 1024
 PASSAGE = 51  # words
+PASSAGE_GRAM = 32  # bytes: eight words
 _WORD = 4  # bytes of a word's hash
 _SEGMENT = 1 << 18
 _DIGEST = np.dtype([("w1", "<i8"), ("w2", "<i8"), ("n", "<i4"), ("id", "<i8"), ("th", "<i8"), ("lo", "<i8")])
@@ -60,8 +61,9 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Hash of the ``gram`` bytes (a power of two) from each position."""
-    h, width, times = _BYTE[raw], 1, 0x5851F42D4C957F2D
+    """Hash of the ``gram`` bytes (a power of two) from each position; of as many
+    words, where ``raw`` holds words' hashes."""
+    h, width, times = _BYTE[raw] if raw.dtype == np.uint8 else raw, 1, 0x5851F42D4C957F2D
     while width < gram:
         h = h[:-width] * np.uint64(times) + h[width:]
         width, times = 2 * width, times * times % 2 ** 64
@@ -105,14 +107,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def word_bytes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts raw[at[i]:at[i + 1]] as strings of word hashes, and their offsets."""
-    _, _, hashes, first = words(raw, at)
-    return (hashes >> np.uint64(32)).astype("<u4").view(np.uint8), first * _WORD
+def _word_bytes(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype("<u4").view(np.uint8)
 
 
 def _by_words(raw: bytes) -> bytes:
-    return word_bytes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes()
+    return _word_bytes(words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[2]).tobytes()
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int, by_word: bool = False) -> DataFrame:
@@ -124,7 +124,8 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int, by_word: bool = False)
         names = ["_id", "_th", "hash", "pos", "lo", "hi"]
         for batch, data, at in groups(batches, "raw"):
             if by_word:
-                data, at = word_bytes(data, at)
+                _, _, hashes, first = words(data, at)
+                data, at = _word_bytes(hashes), first * _WORD
             ids, ths = batch.column("_id").to_pylist(), batch.column("_th").to_pylist()
             parts: list[list] = [[] for _ in names]
 
@@ -137,7 +138,11 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int, by_word: bool = False)
                 raw = data[at[k]:at[k + 1]]
                 if len(raw) < length:
                     continue
-                h, pos, lo, hi = anchors(raw, length, gram)
+                if by_word:  # windows of whole words only
+                    h, *places = anchors(hashes[first[k]:first[k + 1]], length // _WORD, gram // _WORD)
+                    pos, lo, hi = (x * _WORD for x in places)
+                else:
+                    h, pos, lo, hi = anchors(raw, length, gram)
                 _, where, count = np.unique(h, return_inverse=True, return_counts=True)
                 again = np.nonzero(count[where] > 1)[0]
                 if len(again):
@@ -230,9 +235,10 @@ def _matrix(column, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def repeated_windows(right: np.ndarray, right_len: np.ndarray, left: np.ndarray, left_len: np.ndarray, length: int, gram: int):
+def repeated_windows(right: np.ndarray, right_len: np.ndarray, left: np.ndarray, left_len: np.ndarray, length: int, gram: int, step: int = 1):
     """For each suffix the smallest and largest t at which its window occurs
-    again (0 if none does). A window of t takes t bytes of the suffix."""
+    again (0 if none does). A window of t takes t bytes of the suffix; windows
+    begin ``step`` bytes apart."""
     n = len(right)
     by_right, common_right = multikey_sort(right)
     by_left, common_left = multikey_sort(left)
@@ -246,7 +252,7 @@ def repeated_windows(right: np.ndarray, right_len: np.ndarray, left: np.ndarray,
     first, last = length - left_len, right_len
     rows = np.nonzero(alike)[0]
     if len(rows):
-        for t in range(int(first[rows].min()), int(last[rows].max()) + 1):
+        for t in range(int(first[rows].min()), int(last[rows].max()) + 1, step):
             own = rows[(first[rows] <= t) & (last[rows] >= t)]
             if len(own) < 2:
                 continue
@@ -262,7 +268,7 @@ def repeated_windows(right: np.ndarray, right_len: np.ndarray, left: np.ndarray,
     return low, high
 
 
-def _compare(suffixes: DataFrame, length: int, gram: int) -> DataFrame:
+def _compare(suffixes: DataFrame, length: int, gram: int, step: int = 1) -> DataFrame:
     """Spans (lo, hi) of repeated windows, and messages (part, digests) of the
     windows of salted strings: how often each occurs in this bucket, and where
     the first one is."""
@@ -278,7 +284,7 @@ def _compare(suffixes: DataFrame, length: int, gram: int) -> DataFrame:
         ids, ths, pos, salt = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("_id", "_th", "pos", "salt"))
         right, right_len = _matrix(table.column("right"), wide)
         left, left_len = _matrix(table.column("left"), wide)
-        low, high = repeated_windows(right, right_len, left, left_len, length, gram)
+        low, high = repeated_windows(right, right_len, left, left_len, length, gram, step)
         hit = np.nonzero(high)[0]
         none = pa.nulls(len(hit), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(ths[hit]), pa.array(pos[hit] + low[hit] - length),
@@ -287,7 +293,7 @@ def _compare(suffixes: DataFrame, length: int, gram: int) -> DataFrame:
         for i in np.nonzero(salt)[0].tolist():
             reach = int(left_len[i])
             whole = left[i, :reach][::-1].tobytes() + right[i, :right_len[i]].tobytes()
-            for s in range(len(whole) - length + 1):
+            for s in range(0, len(whole) - length + 1, step):
                 digest = hashlib.blake2b(whole[s:s + length], digest_size=16).digest()
                 seen = windows.get(digest)
                 if seen is None:
@@ -339,7 +345,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, by_w
     again = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     wanted = materialize(found.join(again, "hash").groupBy("_id", "_th").agg(
         F.collect_set(F.struct("pos", "lo", "hi", "n")).alias("found")), "suffix_places")
-    compared = materialize(_compare(_suffixes(docs, wanted, length, gram, by_word), length, gram), "suffix_spans")
+    compared = materialize(_compare(_suffixes(docs, wanted, length, gram, by_word), length, gram, _WORD if by_word else 1), "suffix_spans")
     crossing = _crossing(compared.where("part is not null"), length)
     spans = (compared.where("part is null").select("_id", "_th", "lo", "hi").unionByName(crossing)
              .unionByName(every.where("hash is null").select("_id", "_th", "lo", "hi")))
@@ -371,7 +377,7 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
             .mapInArrow(run, "_id long, _th long, n_removed long, n_spans long, kept binary"))
 
 
-def passages(docs: DataFrame, least: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+def passages(docs: DataFrame, least: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
     """_id, _th, passages: the (start, end) word spans of each document in which
     every word is part of ``least`` words that occur elsewhere too (same
     document included). ``docs`` has _id, _th, raw; repeated rows give one."""
@@ -381,10 +387,8 @@ def passages(docs: DataFrame, least: int = PASSAGE, gram: int = GRAM) -> DataFra
         for batch in batches:
             out = []
             for i, t, found in zip(*(batch.column(c).to_pylist() for c in ("_id", "_th", "spans"))):
-                runs = [(-(-a // _WORD), b // _WORD) for a, b in merged([(x["lo"], x["hi"]) for x in found])]
-                runs = [{"start": a, "end": b} for a, b in runs if b - a >= least]  # a match between words' edges is none
-                if runs:
-                    out.append((i, t, runs))
+                runs = merged([(x["lo"], x["hi"]) for x in found])
+                out.append((i, t, [{"start": a // _WORD, "end": b // _WORD} for a, b in runs]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), kind))],
                                                  ["_id", "_th", "passages"])
@@ -393,7 +397,8 @@ def passages(docs: DataFrame, least: int = PASSAGE, gram: int = GRAM) -> DataFra
     return spans.mapInArrow(run, "_id long, _th long, passages array<struct<start:long,end:long>>")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", passage: int = PASSAGE) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", passage: int = PASSAGE,
+                   passage_gram: int = PASSAGE_GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the removal of repeated
     strings, and n_passage_words, n_passages: the words in, and the number
     of, the passages of ``passage`` words that repeat (they are only reported:
@@ -402,7 +407,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     spans = materialize(repeated_spans(keyed, length, gram), "repeats")
     changed = (cut(keyed, spans).select("_id", "_th", "n_removed", "n_spans", F.sha2("kept", 256).alias("_sha"))
                .dropDuplicates(["_id", "_th"]))
-    found = passages(keyed, passage, gram).select(
+    found = passages(keyed, passage, passage_gram).select(
         "_id", "_th", F.aggregate("passages", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_passage_words"),
         F.size("passages").cast("long").alias("n_passages"))
     both = changed.join(found, ["_id", "_th"], "full")

@@ -22,6 +22,7 @@ from skein.operators import budget, chat, dataset, retrieve, sampling, sentence_
 from skein.plans import build_threads as bt
 from skein.plans import generate as gen
 from skein.plans import oracle as O
+from skein.plans import rounds
 from skein.session import materialize, stage_path
 from skein.sources import dumps, files, forest
 from skein.sources.tables import table
@@ -555,6 +556,25 @@ def q_parse_answers(spark, sf):
                                                   r.alias("reasoning"), a.alias("answer"))
 
 
+@register("open_requests", REQS_SQL + """,
+early AS (SELECT * FROM resp WHERE attempt = 0),
+q0 AS (SELECT thread_id, j, matched, question FROM pq WHERE attempt = 0),
+a0 AS (SELECT thread_id, j, matched, reasoning, answer FROM pa WHERE attempt = 0),
+s0 AS (
+  SELECT q.thread_id, q.j, q0.thread_id IS NOT NULL AS q_tried, coalesce(q0.matched, false) AS q_ok, q0.question,
+         a0.thread_id IS NOT NULL AS a_tried, coalesce(a0.matched, false) AS a_ok, a0.reasoning, a0.answer
+  FROM reqs q LEFT JOIN q0 USING (thread_id, j) LEFT JOIN a0 USING (thread_id, j)),
+blank0 AS (SELECT thread_id, min(j) AS e FROM s0 WHERE q_ok AND (question = '' OR (a_ok AND (reasoning = '' OR answer = ''))) GROUP BY thread_id)
+SELECT thread_id, j, CASE WHEN q_ok THEN 'answer' ELSE 'question' END AS stage,
+       CAST(CASE WHEN (NOT q_ok AND q_tried) OR (q_ok AND a_tried) THEN 1 ELSE 0 END AS INTEGER) AS attempt,
+       CASE WHEN q_ok THEN question END AS question
+FROM s0 LEFT JOIN blank0 USING (thread_id) WHERE (e IS NULL OR j <= e) AND (NOT q_ok OR (question <> '' AND NOT a_ok))""")
+def q_open_requests(spark, sf):
+    """D3, D10: what is to be asked next when the first attempts have been answered."""
+    _, reqs, resp = _reqs_resp(spark, sf)
+    return rounds.open_requests(reqs, resp.where("attempt = 0"))
+
+
 @register("first_valid_response", REQS_SQL + """
 SELECT thread_id, j, 'question' AS stage, first_ok FROM fq
 UNION ALL SELECT thread_id, j, 'answer' AS stage, first_ok FROM fa""")

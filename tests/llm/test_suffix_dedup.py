@@ -48,7 +48,7 @@ def plain_passages(rows, least):
     return sorted(out)
 
 
-@pytest.mark.parametrize("least,gram", [(51, 64), (20, 16)])
+@pytest.mark.parametrize("least,gram", [(51, 32), (20, 16)])
 def test_passages_of_short_words(spark, least, gram):
     rnd = random.Random(4)
 
@@ -60,7 +60,7 @@ def test_passages_of_short_words(spark, least, gram):
     rows += [(100, "\n".join(shared[3])), (101, " \x0b".join(text(30) + shared[1] + text(5) + shared[1])), (102, "w " * 300), (103, None), (104, ""),
              (None, " ".join(shared[2])), (105, " ".join(shared[3] + shared[2])), (105, " ".join(shared[3] + shared[2])), (106, " ".join(text(4000)))]
     df = spark.createDataFrame([(i, t, 0, "h") for i, t in rows], "doc_id long, text string, lo long, passages string")
-    got = sd.remove_repeats(df, 400, gram, passage=least).collect()
+    got = sd.remove_repeats(df, passage=least, passage_gram=gram).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"], r["n_passage_words"], r["n_passages"]) for r in got) == plain_passages(rows, least)
 
 
