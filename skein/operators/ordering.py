@@ -34,3 +34,20 @@ def rank_within_groups(df: DataFrame, group: str, order: list[Column], out: str
     return (local.join(offsets, [group, "_part"])
             .withColumn(out, (F.col("_off") + F.col("_local")).cast("int"))
             .drop("_part", "_local", "_off"))
+
+
+def running_sum_within_groups(df: DataFrame, group: list[str], order: list[Column], value: str, out: str = "before",
+                              partitions: int | None = None) -> DataFrame:
+    """Adds ``out`` = the sum of ``value`` over the rows of a row's group that come
+    before it by ``order`` (which must make rows unique within a group). As
+    ``rank_within_groups``: a group that holds everything spreads over all partitions."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = materialize(df.repartitionByRange(n, *group, *order).withColumn("_part", F.spark_partition_id()), "range_parts")
+    piece = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = parts.withColumn("_local", F.coalesce(F.sum(value).over(piece), F.lit(0)))
+    sums = parts.groupBy(*group, "_part").agg(F.sum(value).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return (local.join(offsets, [*group, "_part"]).withColumn(out, F.col("_off") + F.col("_local"))
+            .drop("_part", "_local", "_off"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.counters import Counter, PatternCounter
 from skein.functions.text import string_tokens
-from skein.operators import budget, clean, summarize, threads, tree
+from skein.operators import budget, clean, reading_order, summarize, threads, tree
 from skein.operators.sentence_model import SentenceModel
 from skein.session import materialize
 from skein.sources import dumps, files, forest
@@ -134,10 +134,7 @@ def cut_bodies(st: ThreadStages, p: ThreadParams) -> DataFrame:
         F.max(F.when(F.col("view") == "gen", F.col("summary"))).alias("body_gen_cut"))
 
 
-def build_threads(posts: DataFrame, replies: DataFrame, p: ThreadParams = ThreadParams()) -> DataFrame:
-    """Threads of the filtered posts and replies; of an id that repeats the earliest message counts."""
-    p.validate()
-    st = stages(tree.dedupe_by_id(posts), tree.dedupe_by_id(replies), p)
+def _rendered(st: ThreadStages, p: ThreadParams) -> DataFrame:
     cut = cut_bodies(st, p)
     rows = (st.long.join(cut, ["focus_id", "msg_id"], "left").join(st.records.select("msg_id", "head", "body"), "msg_id")
             .select("focus_id", "post_id", "kind", "pos", "head",
@@ -146,9 +143,25 @@ def build_threads(posts: DataFrame, replies: DataFrame, p: ThreadParams = Thread
     return threads.render_threads(rows)
 
 
+def build_threads(posts: DataFrame, replies: DataFrame, p: ThreadParams = ThreadParams()) -> DataFrame:
+    """Threads of the filtered posts and replies; of an id that repeats the earliest message counts."""
+    p.validate()
+    return _rendered(stages(tree.dedupe_by_id(posts), tree.dedupe_by_id(replies), p), p)
+
+
+def threads_in_order(posts: DataFrame, replies: DataFrame, p: ThreadParams = ThreadParams()) -> DataFrame:
+    """``build_threads`` with ``position``: the place of each row when every post is
+    read from top to bottom, replies by rank, a reply's own replies after it."""
+    p.validate()
+    st = stages(tree.dedupe_by_id(posts), tree.dedupe_by_id(replies), p)
+    return _rendered(st, p).join(reading_order.positions(st.nodes, p.max_depth), "id")
+
+
 def write_threads(spark: SparkSession, posts_csv: str, replies_csv: str, out_path: str, p: ThreadParams = ThreadParams()) -> None:
-    """Job A on paths: exported CSV of posts and replies -> a thread table."""
+    """Job A on paths: exported CSV of posts and replies -> a thread table in
+    reading order (its files by name, the rows within each)."""
     posts = clean.quality_filter(dumps.read_posts_csv(spark, posts_csv), p.min_score)
     replies = clean.quality_filter(dumps.read_replies_csv(spark, replies_csv), p.min_score)
     # read once: several steps use them
-    files.write_threads(build_threads(materialize(posts, "posts"), materialize(replies, "replies"), p), out_path)
+    placed = threads_in_order(materialize(posts, "posts"), materialize(replies, "replies"), p)
+    files.write_threads(placed, out_path, "position")

@@ -18,7 +18,7 @@ from skein import schemas
 from skein.functions import counters
 from skein.functions import prompts as PR
 from skein.functions.text import WS, null_if_token, sentences, string_tokens
-from skein.operators import budget, chat, dataset, retrieve, sampling, sentence_model, summarize, tree
+from skein.operators import budget, chat, dataset, reading_order, retrieve, sampling, sentence_model, summarize, tree
 from skein.plans import build_threads as bt
 from skein.plans import generate as gen
 from skein.plans import oracle as O
@@ -199,6 +199,21 @@ def q_preorder(spark, sf):
             .select("id", "post_ord", "rank_path"))
 
 
+@register("reading_order", O.tree_ctes() + """,
+rk AS (SELECT id, rank FROM ranked),
+steps AS (
+  SELECT n.id, u.i, COALESCE(r.rank, 0) AS rank
+  FROM nodes n, unnest(n.path) WITH ORDINALITY AS u(step, i) LEFT JOIN rk r ON r.id = u.step
+  WHERE n.depth <= 3 AND n.num_replies > 0),
+keyed AS (
+  SELECT s.id, p.ord AS post_ord, list(s.rank ORDER BY s.i) AS ranks
+  FROM steps s JOIN nodes n ON s.id = n.id JOIN kposts p ON p.id = n.post_id GROUP BY s.id, p.ord)
+SELECT id, row_number() OVER (ORDER BY post_ord, ranks) - 1 AS position FROM keyed""")
+def q_reading_order(spark, sf):
+    """T13: the place of each thread row in the output."""
+    return reading_order.positions(_nodes(spark, sf), P.max_depth)
+
+
 # ---------------------------------------------------------------------------
 # token totals, water-filling, summaries
 # ---------------------------------------------------------------------------

@@ -9,7 +9,11 @@ from pyspark.sql import types as T
 from skein import schemas
 
 
-def write_threads(threads: DataFrame, path: str) -> None:
+def write_threads(threads: DataFrame, path: str, order: str | None = None) -> None:
+    """``order``: a column by which the files (by name) and the rows within them are sorted."""
+    if order:
+        n = int(threads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        threads = threads.repartitionByRange(n, order).sortWithinPartitions(order)
     threads.select(*schemas.THREADS.fieldNames()).write.mode("overwrite").parquet(path)
 
 
