@@ -73,6 +73,7 @@ SELECT page_id, CASE WHEN b.hash IS NULL THEN 'missing' WHEN a.hash IS NULL THEN
   k."offset", a.hash AS hash_a, a.size AS size_a, b.hash AS hash_b, b.size AS size_b, CAST(greatest(a.more, -b.more) AS BIGINT) AS copies
 FROM a FULL JOIN b USING (page_id, i) LEFT JOIN k USING (page_id)"""
 
+# every window of the item's length that holds a shared shingle; all others have similarity 0
 ORACLE["op5_decontaminate"] = f"""
 WITH w AS (SELECT doc_id, {WORD_LIST} AS ws FROM documents),
 b AS (SELECT item_id, {WORD_LIST} AS ws FROM benchmark),
@@ -80,8 +81,9 @@ bs AS (SELECT item_id, len(ws) AS n, unnest(list_transform(range(1, greatest(len
   unnest(range(0, greatest(len(ws) - 4, 1))) AS q FROM b WHERE len(ws) > 0),
 ds AS (SELECT doc_id, len(ws) AS n, unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: list_aggregate(ws[i:i + 4], 'string_agg', ' '))) AS s,
   unnest(range(0, greatest(len(ws) - 4, 1))) AS p FROM w WHERE len(ws) > 0),
-placed AS (SELECT DISTINCT d.doc_id, bs.item_id, bs.n AS size, greatest(0, least(d.p - bs.q + o.o, d.n - bs.n)) AS start
-  FROM ds d JOIN bs ON bs.s = d.s CROSS JOIN (SELECT unnest(range(-2, 3)) AS o) o),
+shared AS (SELECT DISTINCT d.doc_id, d.n, d.p, bs.item_id, bs.n AS size FROM ds d JOIN bs ON bs.s = d.s),
+placed AS (SELECT DISTINCT doc_id, item_id, size, greatest(0, least(start, n - size)) AS start FROM (
+  SELECT *, unnest(range(p - greatest(size - 4, 1) + 1, p + 1)) AS start FROM shared)),
 have AS (SELECT pl.doc_id, pl.item_id, pl.start, pl.size, d.s, count(*) AS c FROM placed pl JOIN ds d ON d.doc_id = pl.doc_id
   AND d.p >= pl.start AND d.p < pl.start + greatest(pl.size - 4, 1) GROUP BY ALL),
 want AS (SELECT item_id, s, count(*) AS c FROM bs GROUP BY ALL),
@@ -91,9 +93,6 @@ sim AS (SELECT h.doc_id, h.item_id, h.start, h.size, sum(h.c) AS hc, sum(least(h
 SELECT doc_id, item_id, max(common / (hc + t - common)) AS similarity FROM sim JOIN total USING (item_id)
 WHERE common / (hc + t - common) >= 0.8 GROUP BY doc_id, item_id"""
 
-_CLASS = r"[A-Za-z0-9+/_.=-]"
-
-
 def _matches(kind: str, order: int, pattern: str, group: int) -> str:
     """Rows of one kind: position in code points from the pieces between matches."""
     return f"""SELECT doc_id, source, '{kind}' AS kind, {order} AS k, v[i] AS value,
@@ -104,21 +103,37 @@ def _matches(kind: str, order: int, pattern: str, group: int) -> str:
         regexp_extract_all(text, {_q(pattern)}, {group}) AS v FROM d))"""
 
 
+# the same language without possessive quantifiers, which only save time
+_PLACEHOLDER = secrets.PLACEHOLDER_VALUE.replace("}+", "}").replace("*+", "*")
+_PIECE_CHAR = r"[A-Za-z0-9+_.-]"
+
 ORACLE["op8_secrets"] = f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
 found AS (
   SELECT * FROM ({_matches('assign', 0, secrets.ASSIGN, 2)}) WHERE length(value) >= {secrets.MIN_ASSIGNED}
   UNION ALL {_matches('access', 1, secrets.ACCESS, 0)}
-  UNION ALL {_matches('hex', 2, secrets.HEX, 0)}
-  UNION ALL SELECT * FROM ({_matches('reuse', 3, _CLASS + '{12,}', 0)}) WHERE regexp_matches(value, '^[A-Za-z+/_.=-]{{0,40}}[0-9]')),
+  UNION ALL {_matches('hex', 2, secrets.HEX, 0)}),
 held AS (
-  SELECT value, count(DISTINCT source) <= {secrets.LIVE_OWNERS} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
-    AND length(value) >= 12 AND NOT regexp_matches(value, {_q(secrets.PLACEHOLDER)}) AS live, bool_or(kind = 'assign') AS assigned
-  FROM found WHERE kind <> 'reuse' GROUP BY value),
+  SELECT value, count(DISTINCT source) <= {secrets.LIVE_OWNERS} AND NOT regexp_matches(value, {_q(_PLACEHOLDER)}) AS live,
+    bool_or(kind = 'assign') AS assigned FROM found GROUP BY value),
+sought AS (
+  SELECT value, regexp_matches(value, '^{_PIECE_CHAR}') AS solid,
+    regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND length(value) >= 12 AS random
+  FROM held WHERE live AND assigned AND regexp_matches(value, '{_PIECE_CHAR}')),
+places AS (
+  SELECT *, unnest(list_filter(range(1, length(text) - length(value) + 2), lambda i: substr(text, i, length(value)) = value)) AS i
+  FROM (SELECT d.*, v.* FROM d JOIN sought v ON contains(d.text, v.value))),
+copied AS (
+  SELECT doc_id, source, value, random, i - 1 AS s, length(value) AS len FROM places
+  WHERE (NOT solid OR i = 1 OR NOT regexp_matches(substr(text, i - 1, 1), '{_PIECE_CHAR}'))
+    AND NOT regexp_matches(substr(text, i + length(value) - 1, 2), '^{_PIECE_CHAR}{{2}}')),
+common AS (SELECT value FROM copied WHERE NOT random GROUP BY value HAVING count(DISTINCT source) > {secrets.LIVE_OWNERS}),
 spans AS (
-  SELECT f.*, f.s + f.len AS e, coalesce(h.live, false) AS live FROM found f LEFT JOIN held h USING (value)
-  WHERE f.kind <> 'reuse' OR (h.live AND h.assigned AND NOT EXISTS (
-    SELECT 1 FROM found b WHERE b.kind <> 'reuse' AND b.doc_id = f.doc_id AND b.s < f.s + f.len AND b.s + b.len > f.s))),
+  SELECT f.doc_id, f.kind, f.k, f.s, f.s + f.len AS e, coalesce(h.live, false) AS live FROM found f LEFT JOIN held h USING (value)
+  UNION ALL
+  SELECT DISTINCT c.doc_id, 'reuse', 3, c.s, c.s + c.len, true FROM copied c
+  WHERE c.value NOT IN (SELECT value FROM common) AND NOT EXISTS (
+    SELECT 1 FROM found b WHERE b.doc_id = c.doc_id AND b.s < c.s + c.len AND b.s + b.len > c.s)),
 per_doc AS (
   SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
     count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (kind <> 'reuse') AS base,

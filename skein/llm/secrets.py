@@ -41,8 +41,6 @@ KINDS = ["assign", "access", "hex", "reuse"]
 MIN_ASSIGNED = 6
 #: a value held by at most so many owners is owner-specific
 LIVE_OWNERS = 2
-#: of the SQL twin, which matches it anywhere in a value
-PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|redacted|your|xxxx|000000|111111|aaaaaa|1234567|abcdef"
 #: a value that is a placeholder as a whole: such words and runs only
 PLACEHOLDER_VALUE = (r"(?i)^(?:(?:example|sample|dummy|changeme|placeholder|redacted|your|x{4,}+|0{6,}+|1{6,}+|a{6,}+"
                      r"|1234567(?:8(?:90?)?)?|abcdef)[+/_.=-]*+){1,40}+$")
