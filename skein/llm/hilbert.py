@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import global_rank, materialize, text_or_empty
+from skein.operators.ordering import running_sum_within_groups
 
 
 def curve_tables(dims: int) -> tuple[list[int], list[int]]:
@@ -82,10 +83,16 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(level_codes, start, step)["h"]
 
 
-def string_position(c: Column) -> Column:
-    """The first seven bytes as a number that keeps their order (null: -1)."""
-    hexed = F.rpad(F.substring(F.hex(c.cast("binary")), 1, 14), 14, "0")
-    return F.coalesce(F.conv(hexed, 16, 10).cast("long"), F.lit(-1))
+def with_value_cell(df: DataFrame, column: str, out: str, bits: int) -> DataFrame:
+    """``df`` with ``out``: the cell of a text column's value. The distinct values
+    are put in order (nulls first) and the rows before each are counted; a
+    value's cell is that share of all rows, so cells hold like numbers of rows
+    whatever the values look like, and a common start of them hides nothing."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_sum_within_groups(counts.withColumn("_all", F.lit(0)), ["_all"], [F.col(column).asc_nulls_first()], "_n", "_before")
+    total = df.count()
+    cells = placed.select(F.col(column).alias("_value"), F.expr(f"_before * {1 << bits} div {max(total, 1)}").cast("int").alias(out))
+    return df.join(cells, F.col(column).eqNullSafe(F.col("_value"))).drop("_value")
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
@@ -113,9 +120,10 @@ def shard_documents(docs: DataFrame, shards: int = 16, bits: int = 6) -> DataFra
     narrow = materialize(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        string_position(F.col("source")).alias("_source"), string_position(F.col("lang")).alias("_lang")), "shard_rows")
-    cells = quantised(narrow, ["size", "_source", "_lang"], bits)
-    placed = narrow.select("doc_id", "size", "text_crc32", hilbert_index(cells, bits).alias("curve"))
+        F.col("source").cast("string").alias("_source"), F.col("lang").cast("string").alias("_lang")), "shard_rows")
+    valued = with_value_cell(with_value_cell(narrow, "_source", "_source_cell", bits), "_lang", "_lang_cell", bits)
+    cells = [*quantised(narrow, ["size"], bits), F.col("_source_cell"), F.col("_lang_cell")]
+    placed = valued.select("doc_id", "size", "text_crc32", hilbert_index(cells, bits).alias("curve"))
     ranked, total = global_rank(placed, ["curve", "text_crc32", "size", "doc_id"], "shard_order")
     # shard s holds rank r when floor(s*N/k) <= r < floor((s+1)*N/k), so s = floor((r*k + k - 1) / N)
     shard = F.expr(f"(rank * {shards} + {shards - 1}) div {max(total, 1)}").cast("long")

@@ -61,3 +61,18 @@ def test_odd_rows(spark):
     check([(1, None, None, None, 5, 5), (1, "", None, None, 5, 5), (1, "", None, None, 5, 5), (None, "é😀", "a", "b", 0, 0),
            (2, "x" * 200000, "", "", None, None)], spark)
     check([], spark)
+
+
+def test_sources_with_a_common_start_are_told_apart(spark):
+    """Values are cells by rank and row counts, however alike they begin; a hot one holds its share of the cells."""
+    names = [f"https://example.org/{c}" for c in "dacb"] + [None, ""]
+    rows = [(i, names[i % 6] if i % 3 else names[0]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = {r["source"]: r["cell"] for r in hilbert.with_value_cell(df, "source", "cell", 6).select("source", "cell").distinct().collect()}
+    order = sorted(set(names), key=lambda s: (s is not None, s or ""))
+    before = {s: sum((x is not None, x or "") < (s is not None, s or "") for _, x in rows) for s in order}
+    assert got == {s: before[s] * 64 // 600 for s in {x for _, x in rows}}
+    assert len(set(got.values())) == len(got)
+    docs = df.selectExpr("doc_id", "'same text' as text", "source", "'en' as lang")
+    placed = hilbert.shard_documents(docs, 4).join(df, "doc_id").groupBy("shard").agg(F.countDistinct("source").alias("n")).collect()
+    assert sum(r["n"] for r in placed) <= len(got) + 3  # each shard holds a run of sources
