@@ -33,6 +33,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ from skein.llm.common import materialize
 MAX_LABELLED = 60_000
 REJECT = 0.7
 _WORD = re.compile(r"\w+")
+_MARK = regex.compile(r"\p{M}")
+_MARKED_WORD = regex.compile(r"[\w\p{M}]+")
 _PRIOR = 3.0        # pseudo-documents of a word's prior
 _DRIFT = 1.5
 _TOP = 6.0
@@ -80,6 +83,19 @@ class Model:
         return 1 / (1 + math.exp(-x)) if x > -500 else 0.0
 
 
+def _matches(text: str):
+    """The words of a lower-cased text, for fitting and scoring alike: runs of
+    letters, digits, underscores and combining marks."""
+    marked = not text.isascii() and _MARK.search(text)
+    return (_MARKED_WORD if marked else _WORD).finditer(text)
+
+
+def split_words(text: str) -> list[str]:
+    if text.isascii() or not _MARK.search(text):
+        return _WORD.findall(text)
+    return _MARKED_WORD.findall(text)
+
+
 class _Scores(dict):
     """Word scores of a model, with a bounded cache."""
 
@@ -119,7 +135,7 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 def text_segments(text: str, scores: _Scores) -> tuple[int, list[tuple[int, int, float]], np.ndarray]:
     """Number of words, maximal segments (word positions), word scores."""
-    words = _WORD.findall(text.lower())
+    words = split_words(text.lower())
     s = np.fromiter(map(scores.__getitem__, words), float, len(words))
     if not len(s) or s.max() <= 0:
         return len(s), [], s
@@ -145,8 +161,15 @@ def _shares(counts: dict[str, tuple[int, int]], parent) -> dict[str, float]:
 
 def _count(sample: DataFrame) -> tuple[float, dict[str, float]]:
     """Base share and shares of words and stems, from document counts."""
-    words = (sample.select("toxic", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_\p{M}]+"), F.lit(0)))).alias("w")))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+                own = sorted(set(split_words(text.lower())))
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(own), pa.int32()), pa.array(own, pa.string())], ["toxic", "w"])
+
+    words = sample.select("toxic", "text").mapInArrow(distinct, "toxic int, w string")
     t, c = F.sum("toxic").cast("long").alias("t"), F.sum(1 - F.col("toxic")).cast("long").alias("c")
     words = materialize(words.groupBy("w").agg(t, c), "tox_words")
     t, c = F.sum("t").cast("long").alias("t"), F.sum("c").cast("long").alias("c")
@@ -272,7 +295,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, passages
                 sure = [(a, b, x, model.log_expected(x, n)) for a, b, x in segments if model.log_expected(x, n) < math.log(0.05)]
                 ns.append(len(sure))
                 if passages and sure:
-                    at = [m.span() for m in _WORD.finditer(text.lower())]
+                    at = [m.span() for m in _matches(text.lower())]
                     spans.append([{"start": at[a][0], "end": at[b - 1][1], "sum": x, "log_e": e} for a, b, x, e in sure])
                 else:
                     spans.append([])

@@ -86,3 +86,18 @@ def test_without_labels_or_documents(spark, corpus):
     assert toxicity.score_documents(df.limit(0), spark.createDataFrame(labels, LABELS)).count() == 0
     kept = toxicity.keep_clean(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
     assert kept.columns == ["doc_id", "text", "lang", "score"]
+
+
+def test_combining_marks_split_alike_in_fit_and_score(spark):
+    """Words with combining marks are learned and met again as the same words."""
+    word = "\u0928\u0940\u091a\u0924\u093e"  # letters with vowel signs
+    accent = "cafe\u0301s"
+    assert toxicity.split_words(f"{word} {accent}, x_1") == [word, accent, "x_1"]
+    assert [m.group() for m in toxicity._matches(f"{word} {accent}")] == [word, accent]
+    docs = [(i, f"{word if i % 4 == 0 else accent} " + " ".join(f"w{(i * 7 + k) % 97}" for k in range(12))) for i in range(900)]
+    labels = [(i, int(i % 4 == 0)) for i in range(900)]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.share[word] > 0.9 and word not in ("",) and all(len(w.strip()) for w in model.share)
+    scores = toxicity._Scores(model)
+    assert scores[word] > 0 > scores["w3"]
+    assert toxicity.text_segments(docs[0][1], scores)[1] and not toxicity.text_segments(docs[1][1], scores)[1]
