@@ -6,8 +6,9 @@ numbers, for any corpus) reaches the driver. There the configuration program
 "fewest sequences that cover all pieces" is solved by multiplicative weights:
 the price of a length falls as it gets covered, and the best configuration at
 the current prices is a knapsack, solved by dynamic programming over the
-capacity. The fractional answer is rounded down; what is left over is packed
-best-fit decreasing, also on the histogram, by multiplicity and not piece by
+capacity; this goes on until every length is covered. The fractional answer is
+rounded down, configurations of the longest pieces first; what is left over is packed best-fit
+decreasing, also on the histogram, by multiplicity and not piece by
 piece. The plan (a few thousand rows) goes back to the executors, where a
 piece finds its place from its rank among the pieces of its length.
 
@@ -37,7 +38,6 @@ from skein.llm.common import global_rank, materialize
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 800
 _SEPARATED = re.compile(r" \s| \Z")  # blanks that do not simply part two words
 _CACHE_WORDS = 150_000
 _LONG_WORD = 2000
@@ -171,27 +171,30 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[fl
     return float(value[capacity]), tuple(sorted(used.items(), reverse=True))
 
 
-def solve_program(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[Config, float]:
-    """Multiplicative weights for: fewest configurations covering the histogram."""
+def solve_program(histogram: dict[int, int], capacity: int) -> tuple[dict[Config, float], float]:
+    """Multiplicative weights for: fewest configurations covering the histogram.
+    Configurations with their (fractional) numbers, and a lower bound of any
+    packing by the dual prices.
+
+    A length's price falls as it gets covered; a round takes the best
+    configuration as often as it covers one of its lengths once more, until
+    every length is covered."""
     lengths = np.array(sorted(histogram), np.int64)
-    if not len(lengths):
-        return {}
     count = np.array([histogram[int(n)] for n in lengths], float)
     at = {int(n): i for i, n in enumerate(lengths)}
     covered = np.zeros(len(lengths))
     chosen: dict[Config, float] = {}
-    for _ in range(min(rounds, 4 * len(lengths))):
-        # the price of a piece falls with the coverage of its length; long ones start a little
-        # dearer, so that short ones are still there to fill what rounding leaves
+    bound = 0.0
+    while len(lengths) and covered.min() < 1 - 1e-9:
+        # long ones start a little dearer, so that short ones are still there to fill what rounding leaves
         prices = lengths * (lengths / capacity) ** 0.1 * np.exp(-3.0 * covered)
-        _, config = knapsack(lengths, prices, capacity)
+        worth, config = knapsack(lengths, prices, capacity)
+        bound = max(bound, float((count * prices).sum() / worth))  # no configuration is worth more
         step = min(count[at[n]] / k for n, k in config)
         chosen[config] = chosen.get(config, 0.0) + step
         for n, k in config:
             covered[at[n]] += step * k / count[at[n]]
-        if covered.min() >= 1:
-            break
-    return chosen
+    return chosen, bound
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> dict[Config, int]:
@@ -243,7 +246,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Conf
     whole = left.pop(capacity, 0)
     if whole:
         out.append((((capacity, 1),), whole))
-    for config, x in sorted(solve_program(left, capacity).items(), key=lambda kv: -kv[1]):
+    chosen, _ = solve_program(left, capacity)
+    # those of the longest pieces first: short ones find a place anywhere
+    for config, x in sorted(chosen.items(), key=lambda kv: -kv[0][0][0]):
         copies = min([int(x), *(left.get(n, 0) // k for n, k in config)])
         if copies > 0:
             out.append((config, copies))

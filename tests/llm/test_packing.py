@@ -61,6 +61,22 @@ def test_plans_are_exact_and_tight():
     assert sum(c for _, c in packing.plan(hard, 100)) <= sum(packing.best_fit(hard, 100).values())
 
 
+def test_program_covers_every_length():
+    rnd = random.Random(5)
+    histogram = {n: rnd.randint(1, 400) for n in range(1, 100)}
+    chosen, bound = packing.solve_program(histogram, 100)
+    for n, k in histogram.items():
+        assert sum(x * dict(config).get(n, 0) for config, x in chosen.items()) >= k * (1 - 1e-6)
+    assert all(sum(n * k for n, k in config) <= 100 for config in chosen)
+    planned = packing.plan(histogram, 100)
+    assert exact(histogram, planned, 100)
+    assert bound <= sum(c for _, c in planned) and bound <= sum(chosen.values())
+    # what whole configurations of the program hold, before best fit takes the rest
+    whole = sum(c * sum(k for _, k in config) for config, c in planned if config in chosen)
+    assert whole > 0.5 * sum(histogram.values())
+    assert packing.solve_program({}, 100) == ({}, 0.0)
+
+
 def test_knapsack_is_exact():
     rnd = np.random.default_rng(2)
     lengths, prices = np.array([3, 4, 7, 9]), rnd.random(4)
