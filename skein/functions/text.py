@@ -78,6 +78,31 @@ def json_string(c: Column) -> Column:
     return j.substr(F.lit(2), F.length(j) - 2)
 
 
+# control characters that JSON has a short escape for
+_SHORT = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+_CONTROLS = "[\\x00-\\x1F]"
+
+
+def ascii_json_string(c: Column) -> Column:
+    """JSON literal of a string column in printable ASCII alone: every other character is
+    ``\\uxxxx`` (lower-case hex, a surrogate pair beyond the first plane), as
+    the standard encoder writes it; ``null`` for null."""
+    def plain(run: Column) -> Column:
+        quoted = F.replace(F.replace(run, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        escaped = quoted
+        for code in range(32):
+            ch = chr(code)
+            escaped = F.replace(escaped, F.lit(ch), F.lit(_SHORT.get(ch, f"\\u{code:04x}")))
+        return F.when(run.rlike(_CONTROLS), escaped).otherwise(quoted)
+
+    def wide(run: Column) -> Column:
+        return F.regexp_replace(F.lower(F.hex(F.encode(run, "UTF-16BE"))), "(.{4})", r"\\u$1")
+
+    runs = F.regexp_extract_all(c, F.lit(r"[\x00-\x7E]+|[^\x00-\x7E]+"), F.lit(0))
+    text = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^[\x00-\x7E]"), plain(r)).otherwise(wide(r))), "")
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+
+
 def count_tokens(c: Column) -> Column:
     """Number of tokens of a raw text (``TOKEN_PATTERN`` matches), 0 for null."""
     return F.coalesce(F.regexp_count(c, F.lit(TOKEN_PATTERN)), F.lit(0)).cast("long")

@@ -163,7 +163,7 @@ def write_dataset(spark: SparkSession, sampled_path: str, responses_path: str, e
     rows = materialize(out.rows, "dataset_rows")
     keyed = rows.withColumn("row_id", F.concat_ws(":", "thread_id", "j"))
     split = sampling.split_labels(sampling.dense_index(keyed, "row_id", g.seed), test_fraction)
-    files.write_json(split.orderBy("idx").select("split", F.col("prompt").alias("question"), "reasoning", "answer"),
-                     f"{out_path}/examples", by="split")
+    files.write_ascii_json(split.orderBy("idx").select("split", F.col("prompt").alias("question"), "reasoning", "answer"),
+                           f"{out_path}/examples", by="split")
     files.write_json(rows.select(F.col("thread_id").alias("id"), F.col("question").alias("query"),
                                  F.col("full_thread").alias("thread"), "embeddings"), f"{out_path}/corpus")

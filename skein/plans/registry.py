@@ -884,6 +884,18 @@ def q_examples_roundtrip(spark, sf):
     return files.read_json(spark, path, schemas.EXAMPLES)
 
 
+@register("examples_ascii", PROMPTS_SQL + "\nSELECT prompt AS question, reasoning, answer, true AS ascii FROM prompts")
+def q_examples_ascii(spark, sf):
+    """K3: training rows through ASCII-escaped JSON lines and back, and whether every line was ASCII."""
+    path = stage_path(spark, "examples_ascii")
+    files.write_ascii_json(_gen(spark, sf).examples, path)
+    wide = spark.read.text(path).where(F.col("value").rlike("[^\\x00-\\x7F]")).limit(1).select(F.lit(False).alias("ascii"))
+    rows = files.read_json(spark, path, schemas.EXAMPLES).withColumn("_one", F.lit(1))
+    # at most one row says that some line was not
+    return (rows.join(F.broadcast(wide.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
+            .withColumn("ascii", F.coalesce("ascii", F.lit(True))))
+
+
 @register("corpus_roundtrip", PROMPTS_SQL + "\nSELECT thread_id AS id, question AS query, full_thread AS thread, embeddings FROM prompts")
 def q_corpus_roundtrip(spark, sf):
     path = stage_path(spark, "corpus_out")

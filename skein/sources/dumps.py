@@ -12,11 +12,13 @@ job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein import schemas
 from skein.functions.text import null_if_token
+from skein.session import materialize
 
 SITE = "https://www.reddit.com"
 NUMBER = r"^-?[0-9]{1,18}([.][0-9]*)?([eE][+-]?[0-9]{1,2})?$"
@@ -119,11 +121,21 @@ def export_records(parsed: DataFrame, kind: str, line_no: str | None = None) ->
     return good.select(*order)
 
 
-def export(spark: SparkSession, dump_path: str, kind: str, out_path: str, partitions: int | None = None) -> None:
-    """A dump file or folder -> ``out_path``/records (CSV) and ``out_path``/quarantine (JSON lines)."""
-    parsed = parse_lines(read_lines(spark, dump_path, partitions), kind)
+def staged(parsed: DataFrame, name: str) -> tuple[DataFrame, dict]:
+    """Parsed lines as a stage table, and their metrics, counted while it is
+    written: the dump is read and parsed once, whatever is made of it."""
+    seen = Observation()
+    table = materialize(parsed.observe(seen, *metrics_columns()), name)
+    return table, seen.get
+
+
+def export(spark: SparkSession, dump_path: str, kind: str, out_path: str, partitions: int | None = None) -> dict:
+    """A dump file or folder -> ``out_path``/records (CSV) and ``out_path``/quarantine
+    (JSON lines). Returns the metrics (``metrics_columns``) of the lines read."""
+    parsed, metrics = staged(parse_lines(read_lines(spark, dump_path, partitions), kind), f"parsed_{kind}")
     write_csv(export_records(parsed, kind), f"{out_path}/records")
     quarantine(parsed).write.mode("overwrite").json(f"{out_path}/quarantine")
+    return metrics
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:
@@ -150,28 +162,48 @@ def write_csv(df: DataFrame, path: str) -> None:
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
+POST_STRINGS = ["author", "title", "body", "id", "link_flair_text", "distinguished"]
+REPLY_STRINGS = ["author", "body", "id", "parent_id", "distinguished"]
+_ROW = "_row"  # the text of a row that has too few or too many fields
+
+
+def _scan_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The rows of an exported CSV with score and created as they are written, and
+    ``reason``: why a row is no record (null for good ones)."""
+    schema = schemas.POST_CSV if kind == "posts" else schemas.REPLY_CSV
+    written = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField(_ROW, T.StringType())])
+    raw = (spark.read.schema(written).option("header", True).option("multiLine", True).option("escape", '"')
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _ROW).csv(path))
+    given = null_if_token(F.col("score"))
+    reason = (F.when(F.col(_ROW).isNotNull(), F.lit("wrong number of fields"))
+              .when(given.isNotNull() & given.try_cast(schema["score"].dataType).isNull(), F.lit("score is no number"))
+              .when(F.try_to_timestamp(F.col("created"), F.lit(TS_FORMAT)).isNull(), F.lit("created is no timestamp")))
+    return raw.withColumn("reason", reason)
+
+
+def bad_csv_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The quarantine of a CSV scan: the columns as written, and the reason."""
+    return _scan_csv(spark, path, kind).where("reason is not null").drop(_ROW)
+
+
 def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
     """Typed posts: text renamed to body, subreddit/link dropped, strict
-    timestamp, missing-value strings nulled, ``ord`` = input order."""
-    raw = (spark.read.schema(schemas.POST_CSV).option("header", True).option("multiLine", True)
-           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
-    return _typed(raw.withColumnRenamed("text", "body").drop("subreddit", "link"),
-                  ["author", "title", "body", "id", "link_flair_text", "distinguished"])
+    timestamp, missing-value strings nulled, ``ord`` = input order. Rows that
+    are no records are left out (``bad_csv_rows`` has them)."""
+    return _typed(_scan_csv(spark, path, "posts").withColumnRenamed("text", "body"), POST_STRINGS, schemas.POST_CSV)
 
 
 def read_replies_csv(spark: SparkSession, path: str) -> DataFrame:
-    raw = (spark.read.schema(schemas.REPLY_CSV).option("header", True).option("multiLine", True)
-           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
-    return _typed(raw.withColumnRenamed("name", "id").drop("subreddit", "link"),
-                  ["author", "body", "id", "parent_id", "distinguished"])
+    return _typed(_scan_csv(spark, path, "replies").withColumnRenamed("name", "id"), REPLY_STRINGS, schemas.REPLY_CSV)
 
 
-def _typed(df: DataFrame, string_cols: list[str]) -> DataFrame:
-    out = df
+def _typed(df: DataFrame, string_cols: list[str], schema: T.StructType) -> DataFrame:
+    out = df.where("reason is null").drop("subreddit", "link", "reason", _ROW)
+    out = out.withColumn("score", F.col("score").try_cast(schema["score"].dataType))
     for c in string_cols:
         out = out.withColumn(c, null_if_token(F.col(c)))
     # part files are read in no order of their own: the part number, then the row in its file
     part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
     row = F.monotonically_increasing_id()
     ordered = F.when(part != "", F.shiftleft(part.cast("long"), 33) + row.bitwiseAND(F.lit((1 << 33) - 1))).otherwise(row)
-    return out.withColumn("created", F.to_timestamp(F.col("created"), TS_FORMAT)).withColumn("ord", ordered)
+    return out.withColumn("created", F.try_to_timestamp(F.col("created"), F.lit(TS_FORMAT))).withColumn("ord", ordered)
