@@ -17,7 +17,7 @@ from skein.functions.counters import Counter, PatternCounter
 from skein.functions.text import string_tokens
 from skein.operators import budget, clean, reading_order, summarize, threads, tree
 from skein.operators.sentence_model import SentenceModel
-from skein.session import materialize
+from skein.session import materialize, stage_run
 from skein.sources import dumps, files, forest
 from skein.sources.tables import table
 
@@ -162,6 +162,7 @@ def write_threads(spark: SparkSession, posts_csv: str, replies_csv: str, out_pat
     reading order (its files by name, the rows within each)."""
     posts = clean.quality_filter(dumps.read_posts_csv(spark, posts_csv), p.min_score)
     replies = clean.quality_filter(dumps.read_replies_csv(spark, replies_csv), p.min_score)
-    # read once: several steps use them
-    placed = threads_in_order(materialize(posts, "posts"), materialize(replies, "replies"), p)
-    files.write_threads(placed, out_path, "position")
+    with stage_run(spark):
+        # read once: several steps use them
+        placed = threads_in_order(materialize(posts, "posts"), materialize(replies, "replies"), p)
+        files.write_threads(placed, out_path, "position")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -61,9 +64,28 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+#: the folder of the run that stage tables are written for, if it is one that removes them
+_RUN: ContextVar[str | None] = ContextVar("stage_run", default=None)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for one written stage table."""
-    return os.path.join(shared_dir(spark), "stages", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(_RUN.get() or os.path.join(shared_dir(spark), "stages"), f"{name}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def stage_run(spark: SparkSession) -> Iterator[None]:
+    """Stage tables that are written inside are removed at the end: for jobs whose
+    result is written by then. A lazy result still reads its stage tables, so
+    functions that return one leave them to the caller's run."""
+    folder = os.path.join(shared_dir(spark), "stages", f"run-{uuid.uuid4().hex}")
+    token = _RUN.set(folder)
+    try:
+        yield
+    finally:
+        _RUN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df, name: str):

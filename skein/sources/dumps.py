@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from skein import schemas
 from skein.functions.text import null_if_token
-from skein.session import materialize
+from skein.session import materialize, stage_run
 
 SITE = "https://www.reddit.com"
 NUMBER = r"^-?[0-9]{1,18}([.][0-9]*)?([eE][+-]?[0-9]{1,2})?$"
@@ -132,9 +132,10 @@ def staged(parsed: DataFrame, name: str) -> tuple[DataFrame, dict]:
 def export(spark: SparkSession, dump_path: str, kind: str, out_path: str, partitions: int | None = None) -> dict:
     """A dump file or folder -> ``out_path``/records (CSV) and ``out_path``/quarantine
     (JSON lines). Returns the metrics (``metrics_columns``) of the lines read."""
-    parsed, metrics = staged(parse_lines(read_lines(spark, dump_path, partitions), kind), f"parsed_{kind}")
-    write_csv(export_records(parsed, kind), f"{out_path}/records")
-    quarantine(parsed).write.mode("overwrite").json(f"{out_path}/quarantine")
+    with stage_run(spark):
+        parsed, metrics = staged(parse_lines(read_lines(spark, dump_path, partitions), kind), f"parsed_{kind}")
+        write_csv(export_records(parsed, kind), f"{out_path}/records")
+        quarantine(parsed).write.mode("overwrite").json(f"{out_path}/quarantine")
     return metrics
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.session import shared_dir
+from skein.session import shared_dir, stage_run
 from skein.sources import dumps
 
 METRICS = T.StructType([T.StructField("batch", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_bad", "n_missing", "n_bad_value")),
@@ -35,13 +35,14 @@ def start_ingest(spark: SparkSession, source_dir: str, out_dir: str, kind: str,
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         # one micro-batch: good rows and quarantine, both appended; the epoch id
         # makes a re-run of the same batch replace its own output only
-        parsed, metrics = dumps.staged(batch, f"ingest_{kind}")
-        good = dumps.export_records(parsed, kind).withColumn("epoch", F.lit(epoch_id))
-        bad = dumps.quarantine(parsed).withColumn("epoch", F.lit(epoch_id))
-        counted = batch.sparkSession.createDataFrame([(epoch_id, *(metrics[c] for c in METRICS.fieldNames()[1:]))], METRICS)
-        counted.write.mode("overwrite").parquet(os.path.join(out_dir, f"{kind}_metrics", f"epoch={epoch_id}"))
-        good.write.mode("overwrite").parquet(os.path.join(out_dir, kind, f"epoch={epoch_id}"))
-        bad.write.mode("overwrite").parquet(os.path.join(out_dir, f"{kind}_quarantine", f"epoch={epoch_id}"))
+        with stage_run(batch.sparkSession):
+            parsed, metrics = dumps.staged(batch, f"ingest_{kind}")
+            good = dumps.export_records(parsed, kind).withColumn("epoch", F.lit(epoch_id))
+            bad = dumps.quarantine(parsed).withColumn("epoch", F.lit(epoch_id))
+            counted = batch.sparkSession.createDataFrame([(epoch_id, *(metrics[c] for c in METRICS.fieldNames()[1:]))], METRICS)
+            counted.write.mode("overwrite").parquet(os.path.join(out_dir, f"{kind}_metrics", f"epoch={epoch_id}"))
+            good.write.mode("overwrite").parquet(os.path.join(out_dir, kind, f"epoch={epoch_id}"))
+            bad.write.mode("overwrite").parquet(os.path.join(out_dir, f"{kind}_quarantine", f"epoch={epoch_id}"))
 
     return (parsed.writeStream.foreachBatch(write_batch)
             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
@@ -125,6 +126,29 @@ def test_retrieval_blocks(spark, monkeypatch):
     assert {(r.qid, r["rank"], r.vec_id) for r in retrieve.top_k(corpus, queries, 4).collect()} == want
 
 
+def test_jobs_on_paths_remove_their_stage_tables(spark, tmp_path):
+    from skein import session
+
+    stages = f"{session.shared_dir(spark).removeprefix('file:')}/stages"
+    before = set(os.listdir(stages)) if os.path.isdir(stages) else set()
+    lines = [json.dumps({"id": f"p{i}", "title": "T", "selftext": "Body.", "link_flair_text": "", "score": 9, "created_utc": 1700000000 + i,
+                         "subreddit": "s", "permalink": "/p/", "author": "a"}) for i in range(4)]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(f"{tmp_path}/dump")
+    dumps.export(spark, f"{tmp_path}/dump", "posts", f"{tmp_path}/posts")
+    reply = "u/b,9,2024-01-01 00:00:00,Reply.,t1_{0},t3_p{0},,s,l"
+    (tmp_path / "replies.csv").write_text("\n".join([",".join(dumps.REPLY_FIELDS), *(reply.format(i) for i in range(4))]) + "\n")
+    bt.write_threads(spark, f"{tmp_path}/posts/records", f"{tmp_path}/replies.csv", f"{tmp_path}/threads")
+    gen.write_requests(spark, f"{tmp_path}/threads", f"{tmp_path}/job")
+    assert set(os.listdir(stages)) == before
+    assert files.read_threads(spark, f"{tmp_path}/threads").count() == 4
+    with pytest.raises(ZeroDivisionError), session.stage_run(spark):
+        session.materialize(spark.range(3), "left")
+        1 / 0
+    assert set(os.listdir(stages)) == before
+    kept = session.materialize(spark.range(3), "kept")  # outside of a run a stage table stays
+    assert kept.count() == 3 and len(os.listdir(stages)) == len(before) + 1
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     from skein import session
 
