@@ -25,7 +25,7 @@ from skein.plans import oracle as O
 from skein.plans import rounds
 from skein.session import materialize, stage_path
 from skein.sources import dumps, files, forest
-from skein.sources.tables import table
+from skein.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -280,8 +280,7 @@ DOC_MSGS = "SELECT CAST(doc_id AS VARCHAR) AS msg_id, text AS body FROM document
 
 
 def _doc_msgs(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("msg_id"),
-                                                F.col("text").alias("body"))
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("msg_id"), F.col("text").alias("body")))
 
 
 @register("token_count", """
@@ -737,7 +736,7 @@ def q_render_chat(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _lines(spark, sf, kind):
-    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "source"))
     # written once, as a dump is: else the lines' own expression is copied into each field's
     return materialize(forest.dump_with_defects(docs, kind), f"{kind}_lines")
 

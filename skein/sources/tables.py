@@ -9,3 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores when it is read in fewer tasks than there are:
+    one row group is one task, however much is made of each of its rows. Tables
+    with more pieces than cores stay as they are read, without a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
