@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.batches import small_batches
+from skein.llm.batches import frugal, small_batches
 from skein.llm.common import back_to_id, binary_parts, doc_key, materialize, only_keys, partitions
 from skein.llm.shingles import mix
 from skein.llm.words import groups, words
@@ -97,6 +97,18 @@ def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     return tuple(np.concatenate(c) for c in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
 
 
+def group_anchors(values: np.ndarray, at: np.ndarray, length: int, gram: int):
+    """text, hash, position, first and last window start of each anchor of the
+    texts values[at[i]:at[i + 1]], all in one go: of the windows that an anchor
+    owns those stay that lie in its text."""
+    h, pos, lo, hi = anchors(values, length, gram)
+    text = np.searchsorted(at, pos, "right") - 1
+    lo, hi = np.maximum(lo, at[text]), np.minimum(hi, at[text + 1] - length)
+    own = lo <= hi
+    text, start = text[own], at[text[own]]
+    return text, h[own], pos[own] - start, lo[own] - start, hi[own] - start
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -120,53 +132,45 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int, by_word: bool = False)
     without a hash are spans [lo, hi) that repeat inside the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(),) * 6
         names = ["_id", "_th", "hash", "pos", "lo", "hi"]
         for batch, data, at in groups(batches, "raw"):
             if by_word:
                 _, _, hashes, first = words(data, at)
                 data, at = _word_bytes(hashes), first * _WORD
-            ids, ths = batch.column("_id").to_pylist(), batch.column("_th").to_pylist()
-            parts: list[list] = [[] for _ in names]
-
-            def add(k, h, pos, lo, hi):
-                for c, v in zip(parts, (np.full(len(pos), ids[k]), np.full(len(pos), ths[k]), h, pos, lo, hi)):
-                    c.append(v)
-
-            inner: list[tuple] = []
-            for k in range(len(ids)):
-                raw = data[at[k]:at[k + 1]]
-                if len(raw) < length:
-                    continue
-                if by_word:  # windows of whole words only
-                    h, *places = anchors(hashes[first[k]:first[k + 1]], length // _WORD, gram // _WORD)
-                    pos, lo, hi = (x * _WORD for x in places)
-                else:
-                    h, pos, lo, hi = anchors(raw, length, gram)
-                _, where, count = np.unique(h, return_inverse=True, return_counts=True)
-                again = np.nonzero(count[where] > 1)[0]
-                if len(again):
-                    keep, seen, spans = np.ones(len(h), bool), {}, []
-                    whole = raw.tobytes()
-                    for i in again.tolist():
-                        a, b = int(lo[i]), int(hi[i]) + length
-                        bytes_ = (int(pos[i]) - a, whole[a:b])
-                        if bytes_ in seen:
-                            keep[i] = False
-                            spans += [(a, b), seen[bytes_]]
-                        else:
-                            seen[bytes_] = (a, b)
-                    inner += [(ids[k], ths[k], a, b) for a, b in merged(spans)]
-                    h, pos, lo, hi = h[keep], pos[keep], lo[keep], hi[keep]
-                add(k, h, pos, lo, hi)
-            if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(parts, kinds)], names)
+            ids, ths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_th"))
+            if by_word:  # windows of whole words only
+                doc, h, *places = group_anchors(hashes, first, length // _WORD, gram // _WORD)
+                pos, lo, hi = (x * _WORD for x in places)
+            else:
+                doc, h, pos, lo, hi = group_anchors(data, at, length, gram)
+            keep, inner = np.ones(len(h), bool), []
+            order = np.lexsort((h, doc))
+            equal = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+            again = np.zeros(len(h), bool)
+            again[order[1:][equal]] = True
+            again[order[:-1][equal]] = True
+            again = np.flatnonzero(again)
+            for k in np.unique(doc[again]).tolist():  # documents with an anchor that occurs twice
+                seen, spans = {}, []
+                whole = data[at[k]:at[k + 1]].tobytes()
+                for i in again[doc[again] == k].tolist():
+                    a, b = int(lo[i]), int(hi[i]) + length
+                    bytes_ = (int(pos[i]) - a, whole[a:b])
+                    if bytes_ in seen:
+                        keep[i] = False
+                        spans += [(a, b), seen[bytes_]]
+                    else:
+                        seen[bytes_] = (a, b)
+                inner += [(ids[k], ths[k], a, b) for a, b in merged(spans)]
+            if keep.any():
+                columns = (ids[doc[keep]], ths[doc[keep]], h[keep], pos[keep], lo[keep], hi[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
             if inner:
                 i, t, a, b = zip(*inner)
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(t, pa.int64()), pa.nulls(len(i), pa.int64()),
                                                   pa.array(a, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names)
 
-    return docs.mapInArrow(run, "_id long, _th long, hash long, pos long, lo long, hi long")
+    return docs.mapInArrow(frugal(run), "_id long, _th long, hash long, pos long, lo long, hi long")
 
 
 def _suffixes(docs: DataFrame, wanted: DataFrame, length: int, gram: int, by_word: bool = False) -> DataFrame:
@@ -190,7 +194,7 @@ def _suffixes(docs: DataFrame, wanted: DataFrame, length: int, gram: int, by_wor
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return (only_keys(docs, wanted, ["_id", "_th"]).join(wanted, ["_id", "_th"])
-            .mapInArrow(run, "_id long, _th long, pos long, gram binary, salt long, right binary, left binary"))
+            .mapInArrow(frugal(run), "_id long, _th long, pos long, gram binary, salt long, right binary, left binary"))
 
 
 def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,6 +285,7 @@ def _compare(suffixes: DataFrame, length: int, gram: int, step: int = 1) -> Data
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
         ids, ths, pos, salt = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("_id", "_th", "pos", "salt"))
         right, right_len = _matrix(table.column("right"), wide)
         left, left_len = _matrix(table.column("left"), wide)
@@ -314,7 +319,7 @@ def _compare(suffixes: DataFrame, length: int, gram: int, step: int = 1) -> Data
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(which.astype(np.int64)), pa.array(messages, pa.binary())], names)
 
     return (suffixes.repartitionByRange(n, "gram", "salt")
-            .mapInArrow(run, "_id long, _th long, lo long, hi long, part long, digests binary"))
+            .mapInArrow(frugal(run), "_id long, _th long, lo long, hi long, part long, digests binary"))
 
 
 def _crossing(messages: DataFrame, length: int) -> DataFrame:
@@ -333,7 +338,7 @@ def _crossing(messages: DataFrame, length: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (x["id"], x["th"], x["lo"], x["lo"] + length)],
                                          ["_id", "_th", "lo", "hi"])
 
-    return messages.select("part", "digests").repartition(n, "part").mapInArrow(run, "_id long, _th long, lo long, hi long")
+    return messages.select("part", "digests").repartition(n, "part").mapInArrow(frugal(run), "_id long, _th long, lo long, hi long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, by_word: bool = False) -> DataFrame:
@@ -374,7 +379,7 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
                                                  ["_id", "_th", "n_removed", "n_spans", "kept"])
 
     return (only_keys(docs, spans, ["_id", "_th"]).join(spans, ["_id", "_th"])
-            .mapInArrow(run, "_id long, _th long, n_removed long, n_spans long, kept binary"))
+            .mapInArrow(frugal(run), "_id long, _th long, n_removed long, n_spans long, kept binary"))
 
 
 def passages(docs: DataFrame, least: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
