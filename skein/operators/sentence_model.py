@@ -1,6 +1,6 @@
 """Sentence splitting that knows the corpus's abbreviations.
 
-The model is learned without labels from two aggregations over the messages
+The model is learned without labels from one count over the messages (``stop_counts``)
 (Kiss and Strunk, Unsupervised Multilingual Sentence Boundary Detection, 2006):
 
 * a word is an abbreviation when it and a following full stop are a
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import WS
+from skein.session import materialize
 
 ABBREVIATION_SCORE = 0.3
 STARTER_SCORE = 30.0
@@ -48,17 +49,23 @@ class SentenceModel:
     starters: frozenset[str]
 
 
-def words_with_stops(body: Column) -> Column:
-    """Array of (w, stop, next): each word, whether one full stop is right behind it, and the word after it."""
-    tokens = F.filter(F.split(body, f"[{WS}]+"), lambda t: t.rlike(r"[\p{L}\p{N}]"))
-    parts = F.transform(tokens, lambda t: F.struct(
-        F.lower(F.regexp_extract(t, WORD_PARTS, 1)).alias("w"), F.regexp_extract(t, WORD_PARTS, 2).rlike(r"^\.([^.]|$)").alias("stop")))
-    after = F.concat(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), F.array(F.struct(F.lit(None).cast("string").alias("w"), F.lit(False).alias("stop"))))
-    return F.zip_with(parts, after, lambda a, b: F.struct(a["w"].alias("w"), a["stop"].alias("stop"), b["w"].alias("next")))
+def stop_counts(msgs: DataFrame) -> DataFrame:
+    """w, stop, next, n: how often each word comes with (or without) one full stop right
+    behind it; with one, by the word after it (null: none), else ``next`` is null.
 
+    The texts are read once: tokens are counted as they stand (one that may end in
+    a stop next to its successor), and only different ones are taken apart."""
+    tokens = F.filter(F.split("body", f"[{WS}]+"), lambda t: t.rlike(r"[\p{L}\p{N}]"))
+    listed = msgs.where(F.col("body").isNotNull()).select(tokens.alias("ts"))
+    pairs = F.transform("ts", lambda t, i: F.struct(t.alias("t"), F.when(t.contains("."), F.get("ts", i + 1)).alias("after")))
+    # outer: from a plain explode the planner infers a filter that splits every text once more
+    raw = listed.select(F.explode_outer(pairs).alias("x")).select("x.*").where("t is not null").groupBy("t", "after").agg(F.count(F.lit(1)).alias("n"))
 
-def _rows(msgs: DataFrame) -> DataFrame:
-    return msgs.where(F.col("body").isNotNull()).select(F.explode(words_with_stops(F.col("body"))).alias("x")).select("x.*").where("w is not null")
+    def word(t: str) -> Column:
+        return F.lower(F.regexp_extract(t, WORD_PARTS, 1))
+
+    apart = raw.select(word("t").alias("w"), F.regexp_extract("t", WORD_PARTS, 2).rlike(r"^\.([^.]|$)").alias("stop"), word("after").alias("next"), "n")
+    return apart.groupBy("w", "stop", F.when(F.col("stop"), F.col("next")).alias("next")).agg(F.sum("n").alias("n"))
 
 
 def _ln(x: Column) -> Column:
@@ -66,10 +73,10 @@ def _ln(x: Column) -> Column:
     return F.when(x > 0, F.log(x)).otherwise(F.lit(0.0))
 
 
-def abbreviation_scores(msgs: DataFrame) -> DataFrame:
-    """w, n_stop (times with a full stop), n (times), score of every word with a letter that has a stop somewhere."""
-    rows = _rows(msgs)
-    per_word = rows.groupBy("w").agg(F.sum(F.col("stop").cast("long")).alias("n_stop"), F.count(F.lit(1)).alias("n"))
+def abbreviation_scores(counts: DataFrame) -> DataFrame:
+    """w, n_stop (times with a full stop), n (times), score of every word with a letter that has a stop somewhere.
+    ``counts``: the table of ``stop_counts``."""
+    per_word = counts.groupBy("w").agg(F.sum(F.when(F.col("stop"), F.col("n")).otherwise(F.lit(0))).alias("n_stop"), F.sum("n").alias("n"))
     total = per_word.agg(F.sum("n").alias("_all"), F.sum("n_stop").alias("_stops"))  # one row
     words = per_word.where((F.col("n_stop") > 0) & F.col("w").rlike(r"\p{L}")).withColumn("_one", F.lit(1))
     x = words.join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
@@ -82,14 +89,13 @@ def abbreviation_scores(msgs: DataFrame) -> DataFrame:
     return x.select("w", "n_stop", "n", score.alias("score"))
 
 
-def starter_scores(msgs: DataFrame, abbreviations: DataFrame) -> DataFrame:
+def starter_scores(counts: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """w, n_after (times after a sentence end), n, score of every word that is
-    more frequent after a sentence end than elsewhere. ``abbreviations``: w, at
-    most MAX_WORDS rows."""
-    rows = _rows(msgs)
-    ends = rows.where(F.col("stop") & (F.length("w") > 1)).join(F.broadcast(abbreviations.select("w")), "w", "left_anti")
-    after = ends.where("next is not null").groupBy(F.col("next").alias("w")).agg(F.count(F.lit(1)).alias("n_after"))
-    every = rows.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    more frequent after a sentence end than elsewhere. ``counts``: the table of
+    ``stop_counts``; ``abbreviations``: w, at most MAX_WORDS rows."""
+    ends = counts.where(F.col("stop") & (F.length("w") > 1)).join(F.broadcast(abbreviations.select("w")), "w", "left_anti")
+    after = ends.where("next is not null").groupBy(F.col("next").alias("w")).agg(F.sum("n").alias("n_after"))
+    every = counts.groupBy("w").agg(F.sum("n").alias("n"))
     totals = every.agg(F.sum("n").alias("_all")).withColumn("_one", F.lit(1))
     breaks = after.agg(F.sum("n_after").alias("_breaks")).withColumn("_one", F.lit(1))
     x = (after.where(F.col("w").rlike(r"\p{L}")).join(every, "w").withColumn("_one", F.lit(1))
@@ -112,9 +118,10 @@ def _best(scores: DataFrame, least: float) -> DataFrame:
 def learn(msgs: DataFrame) -> SentenceModel:
     """The model of the messages (body); nulls and empty texts say nothing."""
     spark = msgs.sparkSession
-    found = [r["w"] for r in _best(abbreviation_scores(msgs), ABBREVIATION_SCORE).select("w").collect()]
+    counts = materialize(stop_counts(msgs), "stop_counts")
+    found = [r["w"] for r in _best(abbreviation_scores(counts), ABBREVIATION_SCORE).select("w").collect()]
     known = spark.createDataFrame([(w,) for w in found], "w string")
-    starters = [r["w"] for r in _best(starter_scores(msgs, known), STARTER_SCORE).select("w").collect()]
+    starters = [r["w"] for r in _best(starter_scores(counts, known), STARTER_SCORE).select("w").collect()]
     return SentenceModel(frozenset(found), frozenset(starters))
 
 

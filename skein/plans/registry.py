@@ -936,11 +936,16 @@ scored_ AS (SELECT w, n_stop, n,
       * exp(-letters) * (inn + 1) * pow(CAST(letters AS DOUBLE), -CAST(bare AS DOUBLE)) AS score FROM shape)"""
 
 
+def _stop_counts(spark, sf):
+    msgs = spread(table(spark, sf, "documents").select(F.col("text").alias("body")))
+    return materialize(sentence_model.stop_counts(msgs), "stop_counts")
+
+
 @register("abbreviations", f"""WITH {_WORDS_SQL}
 SELECT w, n_stop, n, round(score, 6) + 0::DOUBLE AS score, score >= {sentence_model.ABBREVIATION_SCORE} AS abbreviation FROM scored_""")
 def q_abbreviations(spark, sf):
     """X3: how much each word and a full stop behind it belong together."""
-    scores = sentence_model.abbreviation_scores(table(spark, sf, "documents").select(F.col("text").alias("body")))
+    scores = sentence_model.abbreviation_scores(_stop_counts(spark, sf))
     return scores.select("w", "n_stop", "n", (F.round("score", 6) + F.lit(0.0)).alias("score"), (F.col("score") >= sentence_model.ABBREVIATION_SCORE).alias("abbreviation"))
 
 
@@ -956,9 +961,9 @@ SELECT w, ab AS n_after, b AS n, round(-2 * (ab * ln(p) + (a - ab) * ln(1 - p) +
   - (CASE WHEN p2 > 0 THEN (b - ab) * ln(p2) ELSE 0 END + r * ln(1 - p2))), 4) AS score FROM q""")
 def q_sentence_starters(spark, sf):
     """X3: how much each word and a sentence end before it belong together."""
-    msgs = table(spark, sf, "documents").select(F.col("text").alias("body"))
-    known = sentence_model._best(sentence_model.abbreviation_scores(msgs), sentence_model.ABBREVIATION_SCORE)
-    return sentence_model.starter_scores(msgs, known).select("w", "n_after", "n", F.round("score", 4).alias("score"))
+    counts = _stop_counts(spark, sf)
+    known = sentence_model._best(sentence_model.abbreviation_scores(counts), sentence_model.ABBREVIATION_SCORE)
+    return sentence_model.starter_scores(counts, known).select("w", "n_after", "n", F.round("score", 4).alias("score"))
 
 
 def _tangled_forest(spark, sf):

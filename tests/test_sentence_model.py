@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators import sentence_model as sm
 from skein.operators import summarize
@@ -53,6 +54,26 @@ def test_planted_abbreviations_are_found(spark):
     assert with_model["3"] == split_sentences(texts[3], model) and with_model["n"] == [] and with_model["e"] == []
 
 
+def test_texts_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+    texts = corpus(6)[:50] + [None, "", "One. ... two.. B.\u2028 three.\n\nFour (ab.) 'Five'. six"]
+    rows = spark.createDataFrame([(t,) for t in texts], "body string")
+    model = sm.learn(rows.select(F.udf(read, "string").asNondeterministic()("body").alias("body")))
+    assert model == sm.learn(rows)
+    assert seen.value == len(texts)
+
+
+def test_stop_counts(spark):
+    rows = spark.createDataFrame([("One. ... two.. (b.) Four",), ("one. Two one",), ("one.",), (None,), ("",), (" . ",)], "body string")
+    assert {(r.w, r.stop, r.next): r.n for r in sm.stop_counts(rows).collect()} == {
+        ("one", True, "two"): 2, ("one", True, None): 1, ("one", False, None): 1, ("two", False, None): 2,
+        ("b", True, "four"): 1, ("four", False, None): 1}
+
+
 def test_empty_corpus_and_limits(spark, monkeypatch):
     none = spark.createDataFrame([], "body string")
     assert sm.learn(none) == SentenceModel(frozenset(), frozenset())
