@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt out to all cores when it is read in fewer tasks than there are:
-    one row group is one task, however much is made of each of its rows. Tables
-    with more pieces than cores stay as they are read, without a shuffle."""
+    one row group is one task, however much is made of each of its rows and
+    however many splits its file has. Tables with more pieces than cores stay as
+    they are read, without a shuffle."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    # splits with rows; no column is read for it
+    pieces = df.select(F.spark_partition_id().alias("_part")).distinct().count()
+    return df.repartition(n) if pieces < n else df
