@@ -1,38 +1,5 @@
 """The size of Arrow batches that texts are handed to Python in."""
 
-from __future__ import annotations
+from skein.operators.batches import ROWS, frugal, small_batches
 
-import ctypes
-from collections.abc import Callable, Iterator
-from functools import wraps
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
-ROWS = 1000
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``; its session hands rows to Python in batches of at most ``ROWS``
-    from now on. Texts are long: the default of 10,000 rows would hold tens of
-    MB, several times over, in every Python worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-    return df
-
-
-def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` that gives its free memory back when a task ends. A Python worker
-    lives on for other tasks; what large arrays left in its heap would count
-    against the executor until it ends."""
-
-    @wraps(run)
-    def trimmed(batches: Iterator) -> Iterator:
-        try:
-            yield from run(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
-            if trim:
-                trim(0)
-
-    return trimmed
+__all__ = ["ROWS", "frugal", "small_batches"]

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import WS
+from skein.operators.batches import frugal, pieces, small_batches
 from skein.session import materialize
 
 ABBREVIATION_SCORE = 0.3
@@ -165,9 +166,9 @@ def with_sentences(msgs: DataFrame, model: SentenceModel, text: str = "body") ->
     """``msgs`` with ``sents``: the sentences of the column ``text`` (null: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b, text)):
             sents = [split_sentences(t or "", model) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sents, pa.list_(pa.string()))], [*batch.schema.names, "sents"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in msgs.schema.fields)
-    return msgs.mapInArrow(run, schema + ", sents array<string>")
+    return small_batches(msgs).mapInArrow(frugal(run), schema + ", sents array<string>")

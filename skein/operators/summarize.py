@@ -11,7 +11,8 @@ the picked sentences in original order joined by one space.
 
 A message is one row and everything here depends on that row alone, so
 nothing is shuffled: sentences and their token counts come from native
-expressions, counting and ranking is a small function over Arrow batches.
+expressions, counting and ranking is a small function over Arrow batches, of
+which it takes about a megabyte of text at a time.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.counters import Counter
 from skein.functions.text import LETTER_RUN, SENTENCE_WORD, STOP_WORDS, json_string, sentences, string_tokens
+from skein.operators.batches import frugal, pieces, small_batches
 from skein.operators.sentence_model import SentenceModel, with_sentences
 
 _LETTERS = re.compile(LETTER_RUN)
@@ -63,7 +65,7 @@ def _with_sentences(msgs: DataFrame, counter: Callable[[Column], Column] | Count
     """The sentences of each message (by the fixed pattern, or by a ``model``) and
     their token counts, or the JSON literals that a ``Counter`` is yet to count
     (``_tokens``)."""
-    listed = msgs.select("msg_id", F.coalesce("body", F.lit("")).alias("body"), *more)
+    listed = small_batches(msgs).select("msg_id", F.coalesce("body", F.lit("")).alias("body"), *more)
     listed = with_sentences(listed, model) if model else listed.withColumn("sents", sentences(F.col("body")))
     return listed.withColumn("toks", F.transform("sents", json_string if isinstance(counter, Counter) else counter))
 
@@ -88,7 +90,7 @@ def word_weights(msgs: DataFrame) -> DataFrame:
     schema = pa.schema([("msg_id", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("max_n", pa.int64()), ("weight", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b, "body")):
             rows = []
             for m, body in _rows(batch, "msg_id", "body"):
                 counts = word_counts(body or "")
@@ -97,7 +99,7 @@ def word_weights(msgs: DataFrame) -> DataFrame:
             if rows:
                 yield _batch(rows, schema)
 
-    return msgs.select("msg_id", "body").mapInArrow(run, "msg_id string, word string, n long, max_n long, weight double")
+    return small_batches(msgs).select("msg_id", "body").mapInArrow(frugal(run), "msg_id string, word string, n long, max_n long, weight double")
 
 
 def ranked_sentences(msgs: DataFrame, counter: Callable[[Column], Column] | Counter = string_tokens, unscored: str = "first",
@@ -108,7 +110,7 @@ def ranked_sentences(msgs: DataFrame, counter: Callable[[Column], Column] | Coun
                         ("score_n", pa.int64()), ("score", pa.float64()), ("srank", pa.int32()), ("run", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b, "body")):
             rows = []
             counts = _tokens(counter, batch.column("toks").to_pylist())
             for (m, body, sents), toks in zip(_rows(batch, "msg_id", "body", "sents"), counts):
@@ -118,7 +120,7 @@ def ranked_sentences(msgs: DataFrame, counter: Callable[[Column], Column] | Coun
                 yield _batch(rows, schema)
 
     return _with_sentences(msgs, counter, model).mapInArrow(
-        run, "msg_id string, i int, sent string, tok long, score_n long, score double, srank int, run long")
+        frugal(run), "msg_id string, i int, sent string, tok long, score_n long, score double, srank int, run long")
 
 
 def summaries(capped: DataFrame, counter: Callable[[Column], Column] | Counter = string_tokens, unscored: str = "first",
@@ -127,7 +129,7 @@ def summaries(capped: DataFrame, counter: Callable[[Column], Column] | Counter =
     schema = pa.schema([("msg_id", pa.string()), ("cap", pa.int64()), ("k", pa.int64()), ("summary", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b, "body")):
             rows = []
             counts = _tokens(counter, batch.column("toks").to_pylist())
             for (m, body, caps, sents), toks in zip(_rows(batch, "msg_id", "body", "caps", "sents"), counts):
@@ -139,4 +141,4 @@ def summaries(capped: DataFrame, counter: Callable[[Column], Column] | Counter =
             if rows:
                 yield _batch(rows, schema)
 
-    return _with_sentences(capped, counter, model, "caps").mapInArrow(run, "msg_id string, cap long, k long, summary string")
+    return _with_sentences(capped, counter, model, "caps").mapInArrow(frugal(run), "msg_id string, cap long, k long, summary string")

@@ -3,9 +3,10 @@
 import math
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from skein.operators import budget, summarize
+from skein.operators import batches, budget, summarize
 
 
 def level_by_bisection(toks, budget):
@@ -75,3 +76,20 @@ def test_unscored_first_or_last():
     text = " ".join(sents)
     assert [r[0] for r in summarize.rank_sentences(text, sents, [1, 1, 1])] == [0, 2, 1]
     assert [r[0] for r in summarize.rank_sentences(text, sents, [1, 1, 1], "last")] == [1, 0, 2]
+
+
+def test_python_holds_about_a_megabyte_of_text_at_a_time(spark, monkeypatch):
+    """However many rows a batch has, and whatever its texts are long."""
+    batch = pa.RecordBatch.from_pydict({"msg_id": [str(i) for i in range(50)], "body": ["ab c. " * 20_000, None, "", "x" * 7, "é" * 900_000] * 10})
+    cut = list(batches.pieces(batch, "body"))
+    assert pa.Table.from_batches(cut).to_pylist() == batch.to_pylist() and len(cut) > 10
+    assert all(c.num_rows == 1 or sum(len((t or "").encode()) for t in c.column("body").to_pylist()) <= batches.PIECE_BYTES for c in cut)
+    assert list(batches.pieces(batch.slice(0, 0), "body")) == []
+
+    sizes = []
+    monkeypatch.setattr(summarize, "_batch", lambda rows, schema: sizes.append(len(rows)))
+    msgs = spark.createDataFrame([("a", "One two. Three.")], "msg_id string, body string")
+    monkeypatch.setattr(type(msgs), "mapInArrow", lambda self, run, schema: list(run(iter([batch]))))
+    summarize.word_weights(msgs)
+    assert len(sizes) > 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(batches.ROWS)
