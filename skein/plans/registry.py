@@ -1043,6 +1043,7 @@ def q_corpus_hits(spark, sf):
     prompts = _gen(spark, sf).rows
     corpus = prompts.select(F.concat_ws(":", "thread_id", "j").alias("id"), F.col("question").alias("query"),
                             F.col("full_thread").alias("thread"), "embeddings")
+    corpus = materialize(corpus, "corpus")  # counted, cut into cells and joined to the hits
     queries = table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     hits = retrieve.hits(corpus, queries, TOP_K)
     return hits.select("qid", F.col("rank").cast("long"), "query", F.md5("thread").alias("thread_md5"), F.round("score", 6).alias("score"))
