@@ -104,12 +104,14 @@ def _js(c: Column) -> Column:
 def render_threads(rows: DataFrame) -> DataFrame:
     """Render the three JSON views per focus.
 
-    ``rows``: focus_id, post_id, kind, pos, head, body_ft, body_gen, where the
-    two bodies are the message text after the fine-tune and the generation
-    budget (equal to the original when no cut was needed).
+    ``rows``: focus_id, post_id, kind, pos, head, body, body_ft, body_gen, where the
+    last two are the message text after the fine-tune and the generation
+    budget, null where ``body`` was not cut.
     """
-    g = rows.groupBy("focus_id", "post_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "kind", "head", "body_ft", "body_gen"))).alias("m"))
+    views = ["body_ft", "body_gen"]
+    g = rows.groupBy("focus_id", "post_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "head", *views, "body"))).alias("m"))
+    g = g.withColumn("m", F.transform("m", lambda x: F.struct(
+        x["kind"].alias("kind"), x["head"].alias("head"), *(F.coalesce(x[v], x["body"]).alias(v) for v in views))))
     anc = F.filter("m", lambda x: x["kind"] == "ancestor")
     foc = F.filter("m", lambda x: x["kind"] == "focus")[0]
     rep = F.filter("m", lambda x: x["kind"] == "reply")

@@ -137,9 +137,9 @@ def cut_bodies(st: ThreadStages, p: ThreadParams) -> DataFrame:
 def _rendered(st: ThreadStages, p: ThreadParams) -> DataFrame:
     cut = cut_bodies(st, p)
     rows = (st.long.join(cut, ["focus_id", "msg_id"], "left").join(st.records.select("msg_id", "head", "body"), "msg_id")
-            .select("focus_id", "post_id", "kind", "pos", "head",
-                    F.coalesce("body_ft_cut", "body").alias("body_ft"),
-                    F.coalesce("body_gen_cut", "body").alias("body_gen")))
+            # a body travels once; views that do not cut it take it after the grouping
+            .select("focus_id", "post_id", "kind", "pos", "head", F.when(F.col("body_ft_cut").isNull() | F.col("body_gen_cut").isNull(), F.col("body")).alias("body"),
+                    F.col("body_ft_cut").alias("body_ft"), F.col("body_gen_cut").alias("body_gen")))
     return threads.render_threads(rows)
 
 
