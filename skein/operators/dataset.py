@@ -138,13 +138,11 @@ def assemble_prompts(ok: DataFrame, threads_indexed: DataFrame, m: int,
     """
     req = ok.select(F.col("thread_id").alias("id"), "j")
     d = sampling.distractors(threads_indexed, req, m, seed)
-    texts = threads_indexed.select(F.col("id").alias("distractor_id"), F.col("full_thread").alias("t"))
-    dist = d.join(texts, "distractor_id").select(
-        F.col("id").alias("thread_id"), "j", F.col("distractor_id").alias("src"), "t")
-    own = (ok.where("include_oracle").join(threads_indexed.select(F.col("id").alias("thread_id"),
-                                                                  F.col("full_thread").alias("t")), "thread_id")
-           .select("thread_id", "j", F.col("thread_id").alias("src"), "t"))
-    items = dist.unionByName(own).withColumn(
+    picks = d.select(F.col("id").alias("thread_id"), "j", F.col("distractor_id").alias("src")).unionByName(
+        ok.where("include_oracle").select("thread_id", "j", F.col("thread_id").alias("src")))
+    # one join for all texts
+    texts = threads_indexed.select(F.col("id").alias("src"), F.col("full_thread").alias("t"))
+    items = picks.join(texts, "src").withColumn(
         "key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("thread_id"), F.col("j").cast("string"),
                                  F.col("src"))))
     g = items.groupBy("thread_id", "j").agg(F.array_sort(F.collect_list(F.struct("key", "src", "t"))).alias("xs"))

@@ -130,7 +130,8 @@ def generate(sampled: DataFrame, resp: DataFrame, emb: DataFrame, g: GenParams =
     n_rows = sampled.count()
     sampling.check_distractors(g.num_distractors, n_rows)
     reqs = requests(sampled, g)
-    status = dataset.outcomes(reqs, resp, emb)
+    # read by several steps below, most of them for its keys alone
+    status = materialize(dataset.outcomes(reqs, resp, emb), "outcomes")
     ok = (status.where(F.col("status") == "ok")
           .join(sampled.select(F.col("id").alias("thread_id"), "include_oracle", "full_thread"), "thread_id"))
     prompts = dataset.assemble_prompts(ok.select("thread_id", "j", "question", "include_oracle"),
