@@ -90,11 +90,17 @@ def abbreviation_scores(counts: DataFrame) -> DataFrame:
     return x.select("w", "n_stop", "n", score.alias("score"))
 
 
+def abbreviations(counts: DataFrame) -> DataFrame:
+    """w of every abbreviation, however many there are. ``counts``: the table of ``stop_counts``."""
+    return abbreviation_scores(counts).where(F.col("score") >= ABBREVIATION_SCORE).select("w")
+
+
 def starter_scores(counts: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """w, n_after (times after a sentence end), n, score of every word that is
     more frequent after a sentence end than elsewhere. ``counts``: the table of
-    ``stop_counts``; ``abbreviations``: w, at most MAX_WORDS rows."""
-    ends = counts.where(F.col("stop") & (F.length("w") > 1)).join(F.broadcast(abbreviations.select("w")), "w", "left_anti")
+    ``stop_counts``; ``abbreviations``: w, any number of rows."""
+    # no broadcast by hint: they grow with the vocabulary, so their measured size decides
+    ends = counts.where(F.col("stop") & (F.length("w") > 1)).join(abbreviations.select("w"), "w", "left_anti")
     after = ends.where("next is not null").groupBy(F.col("next").alias("w")).agg(F.sum("n").alias("n_after"))
     every = counts.groupBy("w").agg(F.sum("n").alias("n"))
     totals = every.agg(F.sum("n").alias("_all")).withColumn("_one", F.lit(1))

@@ -962,7 +962,7 @@ SELECT w, ab AS n_after, b AS n, round(-2 * (ab * ln(p) + (a - ab) * ln(1 - p) +
 def q_sentence_starters(spark, sf):
     """X3: how much each word and a sentence end before it belong together."""
     counts = _stop_counts(spark, sf)
-    known = sentence_model._best(sentence_model.abbreviation_scores(counts), sentence_model.ABBREVIATION_SCORE)
+    known = sentence_model.abbreviations(counts)
     return sentence_model.starter_scores(counts, known).select("w", "n_after", "n", F.round("score", 4).alias("score"))
 
 

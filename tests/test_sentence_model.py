@@ -2,12 +2,15 @@
 
 import random
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import sentence_model as sm
 from skein.operators import summarize
 from skein.operators.sentence_model import SentenceModel, split_sentences
+from skein.plans import registry
 
 MODEL = SentenceModel(frozenset({"dr", "e.g", "etc", "approx"}), frozenset({"the", "he", "it"}))
 
@@ -82,6 +85,22 @@ def test_empty_corpus_and_limits(spark, monkeypatch):
     assert len(few.abbreviations) <= 2 and len(few.starters) <= 2
 
 
+def test_starters_know_every_abbreviation(spark, tmp_path):
+    """More abbreviations of one score than a model holds: a word behind any of them starts no sentence."""
+    signs = [chr(0x4E00 + i) for i in range(110)]
+    short = [a + b for a in signs for b in signs]
+    assert len(short) > sm.MAX_WORDS
+    texts = [" ".join(f"{w}. then some more words" for w in short[i:i + 100]) for i in range(0, len(short), 100)]
+    texts += [f"such a {w}. However it went on" for w in ("conversation", "circumstance", "neighbourhood")] * 20 + [None, "", "However then"]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.w, r.n_after, r.n, round(r.score, 3)) for r in registry.QUERIES["sentence_starters"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [i for i, _ in docs], "text": pa.array(texts, pa.string())}))
+    want = {(w, a, n, round(s, 3)) for w, a, n, s in con.execute(registry.ORACLE["sentence_starters"]).fetchall()}
+    assert got == want and {r[:3] for r in got} == {("however", 60, 61)}
+
+
 def test_summaries_take_the_model(spark):
     body = "Dr. Brown likes maps. Maps help Dr. Brown walk. Nothing else."
     msgs = spark.createDataFrame([("a", body, [7, 10, 100])], "msg_id string, body string, caps array<bigint>")
